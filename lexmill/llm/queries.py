@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import quality
+from lexmill.llm import mixing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group_near_copies(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality.score_quality(docs).select(*columns)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.assign(docs).orderBy("order_key", "u")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -39,7 +49,7 @@ FROM f
 
 
 def queries() -> dict:
-    return {"op7_quality_rules": op7_quality_rules}
+    return {"op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_quality_rules": op7_quality_rules, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
