@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import mixing, pii, quality, simhash, warc
+from lexmill.llm import chat, embeddings, mixing, pii, quality, simhash, warc
 from lexmill.llm.common import fresh_path
 
 
@@ -17,6 +17,20 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.group_near(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+#: A conversation that says the template's control strings, beside those of the table.
+CONTROL_STRINGS = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", CONTROL_STRINGS), (-7, 1, "assistant", CONTROL_STRINGS)], rows.schema)
+    return chat.digests(chat.format_conversations(rows.unionByName(planted))).drop("rewrites_history")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group_near_copies(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,6 +76,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+OP3_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, CASE role WHEN 'user' THEN 17 WHEN 'assistant' THEN 6 WHEN 'system' THEN 18 ELSE 17 + length(role) + len(regexp_extract_all(role, '[\\<\[\]]')) END
+             + length(text) + len(regexp_extract_all(text, '[\\<\[]')) AS chars FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
 OP9_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 m AS (SELECT page_id, h, strlen(h)::BIGINT AS n, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p)
@@ -71,8 +96,8 @@ SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN first =
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_quality_rules": op7_quality_rules, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
+    return {"op1_pii": op1_pii, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_chat_formatting": op3_chat_formatting, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_quality_rules": op7_quality_rules, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": OP7_SQL, "op9_warc": OP9_SQL}
+    return {"op3_chat_formatting": OP3_SQL, "op7_quality_rules": OP7_SQL, "op9_warc": OP9_SQL}
