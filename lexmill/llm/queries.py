@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, embeddings, mixing, pii, quality, simhash, warc
+from lexmill.llm import chat, embeddings, langid, mixing, pii, quality, simhash, toxicity, warc
 from lexmill.llm.common import fresh_path
 
 
@@ -31,6 +31,11 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(planted))).drop("rewrites_history")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_documents(docs, toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group_near_copies(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -41,6 +46,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs).select(*columns)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = fresh_path(spark, "warc")
@@ -79,7 +89,7 @@ FROM f
 OP3_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-f AS (SELECT *, CASE role WHEN 'user' THEN 17 WHEN 'assistant' THEN 6 WHEN 'system' THEN 18 ELSE 17 + length(role) + len(regexp_extract_all(role, '[\\<\[\]]')) END
+f AS (SELECT *, CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 18 ELSE 17 + length(role) + len(regexp_extract_all(role, '[\\<\[\]]')) END
              + length(text) + len(regexp_extract_all(text, '[\\<\[]')) AS chars FROM c)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
@@ -96,7 +106,7 @@ SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN first =
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_chat_formatting": op3_chat_formatting, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_quality_rules": op7_quality_rules, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
+    return {"op1_pii": op1_pii, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_chat_formatting": op3_chat_formatting, "op4_toxicity": op4_toxicity, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
