@@ -2,8 +2,8 @@
 
 Writing: records are WARC/1.1. Of rows with equal payloads of `min_revisit_bytes` or more, those with the largest
 page_id are response records, the others revisit records that refer to it and repeat length and digest of the payload
-in their headers. Spark's text writer puts the raw bytes of records into files of the shared folder; its line
-separator is the CR LF CR LF that ends a record. Null html is an empty payload, a null url leaves its header out.
+in their headers. Spark's text writer, which retries and commits tasks like any other, puts the raw bytes of records
+into files of the shared folder, by default each record in a gzip member of its own. Null html is an empty payload, a null url leaves its header out.
 
 Reading: each file is checked record by record (version line, headers, length, end mark, block digest), plain or in
 gzip members. After a failed check the reader searches for the next version line or member that passes all checks,
@@ -12,6 +12,7 @@ goes on there, and logs the bytes between as a gap with the reason. Files are bo
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -67,8 +68,20 @@ def with_records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -
     return rows.select(F.concat(F.lit(f"WARC/1.1{CRLF}"), head, F.lit(CRLF), F.col("block")).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, **options) -> None:
-    with_records(pages, **options).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = pa.array([gzip.compress(x.as_py() + b"\r\n\r\n", 6, mtime=0) for x in batch.column(0)], pa.binary())
+        yield pa.RecordBatch.from_arrays([packed], names=["value"])
+
+
+def write_archives(pages: DataFrame, path: str, compress: bool = True, **options) -> None:
+    """One gzip member for each record, or with compress=False plain records. The text writer ends every value with its
+    line separator: an empty gzip member behind a member, the end mark behind a plain record."""
+    records = with_records(pages, **options)
+    if compress:
+        records = records.select(F.col("value").cast("binary")).mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
+    end = gzip.compress(b"", mtime=0).decode("latin-1") if compress else CRLF * 2
+    records.write.option("lineSep", end).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 class Damaged(Exception):
@@ -127,7 +140,7 @@ def salvage(raw: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
             if raw[at : at + 2] == b"\x1f\x8b":
                 end, inner = _member(raw, at)
                 found = list(salvage(inner))
-                if inner.strip() and all(p for _, _, p, _ in found):
+                if inner and all(p for _, _, p, _ in found):
                     raise Damaged("no record in the gzip member")
             elif raw[at : at + 5] == b"WARC/":
                 end, fields = _record(data, raw, at)

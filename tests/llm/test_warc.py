@@ -48,12 +48,16 @@ def test_truncation_garbage_and_missing_bytes():
     assert read(b"") == ([], []) and read(b"\r\n\r\n") == ([], [])
 
 
-def test_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("compress", [True, False])
+def test_round_trip(spark, tmp_path, compress):
     long = "é<b>" * 700
     rows = [(1, "http://a", long), (5, "http://b\r\nX: y", long), (3, None, long), (2, "u", "short"), (4, "u", "short"), (6, "u", None), (7, "u", ""), (8, "u", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n" * 40), (9, "u", "x" * 3_000_000)]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, digest string")
     path = "file://" + str(tmp_path / "w")
-    warc.write_archives(pages, path)
+    warc.write_archives(pages, path, compress=compress)
+    if compress:
+        whole = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("part-*")]
+        assert sum(x.count(b"\r\nWARC-Type: re") for x in whole) >= len(rows)
     got = {int(r.page_id): r for r in warc.read_archives(spark, path).collect()}
     assert len(got) == len(rows)
     for page, _, html in rows:
