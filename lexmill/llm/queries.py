@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, embeddings, langid, mixing, pii, quality, simhash, toxicity, warc
+from lexmill.llm import chat, embeddings, langid, mixing, pieces, pii, quality, simhash, toxicity, warc
 from lexmill.llm.common import fresh_path
 
 
@@ -36,6 +36,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic")))
 
 
+#: Where the vocabulary file of op5 lies.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, pieces.load(MODEL_PATH)).select("doc_id", "n_tokens", "ids", "round_trip")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group_near_copies(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -106,7 +115,7 @@ SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN first =
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_chat_formatting": op3_chat_formatting, "op4_toxicity": op4_toxicity, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
+    return {"op1_pii": op1_pii, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_chat_formatting": op3_chat_formatting, "op4_toxicity": op4_toxicity, "op5_sentencepiece": op5_sentencepiece, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
