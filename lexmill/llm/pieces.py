@@ -27,6 +27,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -37,13 +38,13 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import written
 
 BLANK = "▁"
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 UNIGRAM, BPE = 1, 2
 MASK_PLACES = 62
-WORDS_A_PARTITION = 40_000
 UNKNOWN_PENALTY = 10.0
 _WINDOW = 64
-_COUNTER_SIZE = 400_000
+_COUNTER_SIZE = 300_000
+_ROWS_AT_ONCE = 500
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -121,8 +122,29 @@ class Vocabulary:
                 return ""
         return (BLANK if self.dummy_prefix else "") + text.replace(" ", BLANK)
 
-    def decode(self, ids) -> str:
-        """The text of a sequence of ids."""
+    def units(self, text: str | None) -> list[str]:
+        """Strings that put together are the normalised text and that no word crosses: what stands behind single blanks,
+        or, where blanks come in runs or come first, the whole text."""
+        if not text:
+            return []
+        if not self.dummy_prefix or self.squeeze or "  " in text or text[0] == " " or BLANK in text:
+            return [self.normalised(text)]
+        return text.split(" ")
+
+    def words(self, unit: str) -> list[str]:
+        """The words of a unit of `units`."""
+        whole = unit if unit.startswith(BLANK) or not self.dummy_prefix else BLANK + unit
+        return [w for w in self._find(whole) if w]
+
+    @cached_property
+    def _find(self):  # noqa: ANN202
+        return re.compile(self.pattern).findall
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_find"}
+
+    def raw_text(self, ids) -> str:
+        """The normalised text of a sequence of ids."""
         out, pending = [], bytearray()
         for i in ids:
             if self.kinds[i] == 6:
@@ -135,7 +157,11 @@ class Vocabulary:
                 out.append(" ⁇ " if self.kinds[i] == 2 else self.pieces[i])
         if pending:
             out.append(pending.decode("utf-8", "replace"))
-        text = "".join(out).replace(BLANK, " ")
+        return "".join(out)
+
+    def decode(self, ids) -> str:
+        """The text of a sequence of ids."""
+        text = self.raw_text(ids).replace(BLANK, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -151,17 +177,26 @@ def count_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def flush(counter: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], names=["word", "n"])
 
+    def settle(units: Counter, counter: Counter) -> None:
+        for unit, n in units.items():
+            for w in vocabulary.words(unit):
+                counter[w] += n
+        units.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, find = Counter(), re.compile(vocabulary.pattern).findall
+        units, counter = Counter(), Counter()
         for batch in batches:
             for text in batch.column(0):
-                counter.update(find(vocabulary.normalised(text.as_py())))
-                if len(counter) > _COUNTER_SIZE:
-                    yield flush(counter)
-                    counter.clear()
+                units.update(vocabulary.units(text.as_py()))
+                if len(units) > _COUNTER_SIZE:
+                    settle(units, counter)
+                    if len(counter) > _COUNTER_SIZE:
+                        yield flush(counter)
+                        counter.clear()
+        settle(units, counter)
         yield flush(counter)
 
-    return docs.select("text").mapInArrow(run, "word string, n long").filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -291,22 +326,25 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, frequent: int = FREQUENT) ->
     as far as the model's own normalisation keeps it). Input columns of these names are replaced."""
     spark: SparkSession = docs.sparkSession
     added = ("ids", "n_tokens", "round_trip")
-    words = written(count_words(docs, vocabulary), "pieces-words")
-    n_words = words.count()
-    spread = words.repartition(max(1, -(-n_words // WORDS_A_PARTITION)), "word")
-    encoded = written(encode_words(spread, vocabulary), "pieces-encoded")
+    encoded = written(encode_words(count_words(docs, vocabulary), vocabulary), "pieces-encoded")
     least = 1
     while encoded.filter(F.col("n") >= least).count() > frequent:
-        least = least * 3 // 2 + 1
+        least += max(1, least // 4)
     known = spark.sparkContext.broadcast(_dictionary(encoded.filter(F.col("n") >= least)))
     key = F.xxhash64("doc_id", "text").alias("__key")
 
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, common = re.compile(vocabulary.pattern).findall, known.value
+        common, plain = known.value, set()
         for batch in batches:
             keys, found = [], []
             for k, text in zip(batch.column(0), batch.column(1), strict=True):
-                own = {w for w in find(vocabulary.normalised(text.as_py())) if w and w not in common}
+                own = set()
+                for unit in set(vocabulary.units(text.as_py())).difference(plain):
+                    strange = [w for w in vocabulary.words(unit) if w not in common]
+                    if strange:
+                        own.update(strange)
+                    elif len(plain) < _COUNTER_SIZE and len(unit) < _WINDOW:
+                        plain.add(unit)
                 keys += [k.as_py()] * len(own)
                 found += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.string())], names=["__key", "word"])
@@ -314,33 +352,54 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, frequent: int = FREQUENT) ->
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            small = pa.array([None if t.as_py() is None else zlib.compress(t.as_py().encode(), 1) for t in batch.column(at)], pa.binary())
+            small = pa.array([None if t.as_py() is None else zlib.compress(t.as_py().encode(), 6) for t in batch.column(at)], pa.binary())
             yield pa.RecordBatch.from_arrays([small if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, common = re.compile(vocabulary.pattern).findall, known.value
-        for batch in batches:
+        common, cache, wrong = known.value, {}, set()
+
+        def checked(word: str, raw: bytes) -> bytes:
+            """Decoding is checked once a word: a text comes back if all its words do."""
+            if vocabulary.raw_text(np.frombuffer(raw, np.int32).tolist()) != word:
+                wrong.add(word)
+            return raw
+
+        def slices() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, _ROWS_AT_ONCE):
+                    yield batch.slice(i, _ROWS_AT_ONCE)
+
+        for batch in slices():
             names = batch.schema.names
             texts, rares = batch.column(names.index("text")), batch.column(names.index("__rare"))
             plain, ids, sizes, same = [], [], [], []
             for small, rare in zip(texts, rares, strict=True):
                 text = None if small.as_py() is None else zlib.decompress(small.as_py()).decode()
-                own = {x["word"]: np.asarray(x["ids"], np.int32).tobytes() for x in rare.as_py() or ()}
-                normal = vocabulary.normalised(text)
-                raw = b"".join([common[w] if w in common else own[w] for w in find(normal) if w])
-                tokens = np.frombuffer(raw, np.int32)
+                own = {x["word"]: checked(x["word"], np.asarray(x["ids"], np.int32).tobytes()) for x in rare.as_py() or ()}
+                parts, good = [], True
+                for unit in vocabulary.units(text):
+                    raw = cache.get(unit)
+                    if raw is None:
+                        words = vocabulary.words(unit)
+                        whole = [w for w in words if w in own]
+                        raw = b"".join([own[w] if w in own else checked(w, common[w]) for w in words])
+                        if any(w in wrong for w in words):
+                            good = False
+                        elif not whole and len(unit) < _WINDOW and len(cache) < _COUNTER_SIZE:
+                            cache[unit] = raw
+                    parts.append(raw)
+                tokens = np.frombuffer(b"".join(parts), np.int32)
                 plain.append(text)
                 ids.append(tokens)
                 sizes.append(len(tokens))
-                said = normal[1:] if vocabulary.dummy_prefix else normal
-                same.append(vocabulary.decode(tokens.tolist()) == said.replace(BLANK, " "))
+                same.append(good)
             put = {"text": pa.array(plain, pa.string()), "ids": pa.array(ids, pa.list_(pa.int32())), "n_tokens": pa.array(sizes, pa.int64()), "round_trip": pa.array(same, pa.bool_())}
             keep = [n for n in names if n not in ("__key", "__rare")]
             yield pa.RecordBatch.from_arrays([put.get(n, batch.column(i)) for i, n in enumerate(names) if n in keep] + [put[n] for n in added], names=keep + list(added))
 
-    rare = docs.select(key, "text").mapInArrow(rare_words, "__key long, word string").dropDuplicates(["__key", "word"])
+    rare = docs.select(key, "text").mapInArrow(rare_words, "__key long, word string")
     rare = rare.join(encoded.filter(F.col("n") < least).select("word", "ids"), "word")
-    by_doc = rare.groupBy("__key").agg(F.collect_list(F.struct("word", "ids")).alias("__rare"))
+    by_doc = rare.groupBy("__key").agg(F.collect_set(F.struct("word", "ids")).alias("__rare"))
     kept = docs.select(*[c for c in docs.columns if c not in added], key)
     ddl = lambda frame, change: ", ".join(f"`{f.name}` {change.get(f.name, f.dataType.simpleString())}" for f in frame.schema)
     small = kept.mapInArrow(packed, ddl(kept, {"text": "binary"}))
