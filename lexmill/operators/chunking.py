@@ -41,7 +41,7 @@ def _tail(piece: Column, overlap: int) -> Column:
 def smart_chunk_array(text: Column, size: int, overlap: int) -> Column:
     """Paragraphs packed greedily; on overflow the chunk is closed and its word-aligned tail carried on. Chunks of more
     than twice the size are cut into windows."""
-    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"))
 
     def step(state: Column, part: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.rows import bound
 from lexmill.functions.text import is_boilerplate, lines_of, normalize_whitespace
 
 EDGE_LINES = 6
@@ -22,51 +23,73 @@ def collect_pages(rows: DataFrame, doc: str, page: str, text: str) -> DataFrame:
 
 
 def _frequent(lines: Column, least: Column) -> Column:
-    return F.filter(F.array_distinct(lines), lambda x: F.size(F.filter(lines, lambda y: y == x)) >= least)
+    return bound(lines, lambda all_lines: F.filter(F.array_distinct(all_lines), lambda x: F.size(F.filter(all_lines, lambda y: y == x)) >= least))
+
+
+def _repeated(lines: Column) -> Column:
+    low = lambda page: F.transform(page, F.lower)
+    least = F.greatest(F.lit(2), F.floor(F.size(lines) * SHARE).cast("int"))
+    heads = F.flatten(F.transform(lines, lambda x: low(F.slice(x, 1, EDGE_LINES))))
+    tails = F.flatten(F.transform(lines, lambda x: low(F.slice(x, F.greatest(F.size(x) - EDGE_LINES + 1, F.lit(1)), F.lit(EDGE_LINES)))))
+    return F.array_union(_frequent(heads, least), _frequent(tails, least))
 
 
 def repeated_lines(pages: Column) -> Column:
     """Lower-cased lines that stand often enough among the first or among the last six lines of the pages."""
-    low = F.transform(pages, lambda p: F.transform(lines_of(p), F.lower))
-    least = F.greatest(F.lit(2), F.floor(F.size(pages) * SHARE).cast("int"))
-    heads = F.flatten(F.transform(low, lambda x: F.slice(x, 1, EDGE_LINES)))
-    tails = F.flatten(F.transform(low, lambda x: F.slice(x, F.greatest(F.size(x) - EDGE_LINES + 1, F.lit(1)), F.lit(EDGE_LINES))))
-    return F.array_union(_frequent(heads, least), _frequent(tails, least))
+    return bound(F.transform(pages, lines_of), _repeated)
 
 
 def clean_pages(docs: DataFrame, pages: str = "pages") -> DataFrame:
-    """docs with repeated (array), cleaned_pages (array) and cleaned_text (pages joined by a blank line)."""
-    out = docs.withColumn("repeated", repeated_lines(F.col(pages)))
+    """docs with cleaned_pages (array) and cleaned_text (pages joined by a blank line)."""
+
+    def kept(lines: Column, repeated: Column) -> Column:
+        good = F.filter(lines, lambda x: ~F.array_contains(repeated, F.lower(x)) & ~is_boilerplate(x))
+        return F.array_join(good, "\n")
 
-    def kept(page: Column) -> Column:
-        lines = F.filter(lines_of(page), lambda x: ~F.array_contains(F.col("repeated"), F.lower(x)) & ~is_boilerplate(x))
-        return F.array_join(lines, "\n")
+    def cleaned(lines: Column) -> Column:
+        return bound(_repeated(lines), lambda repeated: F.transform(lines, lambda page: kept(page, repeated)))
 
-    out = out.withColumn("cleaned_pages", F.transform(pages, kept))
+    out = docs.withColumn("cleaned_pages", bound(F.transform(F.col(pages), lines_of), cleaned))
     return out.withColumn("cleaned_text", F.array_join("cleaned_pages", "\n\n"))
 
 
+def _without(rows: Column, marks: Column) -> Column:
+    """rows from the first one on that is no mark."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
+
+    def step(s: Column, x: Column) -> Column:
+        on = s["on"] & F.array_contains(marks, x)
+        return F.struct((s["n"] + on.cast("int")).alias("n"), on.alias("on"))
+
+    return F.slice(rows, F.aggregate(rows, start, step, lambda s: s["n"]) + 1, F.size(rows))
+
+
 def strip_edges(pages: Column, edge: int = 3) -> Column:
-    """The older rule: lines that stand at the same place from the top (or the bottom) of at least half of the pages,
-    and of two. Tops go from all pages but the first, bottoms from all, as long as the outermost line is such a line."""
-    lines = F.transform(pages, lambda p: F.transform(F.split(p, "\n"), F.trim))
-    least = F.greatest(F.lit(2), F.floor(F.size(pages) / 2).cast("int"))
+    """The older rule, page by page: lines that stand at the same place from the top (or the bottom) of at least half
+    of the pages, and of two, are marks. Marks at the top go from all pages but the first, marks at the bottom from all,
+    as long as the outermost line is one."""
+
+    def marks(lines: Column) -> Column:
+        least = F.greatest(F.lit(2), F.floor(F.size(lines) / 2).cast("int"))
+
+        def at(place: int) -> Column:
+            def line(page: Column) -> Column:
+                return F.get(page, F.lit(place))
 
-    def at_place(order) -> Column:  # noqa: ANN001
-        each = [_frequent(F.filter(F.transform(lines, lambda x, k=k: F.get(order(x), F.lit(k))), lambda x: x.isNotNull() & (x != "")), least) for k in range(edge)]
-        return F.array_distinct(F.flatten(F.array(*each)))
+            return _frequent(F.filter(F.transform(lines, line), lambda x: x.isNotNull() & (x != "")), least)
 
-    tops, bottoms = at_place(lambda x: x), at_place(F.reverse)
+        return F.array_distinct(F.flatten(F.array(*[at(k) for k in range(edge)])))
 
-    def without(rows: Column, marks: Column) -> Column:
-        gone = F.aggregate(rows, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + (s["on"] & F.array_contains(marks, x)).cast("int")).alias("n"), (s["on"] & F.array_contains(marks, x)).alias("on")))
-        return F.slice(rows, gone["n"] + 1, F.size(rows))
+    def stripped(lines: Column, tops: Column, bottoms: Column) -> Column:
+        def page(rows: Column, i: Column) -> Column:
+            below = F.when(i > 0, _without(rows, tops)).otherwise(rows)
+            return F.array_join(F.reverse(_without(F.reverse(below), bottoms)), "\n")
 
-    def page(rows: Column, i: Column) -> Column:
-        below = F.when(i > 0, without(rows, tops)).otherwise(rows)
-        return F.array_join(F.reverse(without(F.reverse(below), bottoms)), "\n")
+        return F.transform(lines, page)
 
-    return F.transform(lines, page)
+    lines = F.transform(pages, lambda p: F.transform(F.split(p, "\n"), lambda x: F.trim(x)))
+    upside = lambda x: F.transform(x, F.reverse)
+    return bound(lines, lambda x: bound(marks(x), lambda tops: bound(marks(upside(x)), lambda bottoms: stripped(x, tops, bottoms))))
 
 
 def preprocess(text: Column, dedup_headers: bool, normalize: bool) -> Column:
@@ -74,7 +97,8 @@ def preprocess(text: Column, dedup_headers: bool, normalize: bool) -> Column:
     from lexmill.functions.text import PAGE_BREAK
 
     pages = F.split(text, r"\[\[PAGE_BREAK\]\]")
-    joined = F.array_join(strip_edges(pages), "\n\n") if dedup_headers else F.replace(text, F.lit(PAGE_BREAK), F.lit("\n\n"))
+    stripped = F.filter(F.transform(strip_edges(pages), lambda x: F.trim(x)), lambda p: p != "")
+    joined = F.when(F.size(pages) < 2, text).otherwise(F.array_join(stripped, "\n\n")) if dedup_headers else F.replace(text, F.lit(PAGE_BREAK), F.lit("\n\n"))
     return normalize_whitespace(joined) if normalize else joined
 
 

@@ -5,24 +5,25 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import OTHER_TYPES, OWN_OUTPUT, PLAIN_TEXT_TYPES, extension, file_name, natural_key, trim_blanks
 
-VISIBLE = ~F.col("path").rlike(r"/\.[^/]*(/|$)")
+def visible() -> Column:
+    return ~F.col("path").rlike(r"/\.[^/]*(/|$)")
 
 
 def binary_files(spark: SparkSession, path: str, glob: str = "*.[pP][dD][fF]") -> DataFrame:
     """(path, file_hash, size, natural_key): files below a folder whose name matches, hidden ones left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).filter(VISIBLE)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).filter(visible())
     return files.select("path", F.sha2("content", 256).alias("file_hash"), F.col("length").alias("size"), natural_key(file_name(F.col("path"))).alias("natural_key"))
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, extension, text): the supported types below a folder, own outputs left out. Plain text is decoded as UTF-8,
     else as Latin-1, html with its tags; other types need an extractor and get a fixed placeholder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(VISIBLE)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(visible())
     files = files.withColumn("extension", extension(F.col("path"))).filter(F.col("extension").isin(PLAIN_TEXT_TYPES + OTHER_TYPES) & ~file_name(F.col("path")).rlike(OWN_OUTPUT))
 
     @F.pandas_udf("string")
@@ -43,7 +44,7 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 def prompts(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, content) of the markdown files below a folder."""
     rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path)
-    rows = rows.select(F.input_file_name().alias("path"), F.col("value").alias("content")).filter(VISIBLE)
+    rows = rows.select(F.input_file_name().alias("path"), F.col("value").alias("content")).filter(visible())
     return rows.select("path", F.regexp_replace(file_name(F.col("path")), r"\.md$", "").alias("title"), "content").withColumn("natural_key", natural_key(F.col("title")))
 
 
