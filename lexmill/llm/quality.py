@@ -138,10 +138,14 @@ def verdict(rules, features: dict[str, Column]) -> Column:
 
 
 def filter_quality(docs: DataFrame, rules=None) -> DataFrame:
-    """The rows of docs that no rule rejects, with the columns of docs."""
+    """The rows of docs that no rule rejects, with the columns of docs.
+
+    The words are a lambda's variable here: as a column below a filter they would be computed anew wherever the
+    filter's expressions use them, in the worst case for every word."""
     rules = rules or plan_cascade(docs)
-    needed = {n for r in rules for n in r.needs}
-    return _prepared(docs).filter(verdict(rules, _lazy(needed)).isNull()).drop(_TEXT, _WORDS)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    hit = bound(words_of(F.col("text")), lambda words: verdict(rules, {n: _feature(n, text, words) for r in rules for n in r.needs}))
+    return docs.filter(hit.isNull())
 
 
 def score_quality(docs: DataFrame, rules=None) -> DataFrame:
