@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.3
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
+MAX_TOXIC, MAX_CLEAN = 1000, 2000
 MAX_FEATURES = 3000
 MIN_DOCS = 3
 EPOCHS = 200
