@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.rows import bound
+from lexmill.functions.text import trim_blanks
+
 SIZE, OVERLAP = 1500, 250
 
 
@@ -64,12 +67,40 @@ def chunk_size_for(context: Column, prompt_chars: Column, profile_size: int) ->
     return F.when(context.isNull(), F.lit(profile_size)).otherwise(F.greatest(F.lit(500), F.least(F.lit(profile_size), room.cast("int"))))
 
 
-def structured_pieces(blocks: DataFrame) -> DataFrame:
-    """(doc, ord, page, type, text) to pieces in order of page (nulls last) and ord, with a page mark where the page changes."""
-    from pyspark.sql import Window
+def structured_chunk_array(blocks: Column, most: int) -> Column:
+    """blocks (array of struct page int, type string, text string, in document order) to chunks of at most `most`
+    characters. Blocks are taken by page, those without a page last. Each begins a line, headings and tables with a
+    mark, and names its page where that changes; closing a chunk forgets the page. A longer block is cut hard and does
+    not close the open chunk."""
+    rest = F.coalesce(blocks, F.array().cast("array<struct<page:int,type:string,text:string>>"))
+    placed = F.transform(rest, lambda b, i: F.struct(b["page"].isNull().alias("late"), b["page"].alias("page"), i.alias("i"), b["type"].alias("type"), trim_blanks(b["text"]).alias("text")))
+    ordered = F.filter(F.array_sort(placed), lambda b: b["text"] != "")
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"), F.lit(None).cast("int").alias("last"))
+
+    def closed(out: Column, text: Column) -> Column:
+        return F.when(trim_blanks(text) == "", out).otherwise(F.concat(out, F.array(trim_blanks(text))))
+
+    def step(s: Column, b: Column) -> Column:
+        names = b["page"].isNotNull() & ~b["page"].eqNullSafe(s["last"])
+        prefix = F.when(names, F.concat(F.lit("[strana "), b["page"].cast("string"), F.lit("] "))).otherwise(F.lit(""))
+        kind = F.coalesce(b["type"], F.lit(""))
+        mark = F.when(kind.contains("heading") | (kind == "title"), F.lit("\n## ")).when(kind.contains("table"), F.lit("\n[TABULKA] ")).otherwise(F.lit("\n"))
+
+        def with_piece(piece: Column) -> Column:
+            full = (s["open"] != "") & (F.length(s["open"]) + F.length(piece) > most)
+            out = F.when(full, closed(s["out"], s["open"])).otherwise(s["out"])
+            open_ = F.when(full, F.lit("")).otherwise(s["open"])
+            last = F.when(full, F.lit(None).cast("int")).when(names, b["page"]).otherwise(s["last"])
+            long = F.length(piece) > most
+            cut = F.filter(F.transform(chunk_array(piece, most, 0), lambda x: trim_blanks(x)), lambda x: x != "")
+            return F.struct(F.when(long, F.concat(out, cut)).otherwise(out).alias("out"), F.when(long, open_).otherwise(F.concat(open_, piece)).alias("open"), last.alias("last"))
+
+        return bound(F.concat(mark, prefix, b["text"]), with_piece)
+
+    return F.aggregate(ordered, start, step, lambda s: closed(s["out"], s["open"]))
+
 
-    w = Window.partitionBy("doc").orderBy(F.col("page").asc_nulls_last(), "ord")
-    changed = F.col("page").isNotNull() & ~F.col("page").eqNullSafe(F.lag("page").over(w))
-    label = F.when(F.lower("type").contains("head"), F.lit("## ")).when(F.lower("type").contains("table"), F.lit("[TABULKA] ")).otherwise(F.lit(""))
-    mark = F.when(changed, F.format_string("[strana %d]\n", F.col("page"))).otherwise(F.lit(""))
-    return blocks.withColumn("piece", F.concat(mark, label, F.col("text"))).withColumn("place", F.row_number().over(w))
+def page_batches(pages: Column, size: int) -> Column:
+    """Pages in consecutive groups, for models that see several at once."""
+    n = F.ceil(F.size(pages) / size).cast("int")
+    return F.when(F.size(pages) > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: F.slice(pages, k * size + 1, F.lit(size)))).otherwise(F.array())

@@ -122,3 +122,34 @@ def export_all(results: DataFrame, folder: str) -> None:
     write_each(results, f"{folder}/documents")
     write_txt(results, f"{folder}/results.txt")
     write_csv(results, f"{folder}/results.csv")
+
+
+LOG_HEADER = "timestamp | level | file | phase | message | duration_ms"
+
+
+def log_line(ts: Column, level: Column, file: Column, phase: Column, message: Column, duration_ms: Column) -> Column:
+    from lexmill.functions.text import log_field
+
+    said = F.coalesce(F.round(duration_ms).cast("long").cast("string"), F.lit(""))
+    return F.concat_ws(" | ", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), level, log_field(file), log_field(phase), log_field(message), said)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Log lines (ts, level, file, phase, message, duration_ms) as a table of text files that grows."""
+    rows.select(log_line(*(F.col(c) for c in ("ts", "level", "file", "phase", "message", "duration_ms"))).alias("value")).write.mode("append").text(path)
+
+
+def append_batch_log(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").option("sep", ";").option("header", "true").csv(path)
+
+
+def write_merged(answers: DataFrame, order: str, answer: str, prompt: str, path: str) -> None:
+    """All answers in one text below the prompt."""
+    head = f"Prompt:\n\n{prompt.strip()}\n\n=== Odpovědi podle souborů ===\n\n"
+    _streamed(answers, F.col(answer), order, path, head, "\n\n---\n\n", "")
+
+
+def mirrored_path(path: Column, root: str) -> Column:
+    """Where a file's answer goes: the same place below the output, with the ending .lm.txt."""
+    inside = F.when(path.startswith(root.rstrip("/") + "/"), F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))).otherwise(F.element_at(F.split(path, "/"), -1))
+    return F.concat(inside, F.lit(".lm.txt"))
