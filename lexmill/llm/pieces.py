@@ -43,7 +43,8 @@ UNIGRAM, BPE = 1, 2
 MASK_PLACES = 62
 UNKNOWN_PENALTY = 10.0
 _WINDOW = 64
-_COUNTER_SIZE = 300_000
+_COUNTER_SIZE = 100_000
+_LATTICE_PARTS = 4
 _ROWS_AT_ONCE = 500
 
 
@@ -196,7 +197,10 @@ def count_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         settle(units, counter)
         yield flush(counter)
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # Tasks have added up their words; dealing them out by word comes next, to more partitions than other shuffles need,
+    # because each word grows to a lattice before its partition is done.
+    parts = _LATTICE_PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select("text").mapInArrow(run, "word string, n long").repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
