@@ -40,7 +40,7 @@ CSV_MARK, TXT_MARK = "=====CSV=====", "=====TXT====="
 PAGE_BREAK = "[[PAGE_BREAK]]"
 # Phrases of a context overflow, names and endings of the engine's own outputs, file types.
 OVERFLOW_PHRASES = ("context length", "context window", "number of tokens to keep", "provide a shorter input", "prompt is too long", "exceeded the context")
-OWN_OUTPUT = r"\.lm\.txt$|^(log--|vystup--|souhrn--)|^\.spice-checkpoint\.json$"
+OWN_OUTPUT = r"\.lm\.txt$|^(log--|vystup--|souhrn--)|^\.[^/]*-checkpoint\.json$"
 PLAIN_TEXT_TYPES = "c cfg conf cpp cs css csv env fnc html htm ini java js json md pck pkb pks pls prc properties psql py sql swift toml trg ts txt vw xml yaml yml".split()
 OTHER_TYPES = "doc docx odt pdf ppt pptx rtf xls xlsx".split()
 CODE_TYPES = "c cfg conf cpp cs css env fnc html htm ini java js json pck pkb pks pls prc properties psql py sql swift toml trg ts vw xml yaml yml".split()
