@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexmill.functions.rows import bound
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -13,9 +15,13 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column, otherwise: float = 0.0) -> Column:
     """`otherwise` for empty vectors, different lengths, components that are null or not finite, and zero norms."""
     finite = lambda v: F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    usable = (F.size(a) > 0) & (F.size(a) == F.size(b)) & finite(a) & finite(b)
-    return F.when(F.coalesce(usable, F.lit(False)), F.coalesce(F.try_divide(dot(a, b), norms), F.lit(otherwise))).otherwise(F.lit(otherwise))
+
+    def of(x: Column, y: Column) -> Column:
+        norms = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
+        usable = (F.size(x) > 0) & (F.size(x) == F.size(y)) & finite(x) & finite(y)
+        return F.when(F.coalesce(usable, F.lit(False)), F.coalesce(F.try_divide(dot(x, y), norms), F.lit(otherwise))).otherwise(F.lit(otherwise))
+
+    return bound(a, lambda x: bound(b, lambda y: of(x, y)))
 
 
 def cosine_or_minus_one(a: Column, b: Column) -> Column:
