@@ -73,11 +73,13 @@ _AT, _DOT, _DIGIT = _any(AT_WORDS), _any(DOT_WORDS), _any(DIGIT_WORDS)
 _BRACKETED = re.compile(rf"\s*[(\[{{<]\s*(?:(?P<at>{_AT}|@)|{_DOT}|\.)\s*[)\]}}>]\s*", re.IGNORECASE)
 _ATOM = r"[A-Za-z0-9_%+-]{1,64}"
 #: name at host dot tld, with real or spelled dots inside the name; a spelled dot is needed behind the "at".
-_SPOKEN = re.compile(rf"(?<![A-Za-z0-9_%+-])(?:{_ATOM}(?:\.|\s+(?:{_DOT})\s+)){{0,4}}{_ATOM}\s+(?:{_AT}|@)\s+(?:[A-Za-z0-9-]{{1,63}}(?:\.|\s+(?:{_DOT}|\.)\s+)){{1,5}}(?:{_any(SPOKEN_ENDS)})(?![A-Za-z0-9-])", re.IGNORECASE)
+_AT_HOST = rf"\s(?:{_AT}|@)\s+(?:[A-Za-z0-9-]{{1,63}}(?:\.|\s+(?:{_DOT}|\.)\s+)){{1,5}}(?:{_any(SPOKEN_ENDS)})(?![A-Za-z0-9-])"
+_SPOKEN = re.compile(rf"(?<![A-Za-z0-9_%+-])(?:{_ATOM}(?:\.|\s+(?:{_DOT})\s+)){{0,4}}{_ATOM}\s*{_AT_HOST}", re.IGNORECASE)
 _SPOKEN_PART = re.compile(rf"\s+(?:(?P<at>{_AT}|@)|{_DOT}|\.)\s+", re.IGNORECASE)
 _RUN = re.compile(rf"(?<![^\W_])(?:plus\s+|\+\s*)?(?:(?:{_DIGIT}|[0-9]+)(?:[\s,.-]+(?:{_DOT})?[\s,.-]*)){{3,}}(?:{_DIGIT}|[0-9]+)(?![^\W_])", re.IGNORECASE)
 _RUN_TOKEN = re.compile(rf"(?P<plus>plus\s+|\+\s*)|(?P<word>{_DIGIT})|(?P<digits>[0-9]+)|(?P<dot>[\s,.-]*\b(?:{_DOT})\b[\s,.-]*|(?<=\S)\.(?=\S))|(?P<gap>[\s,.-]+)", re.IGNORECASE)
-_RUN_TRACE = re.compile(rf"(?:{_DIGIT})[\s,.-]+(?:(?:{_DOT})[\s,.-]+)?(?:{_DIGIT}|[0-9])")
+#: A spelled number and what follows it in its run, or a dot word that touches a number (and may hold one, as "punto").
+_RUN_TRACE = re.compile(rf"(?:{_DIGIT})[\s,.-]+(?:(?:{_DOT})[\s,.-]*)?(?:{_DIGIT}|[0-9])|[\s,.-](?:{_DOT})(?:{_DIGIT}|[0-9])")
 
 
 def _luhn(digits: str) -> bool:
@@ -165,22 +167,20 @@ def undo_spelled_digits(m: Mapped) -> Mapped:
     return m.rewritten(edits)
 
 
+# Traces are read in the lower-case text. Each is a part that every match of its transducer has, so that a text without
+# traces is one that no transducer changes.
 _BRACKET_TRACE = re.compile(rf"[(\[{{<]\s*(?:{_AT}|@|{_DOT}|\.)\s*[)\]}}>]")
-_AT_TRACE = re.compile(r"\sat\s+[a-z0-9-]+\.[a-z]")
-#: Every spelled number has one of these; short words, which are parts of many others, count between blanks only.
-_DIGIT_HINTS = tuple(w if len(w) > 3 else f" {w}" for w in DIGIT_WORDS)
+_AT_TRACE = re.compile(_AT_HOST)
+#: Characters that match a letter without regard to case, but are not its upper case.
+_ODD_CASE = frozenset("\u017f\u0130\u212a")
 
 
 def _traces(text: str) -> bool:
     """Whether a text may hold a disguise; cheap tests that a clean text mostly fails at once."""
-    if not text.isascii() and not FOLDED.keys().isdisjoint(text):
+    if not text.isascii() and not (FOLDED.keys().isdisjoint(text) and _ODD_CASE.isdisjoint(text)):
         return True
     low = text.lower()
-    if _BRACKET_TRACE.search(low) or " @ " in text or any(f" {w} " in low for w in DOT_WORDS) and any(f" {w} " in low for w in AT_WORDS):
-        return True
-    if any(w in low for w in _DIGIT_HINTS) and _RUN_TRACE.search(low):
-        return True
-    return bool(_AT_TRACE.search(low))
+    return bool(_BRACKET_TRACE.search(low) or _RUN_TRACE.search(low) or _AT_TRACE.search(low))
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -93,3 +93,33 @@ def test_rows_and_odd_values(spark):
     assert redacted.columns == docs.columns
     assert {r.doc_id: r.text for r in redacted.collect()}[2] == "<EMAIL> and <EMAIL>"
     assert pii.find_pii(docs.limit(0)).collect() == []
+
+
+UNTRACED = ["juan.perez arroba ejemplo.com", "jean.dupont arobase exemple.fr", "jane\nat example dot com", "john.doe @\nexample.com", "call\none\ntwo\nthree\nfour\nfive\nsix\nseven\neight\nnine\none", "jo.e AT\texample.IO", "jo.e ſ at example.uſ", "+1 punto1 punto2 puntofive 55 punto5 26 93296"]
+PARTS = [*pii.AT_WORDS, "@", *pii.DOT_WORDS, ".", "one", "UN", "Zéro", "plus", "7", "4111", "jane", "x.y", "example", "com", "fr", "us", " ", "  ", "\n", "\t", " ", "(", "]", ",", "-", "+", "é", "ſ", "K", "İ"]
+
+
+def ungated(text, base):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pii, "_traces", lambda text: True)
+        return pii.added_spans(text, base)
+
+
+@pytest.mark.parametrize("text", UNTRACED)
+def test_the_gate_keeps_disguises_across_white_space(text):
+    base = pii.base_spans(text)
+    assert pii.added_spans(text, base) == ungated(text, base)
+
+
+def test_an_address_with_another_at_word_is_masked():
+    assert pii.masked("a juan.perez arroba ejemplo.com b") == "a <EMAIL> b" and pii.masked("john.doe @\nexample.com") == "<EMAIL>"
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=16), st.sampled_from(["", " ", "\n"]))
+def test_the_gate_never_changes_spans(parts, glue):
+    text = glue.join(parts)
+    base = pii.base_spans(text)
+    assert pii.added_spans(text, base) == ungated(text, base)
+    if not pii._traces(text):
+        assert pii.undo_spelled_digits(pii.undo_at_and_dot(pii.fold_lookalikes(pii.Mapped(text)))).text == text
