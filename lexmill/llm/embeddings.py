@@ -36,8 +36,8 @@ SAMPLE = 20_000
 MAX_CELLS = 4096
 BLOCK = 1024
 MARGIN = 0.12
-MAX_VISITS = 8
 ROUNDS = 8
+_ROWS_AT_ONCE = 1024
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -59,14 +59,15 @@ def fit_centres(sample: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 def cells_of(x: np.ndarray, centres: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell) of all cells that unit rows x visit, the home of each row first among its cells."""
-    near = x @ centres.T
-    top = min(MAX_VISITS, len(centres))
-    order = np.argpartition(-near, top - 1, axis=1)[:, :top]
-    value = np.take_along_axis(near, order, axis=1)
-    by = np.argsort(-value, axis=1, kind="stable")
-    order, value = np.take_along_axis(order, by, axis=1), np.take_along_axis(value, by, axis=1)
-    row, place = np.nonzero(value >= value[:, :1] - margin)
-    return row, order[row, place]
+    rows, cells = [], []
+    for i in range(0, len(x), _ROWS_AT_ONCE):
+        near = x[i : i + _ROWS_AT_ONCE] @ centres.T
+        home = np.argmax(near, axis=1)
+        row, cell = np.nonzero(near >= near.max(axis=1, keepdims=True) - margin)
+        by = np.lexsort((cell != home[row], row))
+        rows.append(row[by] + i)
+        cells.append(cell[by])
+    return np.concatenate(rows), np.concatenate(cells)
 
 
 def _classes(vectors: DataFrame) -> DataFrame:

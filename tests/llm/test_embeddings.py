@@ -73,3 +73,15 @@ def test_recall_on_pairs_at_the_threshold(spark):
     found = sum(got[i].component_id == got[i + 1500].component_id for i in range(1500))
     print("recall", found / 1500)
     assert found / 1500 >= 0.95
+
+
+def test_a_vector_visits_all_cells_within_the_margin():
+    rng = np.random.default_rng(3)
+    x, centres = (embeddings._unit(rng.normal(size=(n, 64))) for n in (1500, 800))
+    row, cell = embeddings.cells_of(x, centres, 0.12)
+    near = x @ centres.T
+    within = near >= near.max(axis=1, keepdims=True) - 0.12
+    assert within.sum(axis=1).max() > 8
+    assert sorted(zip(row.tolist(), cell.tolist())) == list(zip(*(a.tolist() for a in np.nonzero(within))))
+    assert (np.diff(row) >= 0).all()
+    assert (cell[np.searchsorted(row, np.arange(len(x)))] == near.argmax(axis=1)).all()
