@@ -1,9 +1,11 @@
 """Toxicity by multiple-instance learning: only documents are labelled, sentences are scored.
 
 A sentence's score is the logistic of a sum of weights over its features (lower-case words and their prefixes of four
-and five letters). A document's score is the noisy-or of its sentences' scores, 1 - prod(1 - p). Weights and bias are
-trained from document labels through the noisy-or; the sentences that score at least the threshold are located by
-code-point offsets.
+and five letters). A document's score is the noisy-or of its sentences' scores, 1 - prod(1 - p), in which the sum of
+-log(1 - p) is corrected for the number of sentences: what a sentence of clean documents adds on average, while under
+the threshold, is taken off for each sentence, down to what the highest sentence gives alone. So a clean document is not
+toxic by its length. Weights are trained from document labels through the noisy-or, at a fixed bias; the sentences that
+score at least the threshold are located by code-point offsets.
 
 The classifier is fitted on the driver on a bounded sample of labelled rows, at most `MAX_TOXIC` toxic and
 `MAX_CLEAN` clean documents, chosen by hash. Every document is scored, over its whole text. Null and empty texts have
@@ -27,7 +29,7 @@ MAX_TOXIC, MAX_CLEAN = 1000, 2000
 MAX_FEATURES = 3000
 MIN_DOCS = 3
 EPOCHS = 200
-#: Logit of a sentence without evidence. It is fixed and low, so that a long document is not toxic by its length.
+#: Logit of a sentence without evidence, fixed and low.
 BIAS = -10.0
 #: Evidence, in share of the sample's documents, that a feature needs before it gets a weight.
 LEAST_GAIN = 3e-4
@@ -46,10 +48,10 @@ def _sentences(text: str) -> list[set[str]]:
 
 
 class Model:
-    """Weights by feature, and the bias of a sentence."""
+    """Weights by feature, the bias of a sentence, and what each sentence adds to -log(1 - score) without evidence."""
 
-    def __init__(self, weights: dict[str, float], bias: float) -> None:
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[str, float], bias: float, rate: float = 0.0) -> None:
+        self.weights, self.bias, self.rate = weights, bias, rate
         self._cache: dict[str, float] = {}
 
     def _logit(self, z: float) -> float:
@@ -63,11 +65,12 @@ class Model:
         if len(known) > 1_000_000:
             known.clear()
         low = text.lower()
-        keep, places, n = 0.0, [], 0
+        keep, places, n, total, least = 0.0, [], 0, 0, 0.0
         base = self._logit(self.bias)
         quiet = np.log1p(-base)
         for m in _SENTENCE.finditer(low):
             n += 1
+            total += 1
             hits = None
             for w in _WORD.findall(m[0]):
                 if (near := known.get(w)) is None:
@@ -76,7 +79,9 @@ class Model:
                     hits = (hits or set()).union(near)
             if hits:
                 p = min(self._logit(self.bias + sum(get(f) for f in sorted(hits))), 1 - 1e-12)
-                keep += np.log1p(-p)
+                own = np.log1p(-p)
+                keep += own
+                least = min(least, own)
                 n -= 1
                 if p >= THRESHOLD:
                     places.append((m.start(), m.end(), float(p)))
@@ -84,7 +89,10 @@ class Model:
             source = [m.span() for m in _SENTENCE.finditer(text)]
             order = {m.start(): i for i, m in enumerate(_SENTENCE.finditer(low))}
             places = [(*source[order[a]], p) for a, _, p in places]
-        return float(min(1.0, max(0.0, -np.expm1(keep + n * quiet)))), places
+        keep += n * quiet
+        if self.rate:
+            keep = min(keep + total * self.rate, least, quiet if n else 0.0)
+        return float(min(1.0, max(0.0, -np.expm1(keep)))), places
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> Model:
@@ -124,7 +132,11 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
         g = np.bincount(feature, (times * p * push[owner])[instance], len(chosen)) / len(y) - LEAST_GAIN
         grad_w += g**2
         w = np.maximum(0, w + 0.7 * g / np.sqrt(grad_w))
-    return Model({f: float(v) for f, v in zip(chosen, w, strict=True) if v > 0.05}, BIAS)
+    w = np.where(w > 0.05, w, 0.0)
+    p = 1 / (1 + np.exp(-np.minimum(BIAS + np.bincount(instance, w[feature], len(owner)), 30)))
+    clean = (y[owner] == 0) & (p < THRESHOLD)
+    rate = float(np.average(-np.log1p(-p[clean]), weights=times[clean])) if clean.any() else 0.0
+    return Model({f: float(v) for f, v in zip(chosen, w, strict=True) if v}, BIAS, rate)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -148,10 +160,10 @@ _SCHEMA = "held_out boolean, score double, predicted int, offending array<struct
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) to doc_id, held_out, score, predicted, offending (sentences)."""
-    weights, bias = model.weights, model.bias
+    weights, bias, rate = model.weights, model.bias, model.rate
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(weights, bias)
+        own = Model(weights, bias, rate)
         places = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
             rows = [own.score(t.as_py()) for t in batch.column(2)]

@@ -55,3 +55,15 @@ def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity.score_documents(docs, toxicity.train(docs, none)).collect()] == [0]
     assert toxicity.score_documents(docs.limit(0), toxicity.train(docs.limit(0), none)).collect() == []
+
+
+def test_a_clean_document_is_not_toxic_by_its_length(spark):
+    model = toxicity.fit(*made(400, 1))
+    rng = random.Random(5)
+    mixed = ". ".join(" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(6)) for _ in range(20_000))
+    plain = "nothing known here. " * 20_000
+    docs = spark.createDataFrame(list(enumerate([mixed, plain, mixed + " grumbach", plain + "grumbach", "alpha"])), "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, model).collect()}
+    assert [got[i].predicted for i in range(5)] == [0, 0, 1, 1, 0]
+    assert [len(got[i].offending) for i in range(5)] == [0, 0, 1, 1, 0]
+    assert math.isclose(model.score("nothing known here. " * 50)[0], got[1].score)
