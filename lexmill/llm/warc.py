@@ -27,7 +27,7 @@ DATE = "2025-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 2048
-_MAX_HEADER = 1 << 16
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _CANDIDATE = re.compile(rb"WARC/1\.|\x1f\x8b\x08")
 RECORD_SCHEMA = "file string, offset long, length long, problem string, record_type string, page_id string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
@@ -90,21 +90,21 @@ class Damaged(Exception):
 
 def _record(data: memoryview, raw: bytes, at: int) -> tuple[int, dict]:
     """(end, fields) of the record that begins at `at`."""
-    stop = raw.find(b"\r\n\r\n", at, at + _MAX_HEADER)
-    if stop < 0:
-        raise Damaged("headers do not end")
-    lines = bytes(data[at:stop]).split(b"\r\n")
-    if not re.fullmatch(rb"WARC/1\.[01]", lines[0]):
+    if not _VERSION.match(raw, at):
         raise Damaged("no version line")
-    fields = {}
-    for line in lines[1:]:
-        key, colon, value = line.partition(b":")
+    fields, place = {}, raw.find(b"\r\n", at) + 2
+    # Line by line, whatever their length; what is no header ends the search.
+    while (stop := raw.find(b"\r\n", place)) != place:
+        if stop < 0:
+            raise Damaged("headers do not end")
+        key, colon, value = raw[place:stop].partition(b":")
         if not colon:
             raise Damaged("a header without a colon")
         fields[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        place = stop + 2
     if not re.fullmatch("[0-9]{1,15}", fields.get("content-length", "")):
         raise Damaged("no length")
-    begin = stop + 4
+    begin = stop + 2
     end = begin + int(fields["content-length"])
     if end > len(data):
         raise Damaged("the file ends inside the record")

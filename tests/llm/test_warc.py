@@ -72,3 +72,15 @@ def test_empty_table(spark, tmp_path):
     path = "file://" + str(tmp_path / "w")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read_archives(spark, path).collect() == []
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_headers_of_any_length(spark, tmp_path, compress):
+    html = "<p>same</p>" * 200
+    urls = {1: "data:text/html," + "x" * 100_000, 2: "http://b/?" + "é" * 40_000, 3: "http://c"}
+    pages = spark.createDataFrame([(i, u, html) for i, u in urls.items()], "page_id long, url string, html string")
+    path = "file://" + str(tmp_path / "w")
+    warc.write_archives(pages, path, compress=compress)
+    got = {int(r.page_id or -1): r for r in warc.read_archives(spark, path).collect()}
+    assert {i: (r.url, r.problem) for i, r in got.items()} == {i: (u, None) for i, u in urls.items()}
+    assert got[1].refers_to == got[2].refers_to == "3" and got[3].record_type == "response"
