@@ -360,13 +360,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, frequent: int = FREQUENT) ->
             yield pa.RecordBatch.from_arrays([small if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, cache, wrong = known.value, {}, set()
-
-        def checked(word: str, raw: bytes) -> bytes:
-            """Decoding is checked once a word: a text comes back if all its words do."""
-            if vocabulary.raw_text(np.frombuffer(raw, np.int32).tolist()) != word:
-                wrong.add(word)
-            return raw
+        common, cache = known.value, {}
 
         def slices() -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -379,24 +373,24 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, frequent: int = FREQUENT) ->
             plain, ids, sizes, same = [], [], [], []
             for small, rare in zip(texts, rares, strict=True):
                 text = None if small.as_py() is None else zlib.decompress(small.as_py()).decode()
-                own = {x["word"]: checked(x["word"], np.asarray(x["ids"], np.int32).tobytes()) for x in rare.as_py() or ()}
-                parts, good = [], True
+                own = {x["word"]: np.asarray(x["ids"], np.int32).tobytes() for x in rare.as_py() or ()}
+                parts = []
                 for unit in vocabulary.units(text):
                     raw = cache.get(unit)
                     if raw is None:
                         words = vocabulary.words(unit)
                         whole = [w for w in words if w in own]
-                        raw = b"".join([own[w] if w in own else checked(w, common[w]) for w in words])
-                        if any(w in wrong for w in words):
-                            good = False
-                        elif not whole and len(unit) < _WINDOW and len(cache) < _COUNTER_SIZE:
+                        raw = b"".join([own[w] if w in own else common[w] for w in words])
+                        if not whole and len(unit) < _WINDOW and len(cache) < _COUNTER_SIZE:
                             cache[unit] = raw
                     parts.append(raw)
                 tokens = np.frombuffer(b"".join(parts), np.int32)
                 plain.append(text)
                 ids.append(tokens)
                 sizes.append(len(tokens))
-                same.append(good)
+                normal = vocabulary.normalised(text)
+                said = normal[1:] if vocabulary.dummy_prefix else normal
+                same.append(vocabulary.decode(tokens.tolist()) == said.replace(BLANK, " "))
             put = {"text": pa.array(plain, pa.string()), "ids": pa.array(ids, pa.list_(pa.int32())), "n_tokens": pa.array(sizes, pa.int64()), "round_trip": pa.array(same, pa.bool_())}
             keep = [n for n in names if n not in ("__key", "__rare")]
             yield pa.RecordBatch.from_arrays([put.get(n, batch.column(i)) for i, n in enumerate(names) if n in keep] + [put[n] for n in added], names=keep + list(added))

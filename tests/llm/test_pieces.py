@@ -89,3 +89,12 @@ def test_decode_and_empty(spark, raw):
 
 def test_vocabulary_file_is_a_parameter():
     assert importlib.util.find_spec("lexmill.llm.pieces") and pieces.load(PATH).longest > 1
+
+
+def test_round_trip_decodes_the_ids_of_whole_documents(spark, raw):
+    class Lossy(pieces.Vocabulary):
+        def units(self, text):
+            return super().units(text)[:2]
+
+    docs = spark.createDataFrame([(1, "two words", "x"), (2, "three words here", "x")], SCHEMA)
+    assert {r.doc_id: r.round_trip for r in pieces.encode(docs, Lossy(raw)).collect()} == {1: True, 2: False}
