@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, fields
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass, field, fields
+from enum import Enum
 
 
 @dataclass
@@ -46,6 +50,93 @@ class RunConfig:
         return [k for k, v in have.items() if not v]
 
 
+@dataclass(frozen=True)
+class Server:
+    id: str
+    base_url: str
+    api_key: str = ""
+
+
+@dataclass
+class Servers:
+    """Services by id, and which is chosen; kept as JSON, and empty where that cannot be read."""
+
+    known: list[Server] = field(default_factory=list)
+    chosen: str = ""
+
+    def put(self, server: Server) -> None:
+        self.known = [s for s in self.known if s.id != server.id] + [server]
+
+    def current(self) -> Server | None:
+        return next((s for s in self.known if s.id == self.chosen), self.known[0] if self.known else None)
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str | None) -> Servers:
+        try:
+            value = json.loads(text or "")
+            return cls([Server(**s) for s in value["known"]], str(value["chosen"]))
+        except (ValueError, KeyError, TypeError):
+            return cls()
+
+
+class Outcome(Enum):
+    """How a run ended."""
+
+    SUCCESS = "success"
+    CANCELLED = "cancelled"
+    FAILED = "failed"
+    NOT_STARTED = "not_started"
+
+
+class Cancelled(Exception):
+    """Raised by work that was told to stop."""
+
+
+class Runner:
+    """Lets one run go at a time. A second one, and one that lacks something, does not start."""
+
+    def __init__(self) -> None:
+        self._lock = threading.Lock()
+
+    @contextmanager
+    def _only(self) -> Iterator[bool]:
+        got = self._lock.acquire(blocking=False)
+        try:
+            yield got
+        finally:
+            if got:
+                self._lock.release()
+
+    def run(self, work: Callable[[], object], missing: list[str] | None = None) -> tuple[Outcome, object]:
+        """(outcome, what work returned, or the error)."""
+        with self._only() as free:
+            if not free or missing:
+                return Outcome.NOT_STARTED, missing or ["another run"]
+            try:
+                return Outcome.SUCCESS, work()
+            except Cancelled as e:
+                return Outcome.CANCELLED, e
+            except Exception as e:  # noqa: BLE001  the caller gets the error with the outcome
+                return Outcome.FAILED, e
+
+
+def refreshed_context(config: RunConfig, estimated_tokens: int, ask: Callable[[], int | None]) -> RunConfig:
+    """The configuration with the context that the server tells of, asked for where an estimate takes over half of it."""
+    if 2 * estimated_tokens <= config.context_tokens:
+        return config
+    found = ask()
+    return config if not found or found <= 0 else RunConfig(**(asdict(config) | {"context_tokens": found}))
+
+
+def context_label(tokens: int) -> str:
+    if tokens >= 1_000_000:
+        return f"{tokens // 1_000_000}M tok."
+    return f"{tokens // 1024}k tok." if tokens >= 1024 else f"{tokens} tok."
+
+
 def endpoint(base: str, path: str) -> str:
     return base.strip().rstrip("/") + "/" + path.lstrip("/")
 

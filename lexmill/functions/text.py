@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lexmill.functions.rows import bound
 
 #: Blanks as the analysed texts know them: Unicode separators and line ends, not only U+0020.
 BLANK = r"[\s\p{Z}\x{85}]"
 TRIM = rf"^{BLANK}+|{BLANK}+$"
+#: The same characters one by one, by their Unicode category.
+BLANK_CHARS = "".join(c for c in map(chr, range(0x10000)) if c in "\t\n\x0b\f\r\x85" or unicodedata.category(c) in ("Zs", "Zl", "Zp"))
 LINE_END = r"[\n\x0B\f\r\x85\x{2028}\x{2029}]"
 
 # The boilerplate classifiers, valid for Java and RE2.
@@ -41,14 +49,17 @@ PAGE_BREAK = "[[PAGE_BREAK]]"
 # Phrases of a context overflow, names and endings of the engine's own outputs, file types.
 OVERFLOW_PHRASES = ("context length", "context window", "number of tokens to keep", "provide a shorter input", "prompt is too long", "exceeded the context")
 OWN_OUTPUT = r"\.lm\.txt$|^(log--|vystup--|souhrn--)|^\.[^/]*-checkpoint\.json$"
-PLAIN_TEXT_TYPES = "c cfg conf cpp cs css csv env fnc html htm ini java js json md pck pkb pks pls prc properties psql py sql swift toml trg ts txt vw xml yaml yml".split()
-OTHER_TYPES = "doc docx odt pdf ppt pptx rtf xls xlsx".split()
-CODE_TYPES = "c cfg conf cpp cs css env fnc html htm ini java js json pck pkb pks pls prc properties psql py sql swift toml trg ts vw xml yaml yml".split()
+PLAIN_TEXT_TYPES = (
+    "c", "cfg", "conf", "cpp", "cs", "css", "csv", "env", "fnc", "html", "htm", "ini", "java", "js", "json", "md", "pck", "pkb", "pks", "pls",
+    "prc", "properties", "psql", "py", "sql", "swift", "toml", "trg", "ts", "txt", "vw", "xml", "yaml", "yml",
+)
+OTHER_TYPES = ("doc", "docx", "odt", "pdf", "ppt", "pptx", "rtf", "xls", "xlsx")
+CODE_TYPES = tuple(x for x in PLAIN_TEXT_TYPES if x not in ("csv", "md", "txt"))
 WORD_TYPES = ("docx", "doc", "odt", "rtf")
 
 
 def trim_blanks(x: Column) -> Column:
-    return F.regexp_replace(x, TRIM, "")
+    return F.trim(x, F.lit(BLANK_CHARS))
 
 
 def lines_of(text: Column) -> Column:
@@ -98,11 +109,20 @@ CLASSIFIERS = {
 }
 
 
+# One pattern for each kind of condition: a line's lower-case form is matched against all anchored patterns at once.
+_ANCHORED = "|".join((PAGE_NUMBER, SIGNATURE, VISUAL_NOISE, CONTACT))
+_AS_IT_IS = f"{POSTCODE}|{RULE}"
+
+
 def is_boilerplate(line: Column) -> Column:
-    out = F.lit(False)
-    for test in CLASSIFIERS.values():
-        out = out | test(line)
-    return out
+    """Whether any of CLASSIFIERS takes a line, with the line's lower-case form made once."""
+
+    def any_of(low: Column) -> Column:
+        size = F.length(line)
+        hit = low.rlike(_ANCHORED) | line.rlike(_AS_IT_IS) | low.rlike(AUDIT) | is_glyph_noise(line)
+        return hit | ((size < 80) & low.rlike(CREDENTIAL)) | ((size < 60) & line.rlike(EMAIL_ONLY)) | ((size < 32) & low.rlike(DEPARTMENT))
+
+    return bound(F.lower(line), any_of)
 
 
 def normalize_whitespace(x: Column) -> Column:
@@ -141,19 +161,22 @@ def extension(path: Column) -> Column:
 
 def prompt_mode(prompt: Column) -> Column:
     """Mode of the first list that has a keyword in the prompt; null for blank prompts and without a hit."""
-    low = F.lower(trim_blanks(prompt))
-    out = None
-    for mode, words in MODE_KEYWORDS.items():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | low.contains(w)
-        out = F.when(hit, F.lit(mode)) if out is None else out.when(hit, F.lit(mode))
-    return out
+
+    def first(low: Column) -> Column:
+        out = None
+        for mode, words in MODE_KEYWORDS.items():
+            hit = F.lit(False)
+            for w in words:
+                hit = hit | low.contains(w)
+            out = F.when(hit, F.lit(mode)) if out is None else out.when(hit, F.lit(mode))
+        return out
+
+    return bound(F.lower(trim_blanks(prompt)), first)
 
 
 def without_thinking_mark(prompt: Column) -> Column:
     """Leading blank lines and one line that is a thinking mark go; the rest is trimmed."""
-    marks = "|".join(m.replace("/", "/") for m in THINKING_MARKS)
+    marks = "|".join(THINKING_MARKS)
     return trim_blanks(F.regexp_replace(prompt, rf"(?i)\A(?:{BLANK}*{LINE_END})?[ \t]*(?:{marks})[ \t]*(?:{LINE_END}|\z)", ""))
 
 
@@ -163,21 +186,29 @@ def with_thinking(prompt: Column, think: bool) -> Column:
 
 def sections(text: Column) -> tuple[Column, Column]:
     """The CSV and the TXT section, both null unless both are there in that order and not blank."""
-    at, to = F.locate(CSV_MARK, text), F.locate(TXT_MARK, text)
     size = len(CSV_MARK)
-    csv = trim_blanks(F.substring(text, at + size, to - at - size))
-    txt = trim_blanks(F.substring(text, to + size, F.length(text)))
-    good = (at > 0) & (to >= at + size) & (csv != "") & (txt != "")
-    return F.when(good, csv), F.when(good, txt)
+
+    def cut(at: Column, to: Column) -> Column:
+        csv = trim_blanks(F.substring(text, at + size, to - at - size))
+        txt = trim_blanks(F.substring(text, to + size, F.length(text)))
+        both = bound(F.array(csv, txt), lambda x: F.when((x[0] != "") & (x[1] != ""), x))
+        return F.when((at > 0) & (to >= at + size), both)
+
+    pair = bound(F.array(F.locate(CSV_MARK, text), F.locate(TXT_MARK, text)), lambda x: cut(x[0], x[1]))
+    return F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
 
 
 def has_usable_text(text: Column) -> Column:
-    bare = trim_blanks(F.coalesce(text, F.lit("")))
-    head = F.substring(bare, 1, 500)
-    size = F.length(head)
-    alnum = F.length(F.regexp_replace(head, NOT_ALNUM, ""))
-    odd = size - F.length(F.replace(head, F.lit("�"), F.lit("")))
-    return (F.length(bare) >= 50) & (10 * alnum >= 4 * size) & (odd <= F.floor(size / 10))
+    """Whether a text layer is worth reading: 50 characters or more, and of the first 500 two fifths letters or digits
+    and at most a tenth replacement characters."""
+
+    def good(head: Column) -> Column:
+        size = F.length(head)
+        alnum = F.length(F.regexp_replace(head, NOT_ALNUM, ""))
+        odd = size - F.length(F.replace(head, F.lit("�"), F.lit("")))
+        return (size >= 50) & (10 * alnum >= 4 * size) & (odd <= F.floor(size / 10))
+
+    return bound(F.substring(trim_blanks(F.coalesce(text, F.lit(""))), 1, 500), good)
 
 
 def is_context_overflow(text: Column) -> Column:
@@ -189,21 +220,55 @@ def is_cacheable(responses: Column) -> Column:
     return (F.size(responses) == 1) & (one != "") & ~one.startswith("[Chyba") & ~one.startswith("[Žádná")
 
 
+def windows_of(text: Column, size: int) -> Column:
+    """The text cut every `size` characters, the rest last; one empty window for an empty text. One pass over the text,
+    where a substring for each window would begin at its start each time."""
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(cut)
+
+
+def _repeats(items: Column, least: int) -> Column:
+    """Whether an element stands in an array `least` times or more: equal ones are neighbours once sorted."""
+    return bound(F.array_sort(items), lambda s: F.exists(F.transform(s, lambda x, i: F.coalesce(F.get(s, i + (least - 1)) == x, F.lit(False))), lambda hit: hit))
+
+
 def output_warnings(text: Column, input_chars: Column) -> Column:
     """Codes of what is wrong with an output: empty, only_errors, short, long, repeated."""
-    bare = trim_blanks(F.coalesce(text, F.lit("")))
-    size = F.length(bare)
-    rows = F.filter(F.split(bare, "\n"), lambda x: F.trim(x) != "")
-    errors = (F.size(rows) > 0) & F.forall(rows, lambda x: F.trim(x).startswith("[Chyba"))
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(100)), lambda i: F.substring(bare, i + 1, F.lit(100)))
-    most = F.array_max(F.map_values(F.aggregate(blocks, F.create_map().cast("map<string,int>"), lambda m, b: F.map_zip_with(m, F.create_map(b, F.lit(1)), lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))))))
-    found = F.array(
-        F.when(errors, F.lit("only_errors")),
-        F.when((input_chars > 200) & (size < F.floor(input_chars / 20)), F.lit("short")),
-        F.when((input_chars > 200) & (size > 2 * input_chars), F.lit("long")),
-        F.when((size > 500) & (most >= 3), F.lit("repeated")),
-    )
-    return F.when(bare == "", F.array(F.lit("empty"))).otherwise(F.array_compact(found))
+
+    def of(bare: Column) -> Column:
+        size = F.length(bare)
+        rows = F.filter(F.split(bare, "\n"), lambda x: F.trim(x) != "")
+        errors = bound(rows, lambda r: (F.size(r) > 0) & F.forall(r, lambda x: F.trim(x).startswith("[Chyba")))
+        found = F.array(
+            F.when(bare.startswith("[Chyba") & errors, F.lit("only_errors")),
+            F.when((input_chars > 200) & (size < F.floor(input_chars / 20)), F.lit("short")),
+            F.when((input_chars > 200) & (size > 2 * input_chars), F.lit("long")),
+            F.when((size > 500) & _repeats(windows_of(bare, 100), 3), F.lit("repeated")),
+        )
+        return F.when(bare == "", F.array(F.lit("empty"))).otherwise(F.array_compact(found))
+
+    return bound(trim_blanks(F.coalesce(text, F.lit(""))), of)
+
+
+@F.pandas_udf(T.StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Unicode composition, for which Spark has no function."""
+    return text.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
+
+
+def dominant_language(detect, first: int = 1000):  # noqa: ANN001, ANN201
+    """Column -> Column: what a detector str -> str | None makes of a text's first characters, else "unknown"."""
+
+    @F.pandas_udf(T.StringType())
+    def of(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: (detect(t[:first]) if t else None) or "unknown")
+
+    return of
+
+
+def snippet(text: Column, most: int = 240) -> Column:
+    """The text, or its beginning and a mark that more follows."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 
 
 def natural_key(name: Column) -> Column:
@@ -222,4 +287,4 @@ def binary_answer(text: Column) -> Column:
 
 def profile_of_extension(ext: Column) -> Column:
     low = F.lower(ext)
-    return F.when(low.isin(CODE_TYPES), F.lit("code")).when(low == "csv", F.lit("tabular")).when(low.isin(*WORD_TYPES), F.lit("word")).otherwise(F.lit("medical"))
+    return F.when(low.isin(*CODE_TYPES), F.lit("code")).when(low == "csv", F.lit("tabular")).when(low.isin(*WORD_TYPES), F.lit("word")).otherwise(F.lit("medical"))

@@ -6,18 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.rows import bound
-from lexmill.functions.text import trim_blanks
+from lexmill.functions.text import trim_blanks, windows_of
 
 SIZE, OVERLAP = 1500, 250
 
 
 def chunk_array(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Windows that begin every size - overlap characters, up to the first that reaches the end; none for an empty text."""
+    """Windows that begin every size - overlap characters, up to the first that reaches the end; none for an empty text.
+    The text is cut once, into steps; a window is its step and the beginning of what follows."""
     if overlap >= size:
         raise ValueError("overlap must be less than size")
     step, n = size - overlap, F.length(text)
     count = F.greatest(F.lit(1), F.ceil((n - overlap) / step)).cast("int")
-    some = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring(text, k * step + 1, F.lit(size)))
+    following = -(-overlap // step)
+
+    def window(parts: Column, k: Column) -> Column:
+        if not overlap:
+            return F.get(parts, k)
+        return F.concat(F.get(parts, k), F.substring(F.array_join(F.slice(parts, k + 2, F.lit(following)), ""), 1, overlap))
+
+    some = bound(windows_of(text, step), lambda parts: F.transform(F.sequence(F.lit(0), count - 1), lambda k: window(parts, k)))
     return F.when(n > 0, some).otherwise(F.array().cast("array<string>"))
 
 

@@ -6,11 +6,13 @@ together. Pages are an array of strings, in order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.rows import bound
-from lexmill.functions.text import is_boilerplate, lines_of, normalize_whitespace
+from lexmill.functions.text import PAGE_BREAK, has_usable_text, is_boilerplate, lines_of, nfc, normalize_whitespace
 
 EDGE_LINES = 6
 SHARE = 0.45
@@ -23,7 +25,14 @@ def collect_pages(rows: DataFrame, doc: str, page: str, text: str) -> DataFrame:
 
 
 def _frequent(lines: Column, least: Column) -> Column:
-    return bound(lines, lambda all_lines: F.filter(F.array_distinct(all_lines), lambda x: F.size(F.filter(all_lines, lambda y: y == x)) >= least))
+    """The different lines that stand there `least` times or more: in the sorted array, the line so many places before
+    the last of its run is the same."""
+
+    def of(ordered: Column) -> Column:
+        marked = F.transform(ordered, lambda x, i: F.when((F.get(ordered, i + 1) == x).isNull() | (F.get(ordered, i + 1) != x), F.when((i + 1 >= least) & (F.get(ordered, i + 1 - least) == x), x)))
+        return F.filter(marked, lambda x: x.isNotNull())
+
+    return bound(F.array_sort(lines), of)
 
 
 def _repeated(lines: Column) -> Column:
@@ -94,8 +103,7 @@ def strip_edges(pages: Column, edge: int = 3) -> Column:
 
 def preprocess(text: Column, dedup_headers: bool, normalize: bool) -> Column:
     """A document with page breaks to its text by a profile's switches."""
-    from lexmill.functions.text import PAGE_BREAK
-
+    text = nfc(text) if normalize else text
     pages = F.split(text, r"\[\[PAGE_BREAK\]\]")
     stripped = F.filter(F.transform(strip_edges(pages), lambda x: F.trim(x)), lambda p: p != "")
     joined = F.when(F.size(pages) < 2, text).otherwise(F.array_join(stripped, "\n\n")) if dedup_headers else F.replace(text, F.lit(PAGE_BREAK), F.lit("\n\n"))
@@ -108,3 +116,20 @@ def text_or_fallback(primary: DataFrame, fallback: DataFrame, least: int = 8) ->
     a, b = primary.select("doc", "page", F.col("text").alias("a")), fallback.select("doc", "page", F.col("text").alias("b"))
     good = F.length(F.trim(F.coalesce("a", F.lit("")))) >= least
     return a.join(b, ["doc", "page"], "full_outer").select("doc", "page", F.when(good, F.col("a")).otherwise(F.coalesce("b", "a", F.lit(""))).alias("text"))
+
+
+def with_ocr_fallback(primary: DataFrame, run_fallback: Callable[[DataFrame], DataFrame], least: int = 8) -> DataFrame:
+    """(doc, page, text) from primary; files of which any page has too few characters go through the fallback as a
+    whole, and then each page is picked as in text_or_fallback."""
+    short = F.length(F.trim(F.coalesce("text", F.lit("")))) < least
+    weak = primary.groupBy("doc").agg(F.max(short).alias("weak")).filter("weak").select("doc")
+    picked = text_or_fallback(primary.join(weak, "doc", "left_semi"), run_fallback(weak), least)
+    return primary.join(weak, "doc", "left_anti").select("doc", "page", "text").unionByName(picked)
+
+
+def layer_or_ocr_by_page(pages: DataFrame, least_usable: Callable[[Column], Column] = has_usable_text) -> DataFrame:
+    """(doc, page, layer, ocr) to (doc, text): of each page the text layer if it is usable, else what OCR read; pages
+    joined by the mark of a page break."""
+    text = F.when(least_usable(F.col("layer")), F.col("layer")).otherwise(F.coalesce("ocr", "layer", F.lit("")))
+    listed = F.array_sort(F.collect_list(F.struct("page", text.alias("text"))))
+    return pages.groupBy("doc").agg(F.array_join(F.transform(listed, lambda p: p["text"]), PAGE_BREAK).alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,41 @@ def eta(log: DataFrame, run: str, ts: str) -> DataFrame:
 def tail(log: DataFrame, ts: str, n: int) -> DataFrame:
     """The last n lines; Spark keeps n rows a task and merges them."""
     return log.orderBy(F.col(ts).desc(), F.col("event_id").desc()).limit(n)
+
+
+# The phases of a run whose times a rollup adds up.
+PHASES = ("scan", "ocr", "text", "inference")
+
+
+def rollup(log: DataFrame, phase: str, ms: str, docs: str, pages: str, wall_ms: Column | None = None) -> DataFrame:
+    """One row over a run's log: milliseconds by phase, documents (the most that any row tells of), pages, and the
+    averages; documents a minute by the wall clock where it is known, else by the phases' sum; 0 where nothing divides."""
+    sums = [F.coalesce(F.sum(F.when(F.col(phase) == p, F.col(ms))), F.lit(0.0)).alias(f"{p}_ms") for p in PHASES]
+    wall = F.lit(0.0) if wall_ms is None else wall_ms
+    row = log.agg(*sums, F.coalesce(F.max(docs), F.lit(0)).alias("n_docs"), F.coalesce(F.sum(pages), F.lit(0)).alias("n_pages")).withColumn("wall_ms", wall)
+    worked = F.col("ocr_ms") + F.col("text_ms") + F.col("inference_ms")
+    spent = F.when(F.col("wall_ms") > 0, F.col("wall_ms")).otherwise(F.col("scan_ms") + worked)
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return row.withColumns({"avg_page_ms": ratio(worked, F.col("n_pages")), "avg_doc_ms": ratio(F.col("scan_ms") + worked, F.col("n_docs")), "docs_per_minute": ratio(F.col("n_docs") * 60000.0, spent)})
+
+
+def run_counters(docs: DataFrame, status: str, cached: str, ocr: str) -> DataFrame:
+    """(found, cached, read_by_ocr, completed) over the documents of a run."""
+    return docs.agg(F.count(F.lit(1)).alias("found"), F.count_if(cached).alias("cached"), F.count_if(ocr).alias("read_by_ocr"), F.count_if(F.col(status) == "OK").alias("completed"))
+
+
+def estimate(baseline: DataFrame, n_docs: int) -> DataFrame:
+    """What a run over n_docs documents may take by the last rollup that had a positive average, in milliseconds."""
+    last = baseline.filter("avg_doc_ms > 0").agg(F.max_by("avg_doc_ms", "ended_at").alias("avg_doc_ms"))
+    return last.select("avg_doc_ms", (F.col("avg_doc_ms") * n_docs).alias("estimate_ms"))
+
+
+def throttled(log: DataFrame, run: str, ts: str, least_s: float, every: int = 0) -> DataFrame:
+    """The events of a run that are shown: the first, those that come `least_s` seconds or more after the event before,
+    and each `every`-th."""
+    w = Window.partitionBy(run).orderBy(ts, "event_id")
+    gap = F.col(ts).cast("double") - F.lag(F.col(ts).cast("double")).over(w)
+    place = F.row_number().over(w)
+    shown = gap.isNull() | (gap >= least_s)
+    shown = shown | (place % every == 0) if every else shown
+    return log.withColumn("__shown", shown).filter("__shown").drop("__shown")

@@ -6,8 +6,12 @@ input folder; runs are packed side by side, and a run's fold carries (id, size)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OVERHEAD = 80
 CHARS_PER_TOKEN = 3.0
@@ -28,19 +32,27 @@ def batch_budget(prompt_chars: int, context: int = CONTEXT, system_chars: int =
 
 
 def pack(docs: DataFrame, run: str, key: str, size: Column, budget: int) -> DataFrame:
-    """(run, key, batch, place): a batch is closed when the next document would pass the budget; batches count from 1."""
-    listed = docs.groupBy(run).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), (size + OVERHEAD).cast("long").alias("size")))).alias("docs"))
-    kind = docs.schema[key].dataType.simpleString()
-    start = F.struct(F.lit(1).alias("batch"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast(f"array<struct<key:{kind},batch:int,place:int>>").alias("out"))
-
-    def step(s: Column, d: Column) -> Column:
-        opens = (s["used"] + d["size"] > budget) & (s["n"] > 0)
-        batch, n = s["batch"] + opens.cast("int"), F.when(opens, F.lit(1)).otherwise(s["n"] + 1)
-        used = F.when(opens, d["size"]).otherwise(s["used"] + d["size"])
-        return F.struct(batch.alias("batch"), used.alias("used"), n.alias("n"), F.concat(s["out"], F.array(F.struct(d["key"].alias("key"), batch.alias("batch"), n.alias("place")))).alias("out"))
-
-    packed = listed.select(run, F.explode(F.aggregate("docs", start, step, lambda s: s["out"])).alias("x"))
-    return packed.select(run, F.col("x.key").alias(key), F.col("x.batch").alias("batch"), F.col("x.place").alias("place"))
+    """(run, key, batch, place): a batch is closed when the next document would pass the budget; batches count from 1.
+    Documents come to their run's task in order of key, as (run, key, size), and go through it one by one; nothing is
+    collected."""
+    sized = docs.select(run, key, (size + OVERHEAD).cast("long").alias("__size"))
+
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number, used, place = object(), 0, 0, 0
+        for rows in batches:
+            numbers, places = [], []
+            for name, n in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                if name != last:
+                    last, number, used, place = name, 1, 0, 0
+                elif used + n > budget:
+                    number, used, place = number + 1, 0, 0
+                used, place = used + n, place + 1
+                numbers.append(number)
+                places.append(place)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(numbers, pa.int32()), pa.array(places, pa.int32())], names=[run, key, "batch", "place"])
+
+    out = T.StructType([docs.schema[run], docs.schema[key], T.StructField("batch", T.IntegerType()), T.StructField("place", T.IntegerType())])
+    return sized.repartition(run).sortWithinPartitions(run, key).mapInArrow(run_all, out)
 
 
 def labelled(place: Column, name: Column, text: Column) -> Column:
@@ -54,9 +66,14 @@ def payloads(docs: DataFrame, batches: DataFrame, run: str, key: str, name: Colu
     return rows.groupBy(run, "batch").agg(F.count(F.lit(1)).alias("n_docs"), F.array_join(F.transform(ordered, lambda x: x["part"]), "\n\n").alias("payload"))
 
 
-def reduce_payload(partials: DataFrame, run: str) -> DataFrame:
-    """(run, n_batches, payload) from (run, batch, output): labelled partial outputs in order."""
+def labelled_outputs(partials: DataFrame, run: str, label: str) -> DataFrame:
+    """(run, n_batches, payload) from (run, batch, output): the outputs in order, each below its label and number."""
     ordered = F.sort_array(F.collect_list(F.struct("batch", "output")))
-    return partials.groupBy(run).agg(F.count(F.lit(1)).alias("n_batches"), ordered.alias("parts")).select(
-        run, "n_batches", F.array_join(F.transform("parts", lambda x: F.concat(F.lit("=== Výstup dávky #"), x["batch"].cast("string"), F.lit("/"), F.col("n_batches").cast("string"), F.lit(" ===\n"), x["output"])), "\n\n").alias("payload")
-    )
+    grouped = partials.groupBy(run).agg(F.count(F.lit(1)).alias("n_batches"), ordered.alias("parts"))
+    part = lambda x: F.concat(F.lit(label), x["batch"].cast("string"), F.lit("/"), F.col("n_batches").cast("string"), F.lit(" ===\n"), x["output"])
+    return grouped.select(run, "n_batches", F.array_join(F.transform("parts", part), "\n\n").alias("payload"))
+
+
+def reduce_payload(partials: DataFrame, run: str) -> DataFrame:
+    """What the reduce call gets to read of a run's partial outputs."""
+    return labelled_outputs(partials, run, "=== Výstup dávky #")

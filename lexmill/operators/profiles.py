@@ -30,7 +30,7 @@ def chunk_profile(rows: DataFrame, model: str) -> DataFrame:
 
 def with_overrides(builtin: DataFrame, own: DataFrame, key: str = "id") -> DataFrame:
     """Own profiles, and the built-in ones whose id they don't take."""
-    return own.unionByName(builtin.join(F.broadcast(own.select(key)), key, "left_anti"), allowMissingColumns=True)
+    return own.unionByName(builtin.join(own.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
 def manifest_mismatches(manifest: dict, size: int, overlap: int, model: str, vector_size: int, collection: str, profile: str) -> list[str]:

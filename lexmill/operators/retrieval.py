@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.functions.vectors import cosine
 
@@ -39,6 +42,49 @@ def overlap_score(text: Column, terms: list[str]) -> Column:
     return sum((F.lower(text).contains(t).cast("int") for t in terms), F.lit(0))
 
 
+_QUERY_BLOCK, _ROW_BLOCK = 512, 4096
+
+
+def _units(vectors: list) -> np.ndarray:
+    """Unit rows; vectors that are empty, of another length than the first, zero or not finite become zero rows."""
+    size = next((len(v) for v in vectors if v is not None and len(v)), 0)
+    x = np.zeros((len(vectors), size))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == size:
+            x[i] = [np.nan if c is None else c for c in v]
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norms, out=np.zeros_like(x), where=np.isfinite(norms) & (norms > 0))
+
+
+def nearest_by_group(rows: DataFrame, queries: DataFrame, key: str, group: str, embedding: str, k: int = TOP_K) -> DataFrame:
+    """(query, group, key, score, rank): for every query vector the k rows of each group with the highest cosine, ties
+    to the smaller key. Queries and rows are packed into blocks by hash; each pair of blocks is one matrix product, of
+    which k rows a query and group are kept, so no pair of vectors is ever a row."""
+
+    def packed(frame: DataFrame, columns: list[str], name: str, size: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(key), F.lit(max(1, -(-frame.count() // size))))
+        return frame.select(block.alias(f"{name}_block"), F.struct(*columns).alias("x")).groupBy(f"{name}_block").agg(F.collect_list("x").alias(name))
+
+    pairs = packed(rows, [key, group, embedding], "rows", _ROW_BLOCK).crossJoin(packed(queries, [key, embedding], "asked", _QUERY_BLOCK))
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for own, asked in zip(pdf.rows, pdf.asked, strict=True):
+                x, q = _units([r[embedding] for r in own]), _units([r[embedding] for r in asked])
+                near = np.round(q @ x.T, 9) if x.shape[1] == q.shape[1] else np.zeros((len(q), len(x)))
+                keys, groups, names = np.array([r[key] for r in own]), pd.Series([r[group] for r in own]), [r[key] for r in asked]
+                for value, places in groups.groupby(groups, dropna=False).groups.items():
+                    at = np.asarray(places)
+                    for i, name in enumerate(names):
+                        chosen = at[np.lexsort((keys[at], -near[i, at]))[:k]]
+                        yield pd.DataFrame({"query": name, group: value, key: keys[chosen], "score": near[i, chosen]})
+
+    fields = [T.StructField("query", rows.schema[key].dataType), rows.schema[group], rows.schema[key], T.StructField("score", T.DoubleType())]
+    some = pairs.select("rows", "asked").mapInPandas(best, T.StructType(fields))
+    w = Window.partitionBy("query", group).orderBy(F.col("score").desc(), key)
+    return some.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def leaders(vectors: DataFrame, group: str, key: str, embedding: str, threshold: float) -> DataFrame:
     """In order of key within a group, each vector joins the most similar earlier leader at or over the threshold, or
     becomes a leader: (group, key, leader, hit). One group is one collection, whose leaders a task holds."""

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import keys, text, vectors
 from lexmill.functions.jsonio import is_json, strict_json
-from lexmill.operators import cache, chunking, cleaning, metrics, packing, results, retrieval
+from lexmill.operators import cache, chunking, cleaning, metrics, modes, orchestration, packing, results, retrieval
+from lexmill.operators.models import letter_embedder, overlap_reranker
+from lexmill.sources import readers, sinks
 
 NOISY = (
     "concat_ws(chr(10), 'Fakultní nemocnice Motol', concat('Strana ', CAST(doc_id % 7 + 1 AS STRING), '/7'), text, CASE doc_id % 8 WHEN 0 THEN 'MUDr. Jan Novák' "
@@ -137,15 +139,14 @@ def context_fallback_first6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)::DOUBLE[]), 9) AS score FROM embeddings),
-r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s) SELECT label, vec_id, rank::INTEGER AS rank FROM r WHERE rank <= 6"""
+    """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT q.query, vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], q.e), 9) AS score FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query, label, vec_id, rank::INTEGER AS rank FROM r WHERE rank <= 6"""
 )
 def embedding_topk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    query = e.filter("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
-    scored = e.join(F.broadcast(query)).withColumnRenamed("vec_id", "chunk_idx")  # one row against all
-    best = retrieval.top_chunks(scored, F.round(vectors.cosine(F.col("embedding"), F.col("q")), 9), "label")
-    return best.select("label", F.col("chunk_idx").alias("vec_id"), "rank")
+    """The rows whose id is divisible by 100 are the queries, against all rows."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return retrieval.nearest_by_group(e, e.filter("vec_id % 100 = 0"), "vec_id", "label", "embedding").select("query", "label", "vec_id", "rank")
 
 
 _LEADERS_SQL = f"""WITH RECURSIVE e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
@@ -238,7 +239,7 @@ c AS (SELECT doc_id, regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g') AS
 SELECT doc_id, md5({_trim('t')}) AS md5, length({_trim('t')}) AS chars FROM d"""
 )
 def whitespace_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = text.normalize_whitespace(F.expr(_WS.replace("chr(65279)", "char(65279)") if False else _WS.replace("chr(65279)", "'﻿'")))
+    t = text.normalize_whitespace(F.expr(_WS.replace("chr(65279)", "'﻿'")))
     return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.md5("t").alias("md5"), F.length("t").cast("long").alias("chars"))
 
 
@@ -284,19 +285,19 @@ def embedding_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {DOCS}, cached AS (SELECT DISTINCT file_hash FROM docs WHERE doc_id % 4 = 0), j AS (SELECT d.doc_id, d.source, c.file_hash IS NOT NULL AS hit FROM docs d LEFT JOIN cached c USING (file_hash))
+    f"""WITH {DOCS}, cached AS (SELECT DISTINCT file_hash FROM docs JOIN labels USING (doc_id)), j AS (SELECT d.doc_id, d.source, c.file_hash IS NOT NULL AS hit FROM docs d LEFT JOIN cached c USING (file_hash))
 SELECT source, count(*) FILTER (hit)::BIGINT AS hits, count(*) FILTER (NOT hit)::BIGINT AS misses FROM j GROUP BY source"""
 )
 def cache_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs_view(spark, sf_dir).withColumnRenamed("file_hash", "key")
-    stored = d.filter("doc_id % 4 = 0").select("key", F.lit("x").alias("response"), F.col("doc_id").alias("created_at"))
+    stored = d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("key", F.lit("x").alias("response"), F.col("doc_id").alias("created_at"))
     return cache.lookup(d.select("key", "source"), stored).groupBy("source").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
-@_query(f"WITH {DOCS}, c AS (SELECT file_hash, 'old/' || max(doc_id) AS stored_path FROM docs WHERE doc_id % 2 = 0 GROUP BY file_hash) SELECT d.doc_id, d.source_file AS path, c.stored_path <> d.source_file AS renamed FROM docs d JOIN c USING (file_hash)")
+@_query(f"WITH {DOCS}, c AS (SELECT file_hash, 'old/' || max(doc_id) AS stored_path FROM docs JOIN labels USING (doc_id) GROUP BY file_hash) SELECT d.doc_id, d.source_file AS path, c.stored_path <> d.source_file AS renamed FROM docs d JOIN c USING (file_hash)")
 def cache_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs_view(spark, sf_dir).withColumnRenamed("file_hash", "key")
-    stored = d.filter("doc_id % 2 = 0").select("key", F.concat(F.lit("old/"), F.col("doc_id").cast("string")).alias("stored_path"), F.col("doc_id").alias("created_at"))
+    stored = d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("key", F.concat(F.lit("old/"), F.col("doc_id").cast("string")).alias("stored_path"), F.col("doc_id").alias("created_at"))
     return cache.lookup(d.select("doc_id", "source_file", "key"), stored).filter("hit").select("doc_id", F.col("source_file").alias("path"), (F.col("stored_path") != F.col("source_file")).alias("renamed"))
 
 
@@ -347,8 +348,8 @@ def map_reduce_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {DOCS} SELECT source, sum(CAST(ceil(length(text) / 3.0) AS BIGINT))::BIGINT AS tokens, CAST(greatest(32768, 1024) * 0.7 AS INT) AS budget,
-sum(CAST(ceil(length(text) / 3.0) AS BIGINT)) <= {packing.token_budget()} AS fits FROM docs GROUP BY source""".replace("CAST(greatest(32768, 1024) * 0.7 AS INT)", str(packing.token_budget()))
+    f"""WITH {DOCS} SELECT source, sum(CAST(ceil(length(text) / 3.0) AS BIGINT))::BIGINT AS tokens, 22937 AS budget,
+sum(CAST(ceil(length(text) / 3.0) AS BIGINT)) <= 22937 AS fits FROM docs GROUP BY source"""
 )
 def preflight_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = docs_view(spark, sf_dir).groupBy("source").agg(F.sum(packing.tokens(F.col("text"))).alias("tokens"))
@@ -391,7 +392,7 @@ def raw_kind_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.when(F.col("csv").isNotNull(), F.lit("sections")).when(F.col("json"), F.lit("json")).otherwise(F.lit("text")).alias("kind"))
 
 
-@_query()
+@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 10) / 10.0::DOUBLE END AS confidence, doc_id % 3 = 0 AS valid FROM documents")
 def strict_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ", ".join([*(f'"{n}":"v"' for n in ("source_file", "patient_name", "patient_id", "birth_date", "admission_date", "discharge_date", "discharge_status")), *(f'"{n}":[]' for n in ("diagnoses", "medication", "lab_values", "warnings"))])
     raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Answer: {" + fields + ', "confidence": '), (F.col("doc_id") % 10 / 10).cast("string"), F.lit("} done"))).when(F.col("doc_id") % 3 == 1, F.lit('{"confidence": true}')).otherwise(F.lit("none"))
@@ -400,31 +401,65 @@ def strict_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CSV_FIELD = lambda x: f"""'"' || replace(replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '"', '""') || '"'"""
-_QUOTED = "concat('a \"', lang, '\" ', chr(13), chr(10), source)"
 
 
-@_query(f"SELECT doc_id, {_CSV_FIELD('doc_id::VARCHAR')} || ',' || {_CSV_FIELD(_QUOTED)} AS line FROM documents")
-def export_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def results_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result row for each document, with whole texts in its fields."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.concat_ws(",", text.csv_field(F.col("doc_id").cast("string")), text.csv_field(F.expr(_QUOTED))).alias("line"))
+    return d.select(
+        "doc_id", F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit("/"), "lang", F.lit(".pdf")).alias("source_file"), F.expr("concat('a \"', lang, '\" ', chr(13), chr(10), source)").alias("patient_name"),
+        F.col("doc_id").cast("string").alias("patient_id"), F.lit("").alias("birth_date"), F.lit("1.1.").alias("admission_date"), F.lit("2.1.").alias("discharge_date"), F.lit("home").alias("discharge_status"),
+        F.array("source", "text").alias("diagnoses"), F.array().cast("array<string>").alias("medication"), F.array(F.lit("x")).alias("lab_values"), F.array("lang").alias("warnings"),
+        (F.col("n_chars") / 7).alias("confidence"), F.expr(_RAW).alias("raw_response"),
+    )
+
+
+_NAME = "'a \"' || lang || '\" ' || chr(13) || chr(10) || source"
+_CSV_SQL = " || ',' || ".join(
+    _CSV_FIELD(x)
+    for x in ("'in/' || doc_id || '/' || lang || '.pdf'", _NAME, "doc_id::VARCHAR", "''", "'1.1.'", "'2.1.'", "source || ' | ' || text", "''", "'x'", "'home'", "lang", "printf('%.4f', n_chars / 7.0::DOUBLE)")
+)
+
+
+@_query(f"SELECT doc_id, md5({_CSV_SQL}) AS line_md5 FROM documents")
+def export_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = results_view(spark, sf_dir)
+    return r.select("doc_id", F.md5(sinks.csv_line(r)).alias("line_md5"))
 
 
-@_query(f"WITH {DOCS} SELECT doc_id, 'Soubor: ' || source_file || chr(10) || 'Stav: ' || source || chr(10) || '---------------------------------------------' || chr(10) AS block FROM docs")
+@_query(
+    f"""WITH r AS (SELECT *, {_RAW} AS raw FROM documents) SELECT doc_id, md5('Soubor: in/' || doc_id || '/' || lang || '.pdf' || chr(10) || 'Pacient: ' || {_NAME} || chr(10) || 'ID: ' || doc_id || chr(10)
+|| 'Přijetí: 1.1. | Propuštění: 2.1.' || chr(10) || 'Diagnózy: ' || source || ', ' || text || chr(10) || 'Medikace: ' || chr(10) || 'Laboratorní hodnoty: x' || chr(10) || 'Stav: home' || chr(10)
+|| 'Confidence: ' || printf('%.2f', n_chars / 7.0::DOUBLE) || chr(10) || 'Varování: ' || lang || chr(10) || '--- Raw odpověď modelu ---' || chr(10) || raw || chr(10) || repeat('-', 45)) AS block_md5 FROM r"""
+)
 def export_txt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_view(spark, sf_dir).select("doc_id", F.concat(F.lit("Soubor: "), F.col("source_file"), F.lit("\nStav: "), F.col("source"), F.lit("\n" + "-" * 45 + "\n")).alias("block"))
+    r = results_view(spark, sf_dir)
+    return r.select("doc_id", F.md5(sinks.txt_block(r)).alias("block_md5"))
+
+
+@_query(
+    f"""WITH {_SECTIONS_CTE}, n AS (SELECT t.*, lang || '_raw' || CASE WHEN row_number() OVER w > 1 THEN '_' || row_number() OVER w ELSE '' END AS base,
+CASE WHEN csv <> '' AND txt <> '' THEN 'sections' WHEN json_valid(raw) THEN 'json' ELSE 'text' END AS kind FROM t JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY lang ORDER BY 'in/' || doc_id || '/' || lang || '.pdf')),
+f AS (SELECT base || '.csv' AS name, kind, chr(65279) || csv AS content FROM n WHERE kind = 'sections' UNION ALL SELECT base || '.txt', kind, txt FROM n WHERE kind = 'sections'
+UNION ALL SELECT base || '.json', kind, CASE doc_id % 5 WHEN 0 THEN '{{' || chr(10) || '  "n": ' || doc_id || chr(10) || '}}' ELSE raw END FROM n WHERE kind = 'json' UNION ALL SELECT base || '.txt', kind, raw FROM n WHERE kind = 'text')
+SELECT name, kind, md5(content) AS content_md5 FROM f"""
+)
+def raw_export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.raw_files(results_view(spark, sf_dir)).select("name", "kind", F.md5("content").alias("content_md5"))
 
 
 @_query("SELECT doc_id, source || CASE WHEN row_number() OVER (PARTITION BY lower(source) ORDER BY doc_id) > 1 THEN '_' || row_number() OVER (PARTITION BY lower(source) ORDER BY doc_id) ELSE '' END || '.json' AS name FROM documents")
 def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexmill.sources.sinks import unique_names
-
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("in/"), "source", F.lit(".pdf")).alias("path"))
-    return unique_names(d, "path", "doc_id", ".json").select("doc_id", "name")
+    return sinks.unique_names(d, "path", "doc_id", ".json").select("doc_id", "name")
 
 
-@_query("SELECT source AS base_name, max(doc_id) AS doc_id FROM documents GROUP BY source")
+@_query(
+    f"""WITH {_SECTIONS_CTE}, v AS (SELECT lang AS base_name, 'in/' || doc_id || '/' || lang || '.pdf' AS f, CASE WHEN csv <> '' AND txt <> '' THEN '{{"csv":"' || csv || '","txt":"' || txt || '"}}'
+WHEN json_valid(raw) THEN raw ELSE to_json(raw)::VARCHAR END AS value FROM t JOIN documents USING (doc_id)) SELECT base_name, arg_max(value, f) AS value FROM v GROUP BY base_name"""
+)
 def raw_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("base_name")).agg(F.max_by("doc_id", "doc_id").alias("doc_id"))
+    return sinks.raw_responses(results_view(spark, sf_dir))
 
 
 @_query(f"SELECT doc_id, md5(replace(replace(replace(replace(replace({NOISY}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) AS xml_md5, md5(translate({NOISY}, '|' || chr(13) || chr(10), '¦  ')) AS log_md5 FROM documents")
@@ -438,9 +473,9 @@ def escaped_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MODE_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(lower(t), '{w}')''' for w in ws)} THEN '{m}'" for m, ws in text.MODE_KEYWORDS.items()) + " END"
 
 
-@_query(f"WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Agreguj ' || substr(text, 1, 50) WHEN 1 THEN 'Once PER FILE please' ELSE text END AS t FROM documents) SELECT doc_id, {_MODE_SQL} AS mode FROM p")
+@_query(f"WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Agreguj ' || text WHEN 1 THEN 'Once PER FILE please' ELSE text END AS t FROM documents) SELECT doc_id, {_MODE_SQL} AS mode FROM p")
 def prompt_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.expr("CASE doc_id % 4 WHEN 0 THEN concat('Agreguj ', substr(text, 1, 50)) WHEN 1 THEN 'Once PER FILE please' ELSE text END")
+    p = F.expr("CASE doc_id % 4 WHEN 0 THEN concat('Agreguj ', text) WHEN 1 THEN 'Once PER FILE please' ELSE text END")
     return table(spark, sf_dir, "documents").select("doc_id", text.prompt_mode(p).alias("mode"))
 
 
@@ -450,7 +485,7 @@ def thinking_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.without_thinking_mark(p).alias("prompt"))
 
 
-_USABLE = "CASE doc_id % 3 WHEN 0 THEN concat('?!*', repeat('#-', 200), text) WHEN 1 THEN substr(text, 1, 40) ELSE text END"
+_USABLE = "CASE doc_id % 3 WHEN 0 THEN concat('?!*', repeat('#-', 200), text) WHEN 1 THEN concat(repeat('�', 60), text) ELSE text END"
 
 
 @_query(
@@ -555,23 +590,19 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT doc_id, source || '/' || doc_id || '.pdf' AS source_file, 'chars ' || length(text) AS patient_name, 0.5::DOUBLE AS confidence FROM documents WHERE length(text) > 0")
 def fast_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexmill.operators.modes import fast
-
     d = docs_view(spark, sf_dir).filter(F.length("text") > 0)
-    return fast(d, "doc_id", "source_file", "text", "prompt").select("doc_id", "source_file", "patient_name", "confidence")
+    return modes.fast(d, "doc_id", "source_file", "text", "prompt").select("doc_id", "source_file", "patient_name", "confidence")
 
 
 @_query(f"WITH {DOCS} SELECT source, 'Consolidated (' || count(*) || ' dokumentů)' AS source_file, count(*)::BIGINT AS n_docs FROM docs GROUP BY source")
 def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexmill.operators.modes import consolidated
-
-    return consolidated(docs_view(spark, sf_dir), "source", "doc_id", "source_file", "text", "prompt").select("source", "source_file", "n_docs")
+    return modes.consolidated(docs_view(spark, sf_dir), "source", "doc_id", "source_file", "text", "prompt").select("source", "source_file", "n_docs")
 
 
-@_query("SELECT doc_id AS path_id, CASE WHEN length(text) % 2 = 0 THEN CASE WHEN length(trim(substr(text, 1, 4))) >= 8 THEN substr(text, 1, 4) ELSE text END ELSE text END AS page_text FROM documents")
+@_query("SELECT doc_id AS path_id, CASE WHEN length(text) % 2 = 0 AND length(trim(source)) >= 8 THEN source ELSE text END AS page_text FROM documents")
 def ocr_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("page"), "text")
-    primary = d.filter(F.length("text") % 2 == 0).withColumn("text", F.substring("text", 1, 4))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("page"), "text", "source")
+    primary = d.filter(F.length("text") % 2 == 0).select("doc", "page", F.col("source").alias("text"))
     return cleaning.text_or_fallback(primary, d).select(F.col("doc").alias("path_id"), F.col("text").alias("page_text"))
 
 
@@ -581,6 +612,145 @@ def smart_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(chunking.smart_chunk_array(F.col("text"), 1000, 120)).alias("chunk_idx", "chunk")).select("doc_id", "chunk_idx", F.length("chunk").alias("chunk_chars"))
 
 
+# ---------------------------------------------------------------- requests, caches, layout, rollups
+
+_RUN_CONTEXT, _RUN_TOKENS = 60_000, 42_000
+_NUMBERED = f"{DOCS}, n AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM docs)"
+
+
+@_query(
+    f"""WITH {_NUMBERED}, u AS (SELECT source, 'prompt' || chr(10) || chr(10) || 'Vstupní dokumenty (' || count(*) || '):' || chr(10)
+|| string_agg('=== Dokument #' || i || ': ' || doc_id || '.pdf ===' || chr(10) || text, chr(10) || chr(10) ORDER BY i) AS usr FROM n GROUP BY source)
+SELECT source, ceil((length(usr) + 134) / 3.0)::BIGINT AS tokens, ceil((length(usr) + 134) / 3.0) <= {_RUN_TOKENS} AS fits, md5(usr) AS user_md5 FROM u"""
+)
+def consolidate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole request over each folder, and its size reckoned from lengths alone."""
+    d, columns = docs_view(spark, sf_dir), ("source", "doc_id", "source_file", "text", "prompt")
+    totals = modes.run_totals(d, *columns).select("source", "tokens", (F.col("tokens") <= packing.token_budget(_RUN_CONTEXT)).alias("fits"))
+    return totals.join(modes.single_requests(d, *columns), "source").select("source", "tokens", "fits", F.md5("user").alias("user_md5"))
+
+
+_BIG_PACK = _PACK_CTE.replace(str(PACK_BUDGET), "125120")
+
+
+@_query(
+    f"""WITH RECURSIVE {_BIG_PACK}, t AS (SELECT source, max(batch) AS n_batches FROM f GROUP BY source),
+u AS (SELECT f.source, f.batch, count(*) AS n, string_agg({_PART}, chr(10) || chr(10) ORDER BY f.place) AS payload FROM f JOIN docs d USING (source, doc_id) GROUP BY f.source, f.batch)
+SELECT source, batch::INTEGER AS batch, n_batches::INTEGER AS n_batches, md5('[Toto je dávka #' || batch || ' z ' || n_batches
+|| '. Zpracuj jen přiložené dokumenty a vrať výstup ve stejném formátu, jako bys měl jen tyto dokumenty. Deduplikace napříč dávkami proběhne v další fázi.]' || chr(10) || chr(10) || 'prompt' || chr(10) || chr(10)
+|| 'Vstupní dokumenty v této dávce (' || n || '):' || chr(10) || payload) AS user_md5 FROM u JOIN t USING (source)"""
+)
+def map_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = modes.batch_requests(docs_view(spark, sf_dir), "source", "doc_id", "source_file", "text", "prompt", _RUN_CONTEXT)
+    return m.select("source", "batch", "n_batches", F.md5("user").alias("user_md5"))
+
+
+@_query(
+    f"""WITH {_CHUNK_CTE}, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_SCORE_SQL} DESC, chunk_idx) AS r FROM c),
+b AS (SELECT *, len(list_intersect(list_distinct(string_split_regex(lower(chunk), '[ \\n]+')), {sorted(set(QUERY_TEXT.split()))})) AS s FROM a WHERE r <= 20),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, r) AS k FROM b)
+SELECT doc_id, md5(string_agg(chunk, chr(10) || chr(10) ORDER BY k)) AS context_md5 FROM e WHERE k <= 6 GROUP BY doc_id"""
+)
+def search_reranked_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context of SEARCH with an embedder and a reranker passed in."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").filter(F.length("text") > 0)
+    return modes.retrieved(d, "doc_id", "text", QUERY_TEXT, lambda: letter_embedder, lambda: overlap_reranker).select("doc_id", F.md5("__context").alias("context_md5"))
+
+
+@_query(
+    f"""WITH {DOCS}, c AS (SELECT DISTINCT file_hash FROM docs JOIN labels USING (doc_id)), j AS (SELECT d.*, c.file_hash IS NOT NULL AS hit FROM docs d LEFT JOIN c USING (file_hash))
+SELECT source, count(*)::BIGINT AS n, count(*) FILTER (hit)::BIGINT AS from_cache, md5(string_agg(CASE WHEN hit THEN 'old' ELSE upper(file_hash) END, ',' ORDER BY doc_id)) AS answers_md5 FROM j GROUP BY source"""
+)
+def cache_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests answered from a cache of labelled documents, else computed once for each key."""
+    d = docs_view(spark, sf_dir).withColumnRenamed("file_hash", "key")
+    stored = d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("key", F.lit("old").alias("response"), F.current_timestamp().alias("created_at"))
+    answers, _ = cache.fill(d.select("key", "source", "doc_id"), stored, lambda rows: rows.withColumn("response", F.upper("key")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "response"))), lambda x: x["response"])
+    return answers.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("response") == "old").alias("from_cache"), F.md5(F.array_join(listed, ",")).alias("answers_md5"))
+
+
+@_query(
+    f"""WITH x AS (SELECT doc_id, {_trim('text')} AS t, source, (doc_id % 4)::INTEGER AS p FROM documents),
+b AS (SELECT doc_id, p AS page, 'heading' AS type, t FROM x WHERE t <> '' AND length(t) <= 20000 UNION ALL SELECT doc_id, 7, 'table', source FROM x UNION ALL SELECT doc_id, NULL, NULL, source || '!' FROM x)
+SELECT doc_id, page, type, md5(t) AS text_md5 FROM b"""
+)
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks out of a layout extractor's JSON: names by priority, types in lower case, repeated blocks once."""
+    page = (F.col("doc_id") % 4).cast("string")
+    said = F.to_json(
+        F.struct(
+            F.struct(F.lit(" ").alias("text"), F.col("text").alias("md"), page.alias("pageIndex"), F.lit("Heading").alias("label"), F.lit("x").alias("kind")).alias("first"),
+            F.array(*[F.struct(F.col("source").alias("content"), F.lit("Table").alias("type"), F.struct(F.lit(7).alias("page")).alias("bbox"))] * 2).alias("kids"),
+            F.struct(F.concat("source", F.lit("! ")).alias("value"), F.lit("x").alias("page")).alias("last"),
+        )
+    )
+    rows = readers.block_rows(table(spark, sf_dir, "documents").select("doc_id", said.alias("said")), "said")
+    return rows.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.page", "b.type", F.md5("b.text").alias("text_md5"))
+
+
+_PHASE = "CASE event_type WHEN 'click' THEN 'scan' WHEN 'view' THEN 'ocr' WHEN 'purchase' THEN 'text' ELSE 'inference' END"
+
+
+@_query(
+    f"""WITH l AS (SELECT {_PHASE} AS phase, value, user_id, 1 AS pages FROM events), s AS (SELECT coalesce(sum(value) FILTER (phase = 'scan'), 0) AS a, coalesce(sum(value) FILTER (phase <> 'scan'), 0) AS b, max(user_id) AS d, sum(pages) AS p FROM l)
+SELECT d AS n_docs, p::BIGINT AS n_pages, round(b / p, 6) AS avg_page_ms, round((a + b) / d, 6) AS avg_doc_ms, round(d * 60000.0 / (a + b), 6) AS docs_per_minute FROM s"""
+)
+def run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select(F.expr(_PHASE).alias("phase"), "value", "user_id", F.lit(1).alias("pages"))
+    r = metrics.rollup(log, "phase", "value", "user_id", "pages")
+    return r.select("n_docs", "n_pages", *[F.round(c, 6).alias(c) for c in ("avg_page_ms", "avg_doc_ms", "docs_per_minute")])
+
+
+@_query(
+    f"""WITH {DOCS} SELECT count(*)::BIGINT AS found, count(*) FILTER (l.doc_id IS NOT NULL)::BIGINT AS cached, count(*) FILTER (length(d.text) < 50)::BIGINT AS read_by_ocr, count(*) FILTER (l.toxic = 0)::BIGINT AS completed
+FROM docs d LEFT JOIN labels l USING (doc_id)"""
+)
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs_view(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    rows = d.select(F.col("toxic").isNotNull().alias("cached"), (F.length("text") < 50).alias("ocr"), F.when(F.col("toxic") == 0, F.lit("OK")).otherwise(F.lit("ERR")).alias("status"))
+    return metrics.run_counters(rows, "status", "cached", "ocr")
+
+
+@_query(
+    """WITH g AS (SELECT event_id, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w AS gap, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id FROM g WHERE gap IS NULL OR gap >= 3600 OR n % 5 = 0"""
+)
+def throttled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return metrics.throttled(e, "user_id", "ts", 3600, 5).select("event_id")
+
+
+@_query("SELECT doc_id, CASE WHEN length(text) > 240 THEN substr(text, 1, 240) || '…' ELSE text END AS said, md5(nfc_normalize(replace(text, 'e', 'e' || chr(769)))) AS nfc_md5 FROM documents")
+def error_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a text goes into an error message, and the text's composed form."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.snippet(F.col("text")).alias("said"), F.md5(text.nfc(F.replace(F.col("text"), F.lit("e"), F.lit("e\u0301")))).alias("nfc_md5"))
+
+
+@_query(
+    """SELECT conv_id, turn, CASE WHEN turn > 0 AND max(turn) OVER w > 0 THEN 'go on' ELSE 'first' END || CASE WHEN length(text) < 3000 THEN chr(10) || chr(10)
+|| 'Odpověď napiš výstižně a stručně jako souvislý text. Nepoužívej tabulky, odrážky ani technické poznámky.' ELSE '' END AS prompt FROM conversations WINDOW w AS (PARTITION BY conv_id)"""
+)
+def chunk_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "conversations").withColumn("n", F.max("turn").over(Window.partitionBy("conv_id")) + 1)
+    return c.select("conv_id", "turn", orchestration.chunk_prompt("first", F.col("turn"), F.col("n"), F.length("text"), "go on").alias("prompt"))
+
+
+@_query(
+    f"""WITH {DOCS}, w AS (SELECT source, min(length(trim(coalesce(text, '')))) < 8 AS weak FROM docs GROUP BY source)
+SELECT source AS doc, doc_id AS page, CASE WHEN weak AND length(trim(coalesce(text, ''))) < 8 THEN 'read ' || doc_id ELSE text END AS page_text FROM docs JOIN w USING (source)"""
+)
+def ocr_of_weak_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders as files and documents as pages: a file with any short page goes through OCR as a whole."""
+    d = docs_view(spark, sf_dir)
+    primary = d.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    again = lambda weak: primary.join(weak, "doc", "left_semi").select("doc", "page", F.concat(F.lit("read "), F.col("page").cast("string")).alias("text"))
+    return cleaning.with_ocr_fallback(primary, again).select("doc", "page", F.col("text").alias("page_text"))
+
+
 def queries() -> dict:
     return dict(_Q)
 

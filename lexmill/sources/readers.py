@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions.jsonio import whole_number
 from lexmill.functions.text import OTHER_TYPES, OWN_OUTPUT, PLAIN_TEXT_TYPES, extension, file_name, natural_key, trim_blanks
 
+
 def visible() -> Column:
     return ~F.col("path").rlike(r"/\.[^/]*(/|$)")
 
@@ -24,7 +28,7 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, extension, text): the supported types below a folder, own outputs left out. Plain text is decoded as UTF-8,
     else as Latin-1, html with its tags; other types need an extractor and get a fixed placeholder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(visible())
-    files = files.withColumn("extension", extension(F.col("path"))).filter(F.col("extension").isin(PLAIN_TEXT_TYPES + OTHER_TYPES) & ~file_name(F.col("path")).rlike(OWN_OUTPUT))
+    files = files.withColumn("extension", extension(F.col("path"))).filter(F.col("extension").isin(*PLAIN_TEXT_TYPES, *OTHER_TYPES) & ~file_name(F.col("path")).rlike(OWN_OUTPUT))
 
     @F.pandas_udf("string")
     def decoded(content: pd.Series) -> pd.Series:
@@ -36,8 +40,8 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
         return content.map(one)
 
-    plain = files.filter(F.col("extension").isin(PLAIN_TEXT_TYPES)).select("path", "extension", decoded("content").alias("text"))
-    other = files.filter(~F.col("extension").isin(PLAIN_TEXT_TYPES)).select("path", "extension", F.concat(F.lit("[no text extractor for ."), "extension", F.lit("]")).alias("text"))
+    plain = files.filter(F.col("extension").isin(*PLAIN_TEXT_TYPES)).select("path", "extension", decoded("content").alias("text"))
+    other = files.filter(~F.col("extension").isin(*PLAIN_TEXT_TYPES)).select("path", "extension", F.concat(F.lit("[no text extractor for ."), "extension", F.lit("]")).alias("text"))
     return plain.unionByName(other)
 
 
@@ -80,32 +84,93 @@ def text_layer_or_ocr(layer: DataFrame, ocr: DataFrame) -> DataFrame:
     return layer.join(has.filter("has").select("doc"), "doc", "left_semi").unionByName(ocr.join(has.filter("has").select("doc"), "doc", "left_anti"))
 
 
-BLOCK_TYPE_NAMES, BLOCK_PAGE_NAMES = ("type", "kind", "category", "label", "block_type"), ("page", "page_number", "pageNumber", "page_index", "page number")
+# Names under which a layout extractor gives a block's text, type and page, by priority.
+BLOCK_TEXT_NAMES = ("text", "content", "value", "markdown", "md")
+BLOCK_TYPE_NAMES = ("type", "label", "kind", "category", "block_type")
+BLOCK_PAGE_NAMES = ("page", "page_number", "pageNumber", "page_index", "pageIndex")
+BLOCK_CHARS = 20_000
 
 
-def blocks(text: str) -> list[tuple[int | None, str | None, str]]:
-    """(page, type, text) of all objects with a text in a layout extractor's JSON, in document order, each once."""
-    from lexmill.functions.jsonio import TEXT_NAMES
+def _said(value: dict, names: tuple[str, ...]) -> str | None:
+    """The first string under one of the names that is not blank, trimmed."""
+    return next((t for n in names if isinstance(value.get(n), str) and (t := value[n].strip())), None)
 
-    out: dict[tuple, None] = {}
 
-    def first(value: dict, names):  # noqa: ANN001, ANN202
-        return next((value[n] for n in names if value.get(n) not in (None, "")), None)
+def _page(value: dict) -> int | None:
+    own = next((n for name in BLOCK_PAGE_NAMES if (n := whole_number(value.get(name))) is not None), None)
+    return whole_number(value["bbox"].get("page")) if own is None and isinstance(value.get("bbox"), dict) else own
 
-    def walk(value) -> None:  # noqa: ANN001
-        if isinstance(value, dict):
-            said = first(value, TEXT_NAMES)
-            if isinstance(said, str) and said.strip() and len(said) <= 20_000:
-                page = first(value, BLOCK_PAGE_NAMES)
-                page = int(page) if isinstance(page, int | float) or isinstance(page, str) and page.isdigit() else None
-                kind = first(value, BLOCK_TYPE_NAMES)
-                out.setdefault((page, kind if isinstance(kind, str) else None, said.strip()))
-            value = list(value.values())
-        for x in value if isinstance(value, list) else ():
-            walk(x)
 
+def blocks(text: str) -> list[tuple[int | None, str | None, str]]:
+    """(page, type, text) of all objects with a text in a layout extractor's JSON, in document order, each once; types
+    are lower-case. What is no JSON has no blocks."""
     try:
-        walk(json.loads(text))
-    except ValueError:
+        todo = [json.loads(text)]
+    except (ValueError, RecursionError):
         return []
+    out: dict[tuple, None] = {}
+    while todo:
+        value = todo.pop()
+        if isinstance(value, dict):
+            said = _said(value, BLOCK_TEXT_NAMES)
+            if said is not None and len(said) <= BLOCK_CHARS:
+                kind = _said(value, BLOCK_TYPE_NAMES)
+                out.setdefault((_page(value), kind and kind.lower(), said))
+            value = list(value.values())
+        if isinstance(value, list):
+            todo += reversed(value)
     return list(out)
+
+
+def block_rows(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with blocks, an array of (page, type, text), of the layout JSON in a column."""
+
+    @F.pandas_udf("array<struct<page:int,type:string,text:string>>")
+    def found(said: pd.Series) -> pd.Series:
+        return said.map(lambda t: [{"page": p, "type": k, "text": x} for p, k, x in blocks(t or "")])
+
+    return rows.withColumn("blocks", found(text))
+
+
+def recognised(files: DataFrame, render: Callable[[bytes], list[bytes]], recognise: Callable[[bytes], str]) -> DataFrame:
+    """(path, content) to (doc, page, text): each page is rendered to an image and read by an OCR engine or a model that
+    sees images. A page that cannot be rendered (an empty image) or read has an empty text."""
+
+    def pages(raw: bytes) -> list[str]:
+        def one(image: bytes) -> str:
+            try:
+                return recognise(image).strip() if image else ""
+            except Exception:  # noqa: BLE001  a page's failure is that page's
+                return ""
+
+        return [one(image) for image in render(raw)]
+
+    return page_texts(files, pages)
+
+
+class PromptError(Exception):
+    """Why prompts cannot be read: `reason` is no_access, no_folder or no_file."""
+
+    def __init__(self, reason: str, path: str) -> None:
+        super().__init__(f"{reason}: {path}")
+        self.reason = reason
+
+
+def prompt_folder(spark: SparkSession, path: str) -> DataFrame:
+    """prompts() of a folder, or a PromptError."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        raise PromptError("no_access", path)
+    if not files.getFileStatus(target).isDirectory():
+        raise PromptError("no_folder", path)
+    return prompts(spark, path)
+
+
+def prompt_content(spark: SparkSession, path: str) -> str:
+    """The text of one prompt file, or a PromptError."""
+    try:
+        row = spark.read.option("wholetext", "true").text(path).first()
+    except AnalysisException:
+        raise PromptError("no_file", path) from None
+    return row.value if row else ""
