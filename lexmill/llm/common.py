@@ -1,52 +1,19 @@
-"""What the operators share: the cluster's shared folder, tables written to cut lineage, and word classes."""
+"""What the operators share: tables in the cluster's shared folder, which cut lineage, and word classes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexmill.storage import drop_path, fresh_path, shared_dir, written, written_at
+
+__all__ = ["SPACE_RE", "WHITESPACE", "WORD_RE", "bound", "drop_path", "fresh_path", "shared_dir", "word_count", "words_of", "written", "written_at"]
+
 #: Words of the contracts: runs of anything but space, TAB, LF, VT, FF and CR.
 WHITESPACE = " \t\n\x0b\f\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share. Only where that is unset, as in
-    tests on one machine, a temporary folder is used instead."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lexmill-")
-    return _own_dirs[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexmill/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once into the shared folder and read back: the lineage ends there, and a lost executor costs
-    no more than rereading files."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def word_count(text: Column) -> Column:
     """Number of words as a long, 0 for null, counted in the JVM without building an array."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
