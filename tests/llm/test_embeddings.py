@@ -47,6 +47,7 @@ def rows():
 @pytest.mark.parametrize("block", [embeddings.BLOCK, 16])
 def test_groups_equal_brute_force(spark, rows, monkeypatch, block):
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "VISITORS", 2 * block)
     got = sorted(tuple(r) for r in embeddings.group_near(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == brute(rows)
 
@@ -73,6 +74,10 @@ def test_recall_on_pairs_at_the_threshold(spark):
     found = sum(got[i].component_id == got[i + 1500].component_id for i in range(1500))
     print("recall", found / 1500)
     assert found / 1500 >= 0.95
+    near = np.array([r[1] for r in rows], np.float32).astype(float)
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    links = (near @ near.T >= 0.95).sum(axis=1) - 1
+    assert sum(got[i].n_links for i in range(3000)) / links.sum() >= 0.99
 
 
 def test_a_vector_visits_all_cells_within_the_margin():
