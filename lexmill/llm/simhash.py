@@ -7,7 +7,9 @@ Links: fingerprints at most two bits apart. The anchors are the codewords of a p
 one nearest anchor, its home, at most 3 bits away in each half. A fingerprint two bits away from it reaches that
 anchor within 3 + t1 and 3 + t2 bits, t1 + t2 <= 2; each fingerprint is replicated to all anchors that near (66 on
 average), and per anchor the homes are compared with all replicas. Leaving bits 46-63 out of the anchors loses
-nothing: dropping bits only lessens distances, and the comparison itself uses all 64.
+nothing: dropping bits only lessens distances, and the comparison itself uses all 64. Tables of over `TWO_CODES`
+distinct fingerprints would crowd 2**24 anchors; there a third factor, the Hamming code [15, 11] of radius 1 over bits
+46-60, makes 2**35 of them (152 replicas on average). The links are the same either way.
 
 Fingerprints are made distinct first, so exact copies cost one row. An anchor that gathers more than `hot_members`
 replicas, as a large group of near copies makes, is not compared pair by pair. Its members go to all midpoints at
@@ -22,7 +24,7 @@ Null doc_ids get rows like any other and never name a group while a doc_id is th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,11 @@ RADIUS = 3
 THRESHOLD = 2
 #: Generator polynomial of the binary Golay code.
 GENERATOR = 0b110001110101
-HOT_MEMBERS = 4096
+#: The Hamming code's: radius 1, and every word is its or next to one of its codewords.
+SMALL_BLOCK, SMALL_RADIUS, SMALL_GENERATOR, SMALL_CHECK = 15, 1, 0b10011, 4
+#: Distinct fingerprints up to which two codes are enough: some 260 replicas at an anchor.
+TWO_CODES = 1 << 26
+HOT_MEMBERS = 1024
 _SHINGLES_AT_ONCE = 1 << 18
 
 
@@ -77,55 +83,68 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-class Covering:
-    """Golay tables: by syndrome, the error patterns that lead to an anchor, grouped by excess over the radius."""
+class Code:
+    """A perfect cyclic code's tables: by syndrome, the error patterns that lead to an anchor, grouped by excess over the
+    radius."""
 
-    def __init__(self) -> None:
-        remainder = np.zeros(1 << BLOCK, np.int16)
-        for bit in range(BLOCK):
+    def __init__(self, length: int, check: int, generator: int, radius: int) -> None:
+        self.length, self.check = length, check
+        remainder = np.zeros(1 << length, np.int16)
+        for bit in range(length):
             r = 1 << bit
-            for k in range(bit, 10, -1):
+            for k in range(bit, check - 1, -1):
                 if r >> k & 1:
-                    r ^= GENERATOR << (k - 11)
+                    r ^= generator << (k - check)
             remainder[1 << bit : 2 << bit] = remainder[: 1 << bit] ^ r
         self.remainder = remainder
-        patterns = np.array([sum(1 << b for b in c) for w in range(RADIUS + THRESHOLD + 1) for c in combinations(range(BLOCK), w)], np.int32)
-        weight = np.bitwise_count(patterns).astype(int)
-        excess, syndrome = np.maximum(0, weight - RADIUS), remainder[patterns].astype(int)
+        patterns = np.array([sum(1 << b for b in c) for w in range(radius + THRESHOLD + 1) for c in combinations(range(length), w)], np.int32)
+        excess, syndrome = np.maximum(0, np.bitwise_count(patterns).astype(int) - radius), remainder[patterns].astype(int)
         order = np.lexsort((patterns, syndrome, excess))
         self.patterns = patterns[order]
-        cell = (excess * 2048 + syndrome)[order]
-        self.start = np.searchsorted(cell, np.arange(3 * 2048 + 1))
+        self.start = np.searchsorted((excess * (1 << check) + syndrome)[order], np.arange(((THRESHOLD + 1) << check) + 1))
 
-    def of_block(self, block: np.ndarray, excess: int) -> tuple[np.ndarray, np.ndarray]:
-        cell = self.remainder[block].astype(np.int64) + 2048 * excess
+    def near(self, block: np.ndarray, excess: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first, number) of the patterns of that excess for each block."""
+        cell = self.remainder[block].astype(np.int64) + (excess << self.check)
         return self.start[cell], self.start[cell + 1] - self.start[cell]
 
+    def name(self, block: np.ndarray, pattern: np.ndarray) -> np.ndarray:
+        """A systematic code: the upper bits of block and pattern together name the codeword."""
+        return (self.patterns[pattern] ^ block) >> self.check
+
+
+class Covering:
+    """A product of codes over the lowest bits of a fingerprint."""
+
+    def __init__(self, three: bool = False) -> None:
+        golay = Code(BLOCK, 11, GENERATOR, RADIUS)
+        self.codes = [golay, golay] + ([Code(SMALL_BLOCK, SMALL_CHECK, SMALL_GENERATOR, SMALL_RADIUS)] if three else [])
+
     def replicas(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, anchor, home) for every anchor within reach of every fingerprint."""
-        u = fp.view(np.uint64)
-        low = (u & np.uint64((1 << BLOCK) - 1)).astype(np.int64)
-        high = (u >> np.uint64(BLOCK) & np.uint64((1 << BLOCK) - 1)).astype(np.int64)
+        left, blocks = fp.view(np.uint64), []
+        for code in self.codes:
+            blocks.append((left & np.uint64((1 << code.length) - 1)).astype(np.int64))
+            left = left >> np.uint64(code.length)
         out = []
-        for a in range(THRESHOLD + 1):
-            s1, n1 = self.of_block(low, a)
-            for b in range(THRESHOLD + 1 - a):
-                s2, n2 = self.of_block(high, b)
-                each = n1 * n2
-                row = np.repeat(np.arange(len(fp)), each)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-                one = self.patterns[s1[row] + at // n2[row]] ^ low[row]
-                two = self.patterns[s2[row] + at % n2[row]] ^ high[row]
-                # A systematic code: the upper 12 bits name the codeword.
-                out.append((row, ((two >> 11) << 12 | one >> 11).astype(np.int32), np.full(len(row), a == b == 0)))
+        for excess in product(range(THRESHOLD + 1), repeat=len(self.codes)):
+            if sum(excess) > THRESHOLD:
+                continue
+            row, anchor = np.arange(len(fp)), np.zeros(len(fp), np.int64)
+            for code, block, over in zip(self.codes, blocks, excess, strict=True):
+                first, n = (x[row] for x in code.near(block, over))
+                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                row, anchor = np.repeat(row, n), np.repeat(anchor, n)
+                anchor = anchor << (code.length - code.check) | code.name(block[row], at)
+            out.append((row, anchor, np.full(len(row), not any(excess))))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def replicate(distinct: DataFrame) -> DataFrame:
+def replicate(distinct: DataFrame, three: bool = False) -> DataFrame:
     """distinct (fp) to (anchor, fp, home)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        covering = Covering()
+        covering = Covering(three)
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             for i in range(0, len(fps), 4096):
@@ -133,17 +152,18 @@ def replicate(distinct: DataFrame) -> DataFrame:
                 row, anchor, home = covering.replicas(fp)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row]), pa.array(home)], names=["anchor", "fp", "home"])
 
-    return distinct.select("fp").mapInArrow(run, "anchor int, fp long, home boolean")
+    return distinct.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
 
 
-def near_links(distinct: DataFrame, hot_members: int = HOT_MEMBERS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints, such that fingerprints at most two bits apart are connected."""
-    spots = written(replicate(distinct), "simhash-replicas")
+def near_links(distinct: DataFrame, hot_members: int = HOT_MEMBERS, two_codes: int = TWO_CODES) -> DataFrame:
+    """Links (a, b) between distinct fingerprints, such that fingerprints at most two bits apart are connected. Each
+    pair meets at the homes of both; it counts at the home of the smaller."""
+    spots = written(replicate(distinct, distinct.count() > two_codes), "simhash-replicas")
     hot = written(spots.groupBy("anchor").count().filter(F.col("count") > hot_members).select("anchor"), "simhash-hot")
     crowded = not hot.isEmpty()
     cold = spots.join(hot, "anchor", "left_anti") if crowded else spots
     homes = cold.filter("home").select("anchor", F.col("fp").alias("a"))
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD)
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD)
     links = homes.join(cold.select("anchor", F.col("fp").alias("b")), "anchor").filter(near).select("a", "b")
     if crowded:
         members = spots.join(hot, "anchor", "left_semi").select("fp").distinct()
@@ -155,11 +175,11 @@ def near_links(distinct: DataFrame, hot_members: int = HOT_MEMBERS) -> DataFrame
     return links
 
 
-def group_near_copies(docs: DataFrame, hot_members: int = HOT_MEMBERS) -> DataFrame:
+def group_near_copies(docs: DataFrame, hot_members: int = HOT_MEMBERS, two_codes: int = TWO_CODES) -> DataFrame:
     """docs (doc_id, text) to doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that can be reached)."""
     prints = written(fingerprints(docs), "simhash-fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    labels = components(near_links(classes, hot_members))
+    labels = components(near_links(classes, hot_members, two_codes))
     joined = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
     joined = written(joined.select("fp", "first", F.coalesce("label", "fp").alias("label")), "simhash-labelled")
     named = joined.groupBy("label").agg(F.min("first").alias("component_id"))

@@ -38,10 +38,11 @@ def test_fingerprint_is_the_majority_of_shingle_hashes(text):
     assert simhash.fingerprint(None if text is None else text.encode()) % 2**64 == brute_fingerprint(text)
 
 
-def test_every_pair_within_two_bits_shares_a_home_anchor():
+@pytest.mark.parametrize("three", [False, True])
+def test_every_pair_within_two_bits_shares_a_home_anchor(three):
     import numpy as np
 
-    cover, rng = simhash.Covering(), random.Random(5)
+    cover, rng = simhash.Covering(three), random.Random(5)
     for _ in range(200):
         a = rng.getrandbits(64)
         b = a ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 2)))
@@ -51,8 +52,8 @@ def test_every_pair_within_two_bits_shares_a_home_anchor():
         assert len(homes) == 1 and homes <= {int(x) for r, x in zip(row, anchor) if r == 1}
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT_MEMBERS, 5])
-def test_links_equal_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "two_codes"), [(simhash.HOT_MEMBERS, simhash.TWO_CODES), (5, simhash.TWO_CODES), (simhash.HOT_MEMBERS, 0), (5, 0)])
+def test_links_equal_brute_force(spark, hot, two_codes):
     rng = random.Random(7)
     values = {rng.getrandbits(64) for _ in range(150)}
     for v in list(values)[:40]:
@@ -60,7 +61,7 @@ def test_links_equal_brute_force(spark, hot):
             values.add(v ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 3))))
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
     rows = spark.createDataFrame([(v,) for v in signed], "fp long")
-    got = {r.node: r.label for r in simhash.components(simhash.near_links(rows, hot)).collect()}
+    got = {r.node: r.label for r in simhash.components(simhash.near_links(rows, hot, two_codes)).collect()}
     want = brute_components(sorted(signed), lambda a, b: bin((a ^ b) % 2**64).count("1") <= 2)
     assert {n: got.get(n, n) for n in signed} == want
 
