@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Each rule is a predicate over one document that is true when the document is to go. The rules' order changes the
-cost of the cascade and never its verdict, which is their disjunction. `plan_cascade` runs every rule on a sample
-of bounded size, takes its share of rejections and its time, and orders the rules by rejection per cost; `verdict`
-chains them in that order in one CASE expression, so that a document pays only for the rules up to its first hit.
+cost of the cascade and never its verdict, which is their disjunction. `plan_cascade` runs every rule on a hash sample
+of bounded size, many times over, takes its share of rejections and its time above that of an empty rule, and orders the
+rules by rejection per cost; `verdict` chains them in that order in one CASE expression, so that a document pays only for
+the rules up to its first hit. Times count as powers of two, so that small differences between runs do not change the
+order.
 
 Null and empty texts have no words and are rejected as short. Repeated rows get the same verdict each. Columns of
 the input pass through; the features are named columns of the result and replace input columns of the same name.
@@ -11,9 +13,12 @@ the input pass through; the features are named columns of the result and replace
 
 from __future__ import annotations
 
+import math
 import time
+import zlib
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +28,8 @@ SYMBOL_RE = r"[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SAMPLE_ROWS = 256
+#: Files that the sample is taken from, and how often each rule runs over it.
+SAMPLE_FILES, SAMPLE_RUNS = 8, 24
 #: Features by name, in the order in which they may use one another.
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_bare_words")
 _TEXT, _WORDS = "__quality_text", "__quality_words"
@@ -109,22 +116,43 @@ def _lazy(names) -> dict[str, Column]:
     return {n: _feature(n, F.col(_TEXT), F.col(_WORDS)) for n in names}
 
 
+def _sample(docs: DataFrame, rows: int) -> DataFrame:
+    """About `rows` texts, chosen by hash out of at most SAMPLE_FILES files, which are chosen by the hash of their names;
+    out of the whole table where it does not come from files."""
+    texts = docs.select("text")
+    files = sorted({f.rsplit("/", 1)[-1] for f in docs.inputFiles()}, key=lambda f: (zlib.crc32(f.encode()), f))
+    if len(files) > SAMPLE_FILES:
+        try:
+            name = docs.metadataColumn("_metadata")["file_name"]
+            texts = docs.filter(name.isin(files[:SAMPLE_FILES])).select("text")
+        except AnalysisException:
+            pass
+    share = min(1.0, rows / max(1, texts.count()))
+    return texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+
+
 def plan_cascade(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """rules by descending rejections per second on a sample of at most sample_rows rows; ties keep their order.
+    """rules by descending rejections per second on a sample of about sample_rows rows; ties keep their order.
     The sample decides the order alone, so its bound drops no document."""
-    sample = docs.select("text").limit(sample_rows).persist()
+    sample = _sample(docs, sample_rows).persist()
     try:
-        ready = _prepared(sample)
-        n = max(1, sample.count())
-        measured = []
-        for i, rule in enumerate(rules):
-            hit = F.sum(rule.of(_lazy(rule.needs)).cast("long"))
-            began = time.perf_counter()
-            rejected = ready.agg(hit.alias("n")).first()["n"] or 0
-            cost = max(time.perf_counter() - began, 1e-6)
-            measured.append((-(rejected / n) / cost, i, rule))
+        often = _prepared(sample).withColumn("__run", F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_RUNS))))
+
+        def seconds(test: Column) -> float:
+            taken = []
+            for _ in range(2):
+                began = time.perf_counter()
+                often.agg(F.count_if(test)).collect()
+                taken.append(time.perf_counter() - began)
+            return min(taken)
+
+        of = [F.coalesce(r.of(_lazy(r.needs)), F.lit(False)) for r in rules]
+        row = _prepared(sample).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(t).alias(r.name) for r, t in zip(rules, of, strict=True)]).first()
+        empty, least = seconds(F.length(_TEXT) < 0), 1 / 1024
+        cost = [2.0 ** round(math.log2(max(seconds(t) - empty, least))) for t in of]
     finally:
         sample.unpersist()
+    measured = [(-(row[r.name] / max(1, row.n)) / c, i, r) for i, (r, c) in enumerate(zip(rules, cost, strict=True))]
     return [rule for _, _, rule in sorted(measured, key=lambda x: x[:2])]
 
 

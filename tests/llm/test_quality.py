@@ -48,3 +48,12 @@ def test_order_of_the_cascade_does_not_change_the_verdict(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert quality.score_quality(empty).collect() == [] and quality.filter_quality(empty).collect() == []
+
+
+def test_the_order_is_the_same_in_every_run(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts() * 5)], "doc_id long, text string")
+    docs.repartition(12).write.parquet(f"{tmp_path}/t")
+    read = spark.read.parquet(f"{tmp_path}/t")
+    sample = quality._sample(read, 64)
+    assert 20 < sample.count() < 200 and len(set(sample.inputFiles())) <= len(set(read.inputFiles()))
+    assert [r.name for r in quality.plan_cascade(read)][0] == [r.name for r in quality.plan_cascade(read)][0]
