@@ -7,10 +7,13 @@ the threshold, is taken off for each sentence, down to what the highest sentence
 toxic by its length. Weights are trained from document labels through the noisy-or, at a fixed bias; the sentences that
 score at least the threshold are located by code-point offsets.
 
-The classifier is fitted on the driver on a bounded sample of labelled rows, at most `MAX_TOXIC` toxic and
-`MAX_CLEAN` clean documents, chosen by hash. Every document is scored, over its whole text. Null and empty texts have
-no sentence and score 0. If doc_ids repeat in labels, one toxic row makes the document toxic. Without labels of both
-kinds every sentence scores the share of toxic labels (0 without labels).
+The classifier is fitted on the driver on a bounded sample of labelled rows: the first `MAX_TOXIC` toxic and `MAX_CLEAN`
+clean documents by hash of their id, among texts of at most `MAX_CHARS` characters, so that the sample's size is bounded
+too. Every document is scored, over its whole text, in time and memory that grow with the text alone. Null and empty texts
+have no sentence and score 0. If doc_ids repeat in labels, one toxic row makes the document toxic; if they repeat among
+documents, each row is scored and the sample takes the smallest text. Without labels of both kinds every sentence scores
+the share of toxic labels (0 without labels). Columns other than those named are neither read nor returned. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.3
-MAX_TOXIC, MAX_CLEAN = 1000, 2000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 2000, 100_000
 MAX_FEATURES = 3000
 MIN_DOCS = 3
 EPOCHS = 200
@@ -35,7 +38,6 @@ BIAS = -10.0
 LEAST_GAIN = 3e-4
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W_]+")
-_HASH_PARTS = 1 << 20
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -146,12 +148,11 @@ def is_held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled documents that are not held out."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = {label: min(1.0, most / max(1, counts.get(label, 0))) for label, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(_HASH_PARTS))
-    limit = F.when(F.col("toxic") == 1, F.lit(int(share[1] * _HASH_PARTS))).otherwise(F.lit(int(share[0] * _HASH_PARTS)))
-    sample = known.filter(place < limit).limit(2 * (MAX_TOXIC + MAX_CLEAN))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").limit(2 * (MAX_TOXIC + MAX_CLEAN)).toArrow().sort_by("doc_id")
+    short = docs.filter(F.length(F.coalesce("text", F.lit(""))) <= MAX_CHARS).select("doc_id", "text")
+    known = known.join(short.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("place", F.xxhash64("doc_id"))
+    first = lambda label, most: known.filter(F.col("toxic") == label).orderBy("place", "doc_id").limit(most)
+    sample = F.broadcast(first(1, MAX_TOXIC).unionByName(first(0, MAX_CLEAN)))
+    rows = short.join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
     return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
 
 

@@ -67,3 +67,16 @@ def test_a_clean_document_is_not_toxic_by_its_length(spark):
     assert [got[i].predicted for i in range(5)] == [0, 0, 1, 1, 0]
     assert [len(got[i].offending) for i in range(5)] == [0, 0, 1, 1, 0]
     assert math.isclose(model.score("nothing known here. " * 50)[0], got[1].score)
+
+
+def test_the_sample_is_the_same_in_every_run(spark, monkeypatch):
+    texts, labels = made(300, 9)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2 + [(1, "x" * 200_000)], "doc_id long, text string")
+    table = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 40)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 60)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.append((texts, toxic)))
+    toxicity.train(docs, table)
+    toxicity.train(docs.repartition(5), table.repartition(3))
+    assert seen[0] == seen[1] and sum(seen[0][1]) == 40 and len(seen[0][1]) == 100 and max(map(len, seen[0][0])) < 100_000
