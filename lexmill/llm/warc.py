@@ -3,11 +3,16 @@
 Writing: records are WARC/1.1. Of rows with equal payloads of `min_revisit_bytes` or more, those with the largest
 page_id are response records, the others revisit records that refer to it and repeat length and digest of the payload
 in their headers. Spark's text writer, which retries and commits tasks like any other, puts the raw bytes of records
-into files of the shared folder, by default each record in a gzip member of its own. Null html is an empty payload, a null url leaves its header out.
+into files of the shared folder, by default each record in a gzip member of its own. Only ids, digests and sizes are
+grouped; pages are shuffled only where over `BROADCAST_DIGESTS` payloads repeat. Null html is an empty payload, a null
+url leaves its header out; null page_ids are the smallest. Equal rows are records of their own, of which one is the
+response: that of the first row, by no order that matters, as they are equal. An empty table gives an empty archive.
+Other columns, whatever their names, are not read.
 
 Reading: each file is checked record by record (version line, headers, length, end mark, block digest), plain or in
 gzip members. After a failed check the reader searches for the next version line or member that passes all checks,
-goes on there, and logs the bytes between as a gap with the reason. Files are bounded by `RECORDS_PER_FILE`.
+goes on there, and logs the bytes between as a gap with the reason. Files have at most `RECORDS_PER_FILE` records, and
+fewer where records are so long that a file could pass `FILE_BYTES`; a longer record has a file of its own.
 """
 
 from __future__ import annotations
@@ -22,11 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import written
+
 CRLF = "\r\n"
 DATE = "2025-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 2048
+FILE_BYTES = 1 << 29
+#: Repeated payloads up to which their digests are broadcast, some 100 bytes each.
+BROADCAST_DIGESTS = 1 << 17
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _CANDIDATE = re.compile(rb"WARC/1\.|\x1f\x8b\x08")
 RECORD_SCHEMA = "file string, offset long, length long, problem string, record_type string, page_id string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary"
@@ -41,8 +51,9 @@ def with_records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -
     """pages (page_id, url, html) to one column `value`: the record without its end mark."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html")).withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha1(F.col("html"))})
-    repeated = rows.filter(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = rows.join(repeated.select("digest", "first"), "digest", "left")
+    sized = rows.filter(F.col("size") >= min_revisit_bytes).select("page_id", "digest")
+    repeated = written(sized.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first"), "warc-repeated")
+    rows = rows.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_DIGESTS else repeated, "digest", "left")
     revisit = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
     rows = rows.withColumn("is_revisit", revisit)
     body = F.when(F.col("is_revisit"), F.lit("")).otherwise(F.col("html"))
@@ -81,7 +92,9 @@ def write_archives(pages: DataFrame, path: str, compress: bool = True, **options
     if compress:
         records = records.select(F.col("value").cast("binary")).mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
     end = gzip.compress(b"", mtime=0).decode("latin-1") if compress else CRLF * 2
-    records.write.option("lineSep", end).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    longest = pages.agg(F.max(F.octet_length("html")).alias("n")).first().n or 0
+    most = max(1, min(RECORDS_PER_FILE, FILE_BYTES // (longest + 4096)))
+    records.write.option("lineSep", end).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", most).text(path)
 
 
 class Damaged(Exception):
@@ -181,10 +194,16 @@ def _rows(path: str, raw: bytes, with_payload: bool) -> Iterator[tuple]:
         digest = hashlib.sha1(payload).hexdigest() if whole else said
         if whole and said and digest != said:
             problem = "payload digest differs"
-        size = len(payload) if whole else int(f.get("x-payload-length") or 0)
+        said_size = f.get("x-payload-length", "")
+        size = len(payload) if whole else int(said_size) if re.fullmatch("[0-9]{1,15}", said_size) else None
         yield path, offset, length, problem, kind, _page_of(f.get("warc-record-id")), f.get("warc-target-uri"), size, digest, _page_of(f.get("warc-refers-to")), bytes(payload) if with_payload and whole else None
 
 
+def write_gaps(records: DataFrame, path: str) -> None:
+    """The log of quarantined bytes (file, offset, length, problem) of what read_archives found, as JSON lines."""
+    records.filter("record_type is null").select("file", "offset", "length", "problem").write.mode("append").json(path)
+
+
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row for each record, and for each gap (problem set, record_type null)."""
 
