@@ -2,6 +2,8 @@ import importlib.util
 import os
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lexmill.llm import pieces
@@ -98,3 +100,33 @@ def test_round_trip_decodes_the_ids_of_whole_documents(spark, raw):
 
     docs = spark.createDataFrame([(1, "two words", "x"), (2, "three words here", "x")], SCHEMA)
     assert {r.doc_id: r.round_trip for r in pieces.encode(docs, Lossy(raw)).collect()} == {1: True, 2: False}
+
+
+def test_cuts_of_many_texts_lose_nothing(raw):
+    vocabulary = pieces.Vocabulary(raw)
+    rows = [*texts(), "\x00 a", "a" + "\x00".join(map(chr, range(0xFDD0, 0xFDF0))) + ", b", " lead", "trail  ", "a   b", "x,y.z\n\n\tq"]
+    words, codes, starts = pieces.unit_codes(vocabulary, pa.array(rows, pa.string()))
+    words = words.to_pylist()
+    for i, t in enumerate(rows):
+        assert "".join(words[c] for c in codes[starts[i] : starts[i + 1]]) == vocabulary.normalised(t), repr(t)
+
+
+def test_order_names_and_wide_tables(spark, raw, tmp_path):
+    vocabulary = pieces.Vocabulary(raw)
+    extra = {f"c{i}": i for i in range(30)} | {"place": 1, "path": "p", "row": 2, "begin": 3, "word": "w", "at": 4, "__key": 5, "ids": "old"}
+    rows = [{"doc_id": None if i == 3 else i % 50, "text": None if i == 5 else f"row number {i % 7}, of ßome  rows"} | extra for i in range(3000)]
+    docs = spark.createDataFrame(rows).repartition(7, "doc_id").sortWithinPartitions("doc_id")
+    docs.write.parquet(f"{tmp_path}/t")
+    files = sorted((p for p in os.listdir(f"{tmp_path}/t") if p.endswith(".parquet")))
+    want = [(r["doc_id"], r["text"]) for f in files for r in pq.read_table(f"{tmp_path}/t/{f}").to_pylist()]
+    got = pieces.encode(spark.read.parquet(f"{tmp_path}/t"), vocabulary, number="at").collect()
+    assert [(r.doc_id, r.text) for r in got] == want and [r.at for r in got] == list(range(3000))
+    assert got[0].c29 == 29 and got[0]["__key"] == 5 and got[0].place == 1 and all(r.round_trip for r in got)
+
+
+def test_one_very_long_word_and_text(spark, raw):
+    library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    long = ["ab" * 30_000, "word, " * 300_000, "漢" * 5_000]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(long)], SCHEMA)
+    for r in pieces.encode(docs, pieces.Vocabulary(raw)).collect():
+        assert r.ids == library.encode(long[r.doc_id]) and r.round_trip
