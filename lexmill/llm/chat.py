@@ -10,7 +10,9 @@ part of its output belongs to one turn for good.
 `read_back` recovers the turns from the output alone.
 
 Turns are ordered by turn, then role, then text, nulls first; null roles and texts are empty. Equal rows are turns of
-their own. A conversation is one row of the result and is rendered in one task.
+their own, a null conv_id is a conversation like any other, columns other than the four are not read, and an empty table
+gives an empty one. A conversation is one row of the result and is rendered in one task, of whose turns each prefix is
+rendered: time is quadratic in the turns of one conversation (not in their number over all), memory linear in its text.
 """
 
 from __future__ import annotations

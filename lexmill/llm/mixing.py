@@ -12,6 +12,9 @@ Cumulative sizes within a source take two levels: the hash deals a source of n d
 buckets are summed first, and a window adds up within one bucket only. So a source with a third of all rows is
 spread over many tasks.
 
+The table of sources, one row each, is levelled by windows over all of it in one task. That holds for some tens of
+millions of sources (a source for each web domain, say); documents never go that way.
+
 Null texts have size 0; the null source is a source of its own, the last in order. Documents of size 0 take nothing.
 Equal rows are taken one by one. An empty table gives an empty result. The mixed corpus has the columns of
 its input, whatever their names. The order is a function of the rows alone, so reruns agree.
