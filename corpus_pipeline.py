@@ -34,8 +34,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
-    """Documents with token ids, their number, and whether decoding gives the text back."""
-    return pieces.encode(docs, pieces.load(model_path))
+    """Documents in training order, with their position in it, token ids, the number of these, and whether decoding
+    gives the text back. The order is that of the files and rows in which the mix was written."""
+    return pieces.encode(docs, pieces.load(model_path), number="position")
 
 
 STAGES = [
