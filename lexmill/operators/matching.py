@@ -1,45 +1,54 @@
-"""Matching outputs to inputs by name: scored, greedy, one to one within a folder."""
+"""Matching outputs to inputs by name: all pairs of a folder are scored in the plan, then inputs choose in turn."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-
-
-def name_score(wanted: str, name: str) -> int:
-    """1000 equal, 900 prefix, 800 contains, 700 contained, 500 and 10 for each common word, -1 nothing."""
-    if wanted == name:
-        return 1000
-    if name.startswith(wanted):
-        return 900
-    if wanted in name:
-        return 800
-    if name in wanted:
-        return 700
-    words = lambda s: {w for w in re.split(r"[^\w]|_", s) if w}
-    common = len(words(wanted) & words(name))
-    return 500 + 10 * common if common else -1
-
-
-def match_outputs(pairs: DataFrame, folder: str = "folder") -> DataFrame:
-    """(folder, kind 'in' or 'out', path, stem, bytes) to (folder, input, output, score). Inputs with the best score choose first, then by path;
-    an output is taken once; among equal scores the larger file wins, then the path. A folder is one task's group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ins, outs = pdf[pdf.kind == "in"], pdf[pdf.kind == "out"]
-        options = {}
-        for path, wanted in zip(ins.path, ins.stem, strict=True):
-            scored = [(-name_score(wanted.lower(), s.lower()), -b, p) for p, s, b in zip(outs.path, outs.stem, outs.bytes, strict=True)]
-            options[path] = sorted(x for x in scored if x[0] <= 0)
-        taken, rows = set(), []
-        for path in sorted(options, key=lambda p: (options[p][0][0] if options[p] else 1, p)):
-            best = next((x for x in options[path] if x[2] not in taken), None)
-            if best:
-                taken.add(best[2])
-                rows.append((pdf[folder].iloc[0], path, best[2], -best[0]))
-        return pd.DataFrame(rows, columns=[folder, "input", "output", "score"])
-
-    kind = pairs.schema[folder].dataType.simpleString()
-    return pairs.groupBy(folder).applyInPandas(run, f"{folder} {kind}, input string, output string, score int")
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# What a likeness of names is worth.
+EQUAL, BEGINS, CONTAINS, CONTAINED, COMMON, EACH_WORD = 1000, 900, 800, 700, 500, 10
+
+
+def _words(name: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(name, r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != ""))
+
+
+def name_score(wanted: Column, name: Column) -> Column:
+    """How well an output's name suits an input's, whatever their case; null where they have no word in common."""
+    a, b = F.lower(wanted), F.lower(name)
+    common = F.size(F.array_intersect(_words(a), _words(b)))
+    alike = F.when(a == b, EQUAL).when(b.startswith(a), BEGINS).when(F.contains(b, a), CONTAINS).when(F.contains(a, b), CONTAINED)
+    return F.coalesce(alike, F.when(common > 0, COMMON + EACH_WORD * common))
+
+
+def match_outputs(files: DataFrame, folder: str = "folder") -> DataFrame:
+    """(folder, kind 'in' or 'out', path, stem, bytes) to (folder, input, output, score). Inputs with the best score choose
+    first, then by path; an output is taken once; among equal scores the larger file wins, then the path. The pairs of a
+    folder come to one task in the order in which they may be chosen; it keeps the paths that are taken."""
+    ins = files.filter("kind = 'in'").select(folder, F.col("path").alias("input"), F.col("stem").alias("wanted"))
+    outs = files.filter("kind = 'out'").select(folder, F.col("path").alias("output"), "stem", "bytes")
+    pairs = ins.join(outs, folder).withColumn("score", name_score(F.col("wanted"), F.col("stem"))).filter("score is not null")
+    pairs = pairs.withColumn("best", F.max("score").over(Window.partitionBy(folder, "input")))
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, taken, served = None, set(), set()
+        for pdf in frames:
+            kept = []
+            for place, source, target in zip(pdf[folder], pdf.input, pdf.output, strict=True):
+                if place != here:
+                    here, taken, served = place, set(), set()
+                free = source not in served and target not in taken
+                if free:
+                    served.add(source)
+                    taken.add(target)
+                kept.append(free)
+            yield pdf[kept][[folder, "input", "output", "score"]]
+
+    order = [F.col(folder), F.col("best").desc(), F.col("input"), F.col("score").desc(), F.col("bytes").desc(), F.col("output")]
+    ordered = pairs.repartition(folder).sortWithinPartitions(*order).select(folder, "input", "output", "score")
+    out = T.StructType([files.schema[folder], T.StructField("input", T.StringType()), T.StructField("output", T.StringType()), T.StructField("score", T.IntegerType())])
+    return ordered.mapInPandas(choose, out)
