@@ -606,7 +606,16 @@ def ocr_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.text_or_fallback(primary, d).select(F.col("doc").alias("path_id"), F.col("text").alias("page_text"))
 
 
-@_query()
+@_query(
+    r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, '. ', '.' || chr(10) || chr(10)), '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL),
+f(doc_id, ps, i, o, out) AS (SELECT doc_id, ps, 1, '', []::VARCHAR[] FROM d
+UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN o = '' THEN ps[i] WHEN length(o) + 2 + length(ps[i]) <= 1000 THEN o || chr(10) || chr(10) || ps[i] WHEN t = '' THEN ps[i] ELSE t || chr(10) || chr(10) || ps[i] END,
+CASE WHEN o = '' OR length(o) + 2 + length(ps[i]) <= 1000 THEN out ELSE list_append(out, o) END
+FROM (SELECT *, CASE WHEN length(o) <= 120 THEN o ELSE regexp_replace(right(o, 120), '^\S*\s+', '') END AS t FROM f) WHERE i <= len(ps)),
+c AS (SELECT doc_id, CASE WHEN o = '' THEN out ELSE list_append(out, o) END AS cs FROM f WHERE i > len(ps)),
+w AS (SELECT doc_id, flatten(list_transform(cs, lambda x: CASE WHEN length(x) > 2000 THEN list_transform(range(0, CAST(ceil((length(x) - 120) / 880.0) AS BIGINT)), lambda k: substr(x, k * 880 + 1, 1000)) ELSE [x] END)) AS cs FROM c)
+SELECT doc_id, (i - 1)::INTEGER AS chunk_idx, length(cs[i])::INTEGER AS chunk_chars FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM w)"""
+)
 def smart_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n")).alias("text"))
     return d.select("doc_id", F.posexplode(chunking.smart_chunk_array(F.col("text"), 1000, 120)).alias("chunk_idx", "chunk")).select("doc_id", "chunk_idx", F.length("chunk").alias("chunk_chars"))
