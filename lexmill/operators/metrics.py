@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.storage import written
+
 
 def phase_totals(log: DataFrame, phase: str, value: str) -> DataFrame:
     return log.groupBy(phase).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.max(value).alias("most"))
@@ -67,3 +69,16 @@ def throttled(log: DataFrame, run: str, ts: str, least_s: float, every: int = 0)
     shown = gap.isNull() | (gap >= least_s)
     shown = shown | (place % every == 0) if every else shown
     return log.withColumn("__shown", shown).filter("__shown").drop("__shown")
+
+
+def ranked(rows: DataFrame, order: Column, name: str) -> DataFrame:
+    """rows with their place (from 1) in a global order. Rows are range-sorted into partitions and written; a place is the
+    number of rows in the partitions before, of which there is one count each, and the place in its own."""
+    key, part, before = "__order", "__part", "__before"
+    dealt = rows.withColumn(key, order)
+    dealt = written(dealt.repartitionByRange(key).withColumn(part, F.spark_partition_id()), "ranked")
+    counts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.join(F.broadcast(counts.select(part, earlier.alias(before))), part)
+    place = F.col(before) + F.row_number().over(Window.partitionBy(part).orderBy(key))
+    return placed.withColumn(name, place).select(*[c for c in rows.columns if c != name], name)

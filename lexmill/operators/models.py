@@ -12,7 +12,7 @@ import re
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lexmill.config import context_of, loaded_model, native_endpoint
 from lexmill.functions.jsonio import empty_result
 from lexmill.functions.text import OVERFLOW_PHRASES
 from lexmill.functions.vectors import LETTERS
@@ -106,13 +107,14 @@ def retried(call: Callable[[], str], attempts: int | None = None, sleep: Callabl
     raise AssertionError
 
 
-def _sent(base_url: str, path: str, body: dict | None, key: str, timeout: float) -> dict:
-    """The JSON answer of a service; the body of an HTTP error becomes part of its message."""
+def _sent(base_url: str, path: str, body: dict | None, key: str, timeout: float, read: Callable = json.load):  # noqa: ANN202
+    """The answer of a service, as JSON unless it is read otherwise; the body of an HTTP error becomes part of its
+    message."""
     head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
     request = urllib.request.Request(base_url.rstrip("/") + path, None if body is None else json.dumps(body).encode(), head)
     try:
         with urllib.request.urlopen(request, timeout=min(max(timeout, 60), 3600)) as answer:
-            return json.load(answer)
+            return read(answer)
     except urllib.error.HTTPError as e:
         e.msg = f"HTTP {e.code}: {snippet(e.read().decode('utf-8', 'replace'))}"
         raise
@@ -123,11 +125,13 @@ def _said(answer: dict) -> str:
     return message.get("content") or message.get("reasoning_content") or ""
 
 
-def http_chat(base_url: str, model: str, key: str = "", timeout: float = 600) -> Chat:
-    """A chat client of the common completions interface."""
+def http_chat(base_url: str, model: str, key: str = "", timeout: float = 600, stream: bool = False) -> Chat:
+    """A chat client of the common completions interface; a streamed answer is put together as it comes in."""
 
     def ask(system: str, user: str) -> str:
         body = {"model": model, "temperature": 0, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
+        if stream:
+            return _sent(base_url, "/chat/completions", body | {"stream": True}, key, timeout, lambda lines: folded_events(x.decode().rstrip("\r\n") for x in lines))
         return _said(_sent(base_url, "/chat/completions", body, key, timeout))
 
     return lambda system, user: retried(lambda: ask(system, user))
@@ -184,6 +188,12 @@ def list_models(base_url: str, key: str = "", timeout: float = 60) -> list[dict]
     return _sent(base_url, "/models", None, key, timeout).get("data") or []
 
 
+def server_context(base_url: str, model: str, key: str = "", timeout: float = 60) -> int | None:
+    """The context length of a model by the server's own interface, as it is loaded if it says so."""
+    found = loaded_model(_sent(native_endpoint(base_url, ""), "/api/v0/models", None, key, timeout).get("data") or [], model)
+    return context_of(found) if found else None
+
+
 def token_count(answer: dict) -> int | None:
     """The number of tokens in a tokenizer's answer, whichever of its forms it has."""
     listed = answer.get("tokens")
@@ -212,7 +222,7 @@ def shrinking(chat: Chat, system: str, prompt: str, text: str, limit: int) -> st
     return answer
 
 
-def folded_events(lines: list[str]) -> str:
+def folded_events(lines: Iterable[str]) -> str:
     """The text of a stream of server-sent deltas, up to its end mark."""
     out = []
     for line in lines:

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.functions.text import trim_blanks
-from lexmill.operators import chunking, results
+from lexmill.functions.text import is_cacheable, trim_blanks
+from lexmill.operators import chunking, results, retrieval
 from lexmill.operators.models import Chat, shrinking, split_on_overflow
 from lexmill.storage import written
 
@@ -82,7 +82,7 @@ def analyse(
 ) -> DataFrame:
     """files to (path, n_chunks, response, error): every chunk is asked about; the answers of a file are yes or no where
     the prompt wants that and all say so, one summarising answer where there are several, else as they are. Chunks that
-    fail leave an error mark in their place and the file's error."""
+    fail leave an error mark in their place and the file's error. Files without text are skipped."""
     rows = files.select(path, F.length(text).alias("chars"), F.posexplode(chunking.smart_chunk_array(F.col(text), size, overlap)).alias("chunk_idx", "chunk"))
     counts = rows.groupBy(path).agg(F.count(F.lit(1)).alias("n_chunks"))
     rows = rows.join(counts, path).withColumn("prompt", chunk_prompt(prompt, F.col("chunk_idx"), F.col("n_chunks"), F.col("chars"), continuation, concise))
@@ -101,6 +101,21 @@ def analyse(
     return done.unionByName(summed)
 
 
+def asked_by_likeness(chunks: DataFrame, group: str, key: str, embedding: str, prompt: str, text: str, make_chat: Callable[[], Chat], threshold: float) -> DataFrame:
+    """chunks to (group, key, answer, error, reused): of chunks whose vectors are alike only the first is asked about, in
+    order of key within a group, and the others take its answer. An answer that may not be kept (an error, or nothing)
+    serves nobody else: those alike are asked about themselves."""
+    placed = written(chunks.join(retrieval.leaders(chunks, group, key, embedding, threshold), [group, key]).withColumn("prompt", F.lit(prompt)), "leaders")
+    columns = [group, key, "leader", "prompt", text]
+    first = written(_asked(placed.filter("not hit").select(*columns), "prompt", text, make_chat, _whole), "leader-answers")
+    kept = first.filter(F.col("error").isNull() & is_cacheable(F.array(trim_blanks(F.col("answer")))))
+    others = placed.filter("hit").select(*columns)
+    served = others.join(kept.select(group, "leader", "answer"), [group, "leader"]).select(group, key, "answer", F.lit(None).cast("string").alias("error"), F.lit(True).alias("reused"))
+    again = written(_asked(others.join(kept.select(group, "leader"), [group, "leader"], "left_anti").select(*columns), "prompt", text, make_chat, _whole), "member-answers")
+    own = first.unionByName(again).select(group, key, "answer", "error", F.lit(False).alias("reused"))
+    return own.unionByName(served)
+
+
 def retry_failed(answers: DataFrame, files: DataFrame, path: str, text: str, prompt: str, make_chat: Callable[[], Chat]) -> DataFrame:
     """answers (path, response, error, ...) with `status`. Files that failed are asked about once more, as a whole; a
     success takes the place of the first answer."""

@@ -577,12 +577,9 @@ def html_raw_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("WITH n AS (SELECT doc_id, source || '/' || doc_id || '.pdf' AS f FROM documents) SELECT f AS source_file, row_number() OVER (ORDER BY lpad(regexp_extract(f, '[0-9]+', 0), 20, '0'), lpad(regexp_extract(f, '/([0-9]+)', 1), 20, '0'))::INTEGER AS place FROM n")
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files in natural order. The place of each in the whole listing is a global rank, so one task numbers the names
-    of one listing, without any payload."""
-    from pyspark.sql import Window
-
+    """Files with their places in natural order."""
     d = docs_view(spark, sf_dir).select("source_file")
-    return d.withColumn("place", F.row_number().over(Window.orderBy(text.natural_key(F.col("source_file")))))
+    return metrics.ranked(d, text.natural_key(F.col("source_file")), "place").withColumn("place", F.col("place").cast("int"))
 
 
 # ---------------------------------------------------------------- modes

@@ -204,7 +204,7 @@ def test_http_client():
             self.wfile.write(json.dumps(body).encode() if code == 200 else b"e" * 300)
 
         def do_GET(self):  # noqa: N802
-            self.answer({"data": [{"id": "m"}]})
+            self.answer({"data": [{"id": "m", "state": "loaded", "loaded_context_length": 4096}] if "v0" in self.path else [{"id": "m"}]})
 
         def do_POST(self):  # noqa: N802
             body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
@@ -213,6 +213,10 @@ def test_http_client():
                 self.answer({"data": [{"index": i, "embedding": [float(i)] * 2} for i in range(1 if isinstance(body["input"], str) else len(body["input"]))]})
             elif self.path.endswith("rerank"):
                 self.answer({"results": [{"index": 1, "relevance_score": 1.0}]})
+            elif body.get("stream"):
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(b'data: {"choices":[{"delta":{"content":"a"}}]}\r\n\r\ndata: {"choices":[{"delta":{"content":"b"}}]}\n\ndata: [DONE]\n')
             else:
                 self.answer({"choices": [{"message": {"content": "", "reasoning_content": " said "}}]})
 
@@ -226,7 +230,8 @@ def test_http_client():
     assert models.http_embedder(base, "m")(["a"]) == [[0.0, 0.0]] and seen[-1][1]["input"] == "a"
     assert models.http_embedder(base, "m")(["a", "b"]) == [[0.0, 0.0], [1.0, 1.0]]
     assert models.http_reranker(base, "m")("q", ["a", "b"]) == [(1, 1.0)] and models.http_vision(base, "m")("s", "u", [b"x"]) == "said"
-    assert models.list_models(base) == [{"id": "m"}]
+    assert models.list_models(base) == [{"id": "m"}] and models.server_context(base, "m") == 4096
+    assert models.http_chat(base, "m", stream=True)("s", "u") == "ab"
     failures.append(400)
     with pytest.raises(Exception, match="HTTP 400: e{240}…"):
         models.http_chat(base, "m")("s", "u")
@@ -380,3 +385,22 @@ def test_one_very_long_text(spark):
     assert out.n == -(-(600_000 * 32 - 250) // 1250) and out.u and out.w == ["repeated"]
     pages = spark.createDataFrame([([f"Header\nline {i}\nfoot" for i in range(1000)],)], "pages array<string>")
     assert cleaning.clean_pages(pages).first().cleaned_text.startswith("line 0\n\nline 1")
+
+
+def test_chunks_that_are_alike_are_asked_about_once(spark, calls):
+    count, seen = calls
+    rows = [("g", i, [1.0, 0.01 * i], f"text {i}") for i in range(4)] + [("g", 9, [0.0, 1.0], "bad"), ("g", 10, [0.0, 1.0], "bad too"), ("h", 0, [1.0, 0.0], "other group")]
+    chunks = spark.createDataFrame(rows, "g string, k int, v array<double>, t string")
+    said = lambda user: "[Chyba x" if "bad" in user else user.upper()
+    got = {(r.g, r.k): r for r in orchestration.asked_by_likeness(chunks, "g", "k", "v", "p", "t", counting(count, said), 0.95).collect()}
+    assert [got["g", i].answer for i in range(4)] == ["P\n\nTEXT 0"] * 4 and [got["g", i].reused for i in range(4)] == [False, True, True, True]
+    assert got["g", 10].answer == "[Chyba x" and not got["g", 10].reused and len(got) == 7
+    assert len(seen()) == 4
+
+
+def test_places_in_a_global_order(spark):
+    rows = spark.range(1000).selectExpr("cast((id * 37) % 500 as int) x", "id").repartition(5)
+    got = metrics.ranked(rows, F.col("x"), "place").collect()
+    assert sorted(r.place for r in got) == list(range(1, 1001))
+    assert [r.x for r in sorted(got, key=lambda r: r.place)] == sorted(r.x for r in got)
+    assert metrics.ranked(rows.limit(0), F.col("x"), "place").collect() == []
