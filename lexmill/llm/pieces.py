@@ -585,7 +585,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, frequent: int = FREQUENT, sa
         for batch in batches:
             for part in _slices(batch, 0):
                 words, codes, starts = unit_codes(vocabulary, part.column(0))
-                strange = np.fromiter((w not in common for w in _keys(words)), bool, len(words))
+                strange = common.find(words) < 0
                 at = np.flatnonzero(strange[codes])
                 block = part.column(1).to_numpy()[np.searchsorted(starts, at, "right") - 1] // BLOCK_ROWS
                 first = int(block.min()) if len(at) else 0
@@ -654,7 +654,20 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, frequent: int = FREQUENT, sa
     return met.repartitionById(bins, F.floor(block_begin * bins / span).cast("int")).sortWithinPartitions("at").mapInArrow(finish, out)
 
 
-def _commonest(rows: DataFrame, vocabulary: Vocabulary, place: str, share: float, frequent: int) -> dict[str, bytes]:
+class Known:
+    """Words with their ids, as a few arrays: a Python object for each word would take ten times their room."""
+
+    def __init__(self, words: pa.Array, ids: list[bytes], stored: str) -> None:
+        self.words, self.ids = words, np.frombuffer(b"".join(ids), stored)
+        self.size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.ids.itemsize
+        self.begin = np.cumsum(self.size) - self.size
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word here, or -1."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+
+
+def _commonest(rows: DataFrame, vocabulary: Vocabulary, place: str, share: float, frequent: int) -> Known:
     """The ids of at most `frequent` words, those that the sample has most often."""
     sample = rows.filter(F.pmod(F.xxhash64(F.col(place)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
     counts, path = written_at(count_words(sample, vocabulary), "pieces-sample")
@@ -668,7 +681,7 @@ def _commonest(rows: DataFrame, vocabulary: Vocabulary, place: str, share: float
     chosen = counts.filter(F.col("n") >= least)
     table = _grouped_in_memory(rows.sparkSession, lambda: encode_words(chosen, vocabulary).select("word", packed_ids(F.col("ids"), vocabulary)).toArrow())
     drop_path(rows.sparkSession, path)
-    return {k: v for batch in table.to_batches() for k, v in zip(_keys(batch.column(0)), batch.column(1).to_pylist(), strict=True)}
+    return Known(table.column(0).combine_chunks(), table.column(1).to_pylist(), vocabulary.stored)
 
 
 def packed_ids(ids: Column, vocabulary: Vocabulary) -> Column:
@@ -676,16 +689,19 @@ def packed_ids(ids: Column, vocabulary: Vocabulary) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda x: F.lpad(F.hex(x), 2 * vocabulary.width, "0")), ""))
 
 
-def _ids_of(vocabulary: Vocabulary, texts: pa.Array, common: dict[str, bytes], own: dict[str, bytes]) -> pa.ListArray:
+def _ids_of(vocabulary: Vocabulary, texts: pa.Array, known: Known, own: dict[bytes, bytes]) -> pa.ListArray:
     words, codes, starts = unit_codes(vocabulary, texts)
-    found = [common.get(w) or own.get(w, b"") for w in _keys(words)]
-    each = np.fromiter(map(len, found), np.int64, len(found)) // vocabulary.width
+    at = known.find(words)
+    rest = np.flatnonzero(at < 0)
+    more = Known(words.take(pa.array(rest)), [own.get(w, b"") for w in _keys(words.take(pa.array(rest)))], vocabulary.stored)
+    each, begin = known.size[at] if len(known.size) else np.zeros(len(at), np.int64), known.begin[at] if len(known.size) else np.zeros(len(at), np.int64)
+    each[rest], begin[rest] = more.size, more.begin + len(known.ids)
     sizes = each[codes]
     if len(sizes) and not sizes.min():
         raise RuntimeError("a text holds a word that its block has not got: the input changed between two reads")
-    begin, ends = np.cumsum(each) - each, np.cumsum(sizes)
+    ends = np.cumsum(sizes)
     n = int(ends[-1]) if len(ends) else 0
-    tokens = np.frombuffer(b"".join(found), vocabulary.stored)[np.repeat(begin[codes] - (ends - sizes), sizes) + np.arange(n)]
+    tokens = np.concatenate([known.ids, more.ids])[np.repeat(begin[codes] - (ends - sizes), sizes) + np.arange(n)]
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends])[starts], pa.int32()), pa.array(tokens.astype(np.int32)))
 
 
