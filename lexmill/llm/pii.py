@@ -11,8 +11,8 @@ one of `SPOKEN_ENDS`: a sentence holds many words around "at" and "dot" that are
 
 Null and empty texts have no spans. Spans at one place sort by kind, as KINDS lists them. Equal rows have equal results
 each, a null doc_id is kept, an empty table gives an empty one, and columns other than doc_id and text are not read (by
-redact: pass through, whatever their names). All scans take time linear in the text, also on long runs of digits or
-letters.
+redact: pass through, whatever their names). All scans take time linear in the text, also on long runs of digits,
+letters or blanks.
 """
 
 from __future__ import annotations
@@ -76,16 +76,20 @@ FOLDED = _folded()
 _any = lambda words: "|".join(sorted(map(re.escape, words), key=len, reverse=True))
 _FOLD = re.compile("[" + "".join(map(re.escape, FOLDED)) + "]")
 _AT, _DOT, _DIGIT = _any(AT_WORDS), _any(DOT_WORDS), _any(DIGIT_WORDS)
-_BRACKETED = re.compile(rf"\s*[(\[{{<]\s*(?:(?P<at>{_AT}|@)|{_DOT}|\.)\s*[)\]}}>]\s*", re.IGNORECASE)
+#: A mark in brackets. Blanks around it are measured by hand: in front of a bracket a pattern would try each of them anew.
+_BRACKETED = re.compile(rf"[(\[{{<]\s*+(?:(?P<at>{_AT}|@)|{_DOT}|\.)\s*+[)\]}}>]", re.IGNORECASE)
+_BLANKS = re.compile(r"\s*+")
 _ATOM = r"[A-Za-z0-9_%+-]{1,64}"
 #: name at host dot tld, with real or spelled dots inside the name; a spelled dot is needed behind the "at".
 _AT_HOST = rf"\s(?:{_AT}|@)\s+(?:[A-Za-z0-9-]{{1,63}}(?:\.|\s+(?:{_DOT}|\.)\s+)){{1,5}}(?:{_any(SPOKEN_ENDS)})(?![A-Za-z0-9-])"
 _SPOKEN = re.compile(rf"(?<![A-Za-z0-9_%+-])(?:{_ATOM}(?:\.|\s+(?:{_DOT})\s+)){{0,4}}{_ATOM}\s*{_AT_HOST}", re.IGNORECASE)
 _SPOKEN_PART = re.compile(rf"\s+(?:(?P<at>{_AT}|@)|{_DOT}|\.)\s+", re.IGNORECASE)
-_RUN = re.compile(rf"(?<![^\W_])(?:plus\s+|\+\s*)?(?:(?:{_DIGIT}|[0-9]+)(?:[\s,.-]+(?:{_DOT})?[\s,.-]*)){{3,}}(?:{_DIGIT}|[0-9]+)(?![^\W_])", re.IGNORECASE)
-_RUN_TOKEN = re.compile(rf"(?P<plus>plus\s+|\+\s*)|(?P<word>{_DIGIT})|(?P<digits>[0-9]+)|(?P<dot>[\s,.-]*\b(?:{_DOT})\b[\s,.-]*|(?<=\S)\.(?=\S))|(?P<gap>[\s,.-]+)", re.IGNORECASE)
+#: No number and no dot word begins with a character of a gap, so gaps are possessive and are read once.
+_GAP = rf"[\s,.-]++(?:(?:{_DOT})[\s,.-]*+)?"
+_RUN = re.compile(rf"(?<![^\W_])(?:plus\s++|\+\s*+)?(?:(?:{_DIGIT}|[0-9]+){_GAP}){{3,}}(?:{_DIGIT}|[0-9]+)(?![^\W_])", re.IGNORECASE)
+_RUN_TOKEN = re.compile(rf"(?P<plus>plus\s+|\+\s*)|(?P<word>{_DIGIT})|(?P<digits>[0-9]+)|(?P<dot>[\s,.-]*+\b(?:{_DOT})\b[\s,.-]*+|(?<=\S)\.(?=\S))|(?P<gap>[\s,.-]++)", re.IGNORECASE)
 #: A spelled number and what follows it in its run, or a dot word that touches a number (and may hold one, as "punto").
-_RUN_TRACE = re.compile(rf"(?:{_DIGIT})[\s,.-]+(?:(?:{_DOT})[\s,.-]*)?(?:{_DIGIT}|[0-9])|[\s,.-](?:{_DOT})(?:{_DIGIT}|[0-9])")
+_RUN_TRACE = re.compile(rf"(?:{_DIGIT}){_GAP}(?:{_DIGIT}|[0-9])|[\s,.-](?:{_DOT})(?:{_DIGIT}|[0-9])")
 
 
 def _luhn(digits: str) -> bool:
@@ -150,8 +154,18 @@ def fold_lookalikes(m: Mapped) -> Mapped:
     return m.rewritten((x.start(), x.end(), FOLDED[x[0]]) for x in _FOLD.finditer(m.text))
 
 
+def _bracketed(text: str) -> Iterator[tuple[int, int, str]]:
+    done = 0
+    for x in _BRACKETED.finditer(text):
+        lo = x.start()
+        while lo > done and text[lo - 1].isspace():
+            lo -= 1
+        done = _BLANKS.match(text, x.end()).end()
+        yield lo, done, "@" if x["at"] else "."
+
+
 def undo_at_and_dot(m: Mapped) -> Mapped:
-    m = m.rewritten([(x.start(), x.end(), "@" if x["at"] else ".") for x in _BRACKETED.finditer(m.text)])
+    m = m.rewritten(_bracketed(m.text))
     edits = []
     for spoken in _SPOKEN.finditer(m.text):
         inner = [(spoken.start() + x.start(), spoken.start() + x.end(), "@" if x["at"] else ".") for x in _SPOKEN_PART.finditer(spoken[0])]
