@@ -56,4 +56,13 @@ def test_the_order_is_the_same_in_every_run(spark, tmp_path):
     read = spark.read.parquet(f"{tmp_path}/t")
     sample = quality._sample(read, 64)
     assert 20 < sample.count() < 200 and len(set(sample.inputFiles())) <= len(set(read.inputFiles()))
-    assert [r.name for r in quality.plan_cascade(read)][0] == [r.name for r in quality.plan_cascade(read)][0]
+    orders = [[r.name for r in quality.plan_cascade(read)] for _ in range(4)]
+    assert orders == orders[:1] * 4
+
+
+def test_cost_counts_work_and_rejections(spark):
+    """Equal rejections: the cheaper rule goes first. A rule that rejects nothing goes last, whatever its cost."""
+    words = spark.createDataFrame([(i, "x " * 100) for i in range(50)], "doc_id long, text string")
+    names = [r.name for r in quality.plan_cascade(words)]
+    assert names[:2] == ["word_length", "repeated"] and names[2:] == [r.name for r in quality.RULES if r.name not in names[:2]]
+    assert set(quality.WORK) == set(quality.FEATURES) == {n for r in quality.RULES for n in r.needs}
