@@ -34,7 +34,9 @@ DATE = "2025-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 2048
-FILE_BYTES = 1 << 29
+#: A file is one row of binaryFile, and then of Arrow.
+FILE_BYTES = 1 << 26
+MEMBER_BLOCK = 1 << 14
 #: Repeated payloads up to which their digests are broadcast, some 100 bytes each.
 BROADCAST_DIGESTS = 1 << 17
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -134,14 +136,18 @@ def _record(data: memoryview, raw: bytes, at: int) -> tuple[int, dict]:
 
 
 def _member(raw: bytes, at: int) -> tuple[int, bytes]:
-    unzip = zlib.decompressobj(31)
+    """(end, content) of the gzip member at `at`. It is read in blocks and no further than the block in which it ends:
+    what lies behind a member is never copied."""
+    unzip, data, parts = zlib.decompressobj(31), memoryview(raw), []
     try:
-        inner = unzip.decompress(memoryview(raw)[at:]) + unzip.flush()
+        while not unzip.eof and at < len(raw):
+            parts.append(unzip.decompress(data[at : at + MEMBER_BLOCK]))
+            at = min(at + MEMBER_BLOCK, len(raw))
     except zlib.error as e:
         raise Damaged(f"gzip: {e}") from None
     if not unzip.eof:
         raise Damaged("the gzip member does not end")
-    return len(raw) - len(unzip.unused_data), inner
+    return at - len(unzip.unused_data), b"".join(parts)
 
 
 def salvage(raw: bytes) -> Iterator[tuple[int, int, str | None, dict]]:

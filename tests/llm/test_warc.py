@@ -84,3 +84,15 @@ def test_headers_of_any_length(spark, tmp_path, compress):
     got = {int(r.page_id or -1): r for r in warc.read_archives(spark, path).collect()}
     assert {i: (r.url, r.problem) for i, r in got.items()} == {i: (u, None) for i, u in urls.items()}
     assert got[1].refers_to == got[2].refers_to == "3" and got[3].record_type == "response"
+
+
+def test_members_are_read_in_linear_time():
+    import random
+    import time
+
+    noise = random.Random(3)
+    parts = [gzip.compress(record(i, noise.randbytes(30_000) + b"a" * 30_000), 1) for i in range(2048)]
+    raw = b"".join(parts)
+    began = time.process_time()
+    found = [(o, n) for o, n, p, _ in warc.salvage(raw) if not p]
+    assert time.process_time() - began < 10 and [n for _, n in found] == [len(x) for x in parts]
