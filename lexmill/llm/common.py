@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.storage import drop_path, fresh_path, shared_dir, written, written_at
 
-__all__ = ["SPACE_RE", "WHITESPACE", "WORD_RE", "bound", "drop_path", "fresh_path", "shared_dir", "word_count", "words_of", "written", "written_at"]
+__all__ = ["SPACE_RE", "WHITESPACE", "WORD_RE", "bound", "drop_path", "free_name", "fresh_path", "shared_dir", "word_count", "words_of", "written", "written_at"]
 
 #: Words of the contracts: runs of anything but space, TAB, LF, VT, FF and CR.
 WHITESPACE = " \t\n\x0b\f\r"
@@ -28,3 +28,10 @@ def words_of(text: Column) -> Column:
 def bound(value: Column, body) -> Column:
     """body(value) with value computed once for each row: Catalyst would copy the expression into every use."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

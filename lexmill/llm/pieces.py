@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import bound, drop_path, written, written_at
+from lexmill.llm.common import bound, drop_path, free_name, written, written_at
 
 BLANK = "▁"
 FREQUENT = 1 << 19
@@ -497,13 +497,6 @@ def _grouped_in_memory(spark: SparkSession, action: Callable[[], object]) -> obj
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def _free(name: str, columns: list[str]) -> str:
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def _part_number(path: str) -> tuple:
     m = re.search(r"part-(\d+)[^/]*$", path)
     return (int(m[1]) if m else -1, path.rsplit("/", 1)[-1], path)
@@ -512,7 +505,7 @@ def _part_number(path: str) -> tuple:
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
     """docs with the row number `name` (long, from 0, in the order of files and rows, with gaps where rows are filtered),
     and a number above all of them."""
-    path, row = _free("path", docs.columns), _free("row", docs.columns)
+    path, row = free_name("path", docs.columns), free_name("row", docs.columns)
 
     def with_rows(frame: DataFrame) -> DataFrame:
         meta = frame.metadataColumn("_metadata")
@@ -524,7 +517,7 @@ def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
         rows = with_rows(written(docs, "pieces-input"))
     sizes = sorted(((r[0], r[1]) for r in rows.groupBy(path).agg(F.max(row) + 1).collect()), key=lambda x: _part_number(x[0]))
     first = np.concatenate([[0], np.cumsum([n for _, n in sizes], dtype=np.int64)]).tolist()
-    begin = _free("begin", docs.columns)
+    begin = free_name("begin", docs.columns)
     files = docs.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, first, strict=False)], f"`{path}` string, `{begin}` long")
     joined = rows.join(F.broadcast(files) if len(sizes) <= _BROADCAST_FILES else files, path)
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col(begin) + F.col(row)).alias(name)), first[-1]
@@ -571,7 +564,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, frequent: int = FREQUENT, sa
     spark: SparkSession = docs.sparkSession
     added = ("ids", "n_tokens", "round_trip")
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added and c.lower() != (number or "").lower()])
-    place = number or _free("place", kept.columns)
+    place = number or free_name("place", kept.columns)
     rows, total = numbered(kept, place)
     numbers = [T.StructField(place, T.LongType())] if number else []
     out = T.StructType([*kept.schema.fields, *numbers, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])

@@ -18,7 +18,9 @@ neighbours at most, and all members of one midpoint are linked to its smallest.
 groups are bounded whatever the data are.
 
 Null, empty and blank texts have fingerprint 0 and link like any other. Rows with equal fingerprints are copies.
-Null doc_ids get rows like any other and never name a group while a doc_id is there. Equal rows stay as they are.
+Null doc_ids get rows like any other and never name a group while a doc_id is there. Equal rows stay as they are. Texts
+of any length are read whole, `_SHINGLES_AT_ONCE` shingles at a time. An empty table gives an empty one. Columns other than
+doc_id and text are not read by group_near_copies and pass through keep_one_of_each, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import written
+from lexmill.llm.common import free_name, written
 from lexmill.llm.components import components
 
 SEED = 42
@@ -195,6 +197,7 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     groups = group_near_copies(docs.select("doc_id", "text"), **options)
     firsts = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.join(firsts, "doc_id", "left_semi")
+    placed = free_name("place", docs.columns)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = named.withColumn("__place", place).filter("__place = 1").select(*docs.columns)
+    named = named.withColumn(placed, place).filter(F.col(placed) == 1).select(*docs.columns)
     return named.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -82,3 +82,11 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.group_near_copies(empty).collect() == []
     assert simhash.keep_one_of_each(empty).collect() == []
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["place", "__place", "fp", "component_id"]
+    docs = spark.createDataFrame([(1, "a b c d", "x", "y", "z", "w"), (1, "a b c d", "x", "y", "z", "w"), (2, "other words stand here", "p", "q", "r", "s")], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d", "x", "y", "z", "w"), (2, "other words stand here", "p", "q", "r", "s")]
