@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, divergence, embeddings, langid, mixing, pieces, pii, quality, simhash, toxicity, warc
+from lexmill.llm import centroids, chat, divergence, embeddings, langid, mixing, pieces, pii, quality, simhash, toxicity, warc
 from lexmill.llm.common import fresh_path
 
 
@@ -82,6 +82,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -142,9 +146,31 @@ SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC
 """
 
 
+def _op12_sql(rounds: int = centroids.ROUNDS, k: int = centroids.K, seed: int = centroids.SEED) -> str:
+    """Rounds of assignment and floored means, one after another; n is a row, j a component."""
+    parts = [
+        "e AS (SELECT row_number() OVER () AS n, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)",
+        "x AS MATERIALIZED (SELECT n, unnest(range(64)) AS j, unnest(list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT)) AS x FROM e)",
+        f"pick AS (SELECT n, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS c FROM e QUALIFY c < {k})",
+        "c0 AS MATERIALIZED (SELECT c, j, x AS y FROM pick JOIN x USING (n))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT n, min_by(c, (d, c)) AS c, min(d) AS d FROM (SELECT n, c, sum((x - y) * (x - y)) AS d FROM x JOIN c{r} USING (j) GROUP BY n, c) GROUP BY n)")
+        if r < rounds:
+            mean = f"SELECT c, j, sum(x) AS s, count(*) AS m FROM x JOIN a{r} USING (n) GROUP BY c, j"
+            floored = "(s - ((s % m) + m) % m) // m"
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT o.c, o.j, CASE WHEN m IS NULL THEN y ELSE {floored} END AS y FROM c{r} o LEFT JOIN ({mean}) USING (c, j))")
+    parts.append(f"h AS (SELECT c, sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY c)")
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN e USING (n) JOIN h USING (c)
+"""
+
+
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_chat_formatting": op3_chat_formatting, "op4_toxicity": op4_toxicity, "op5_sentencepiece": op5_sentencepiece, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_mixing": op10_mixing, "op11_source_divergence": op11_source_divergence}
+    return {"op1_pii": op1_pii, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_chat_formatting": op3_chat_formatting, "op4_toxicity": op4_toxicity, "op5_sentencepiece": op5_sentencepiece, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_mixing": op10_mixing, "op11_source_divergence": op11_source_divergence, "op12_centroids": op12_centroids}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op7_quality_rules": OP7_SQL, "op9_warc": OP9_SQL, "op11_source_divergence": OP11_SQL}
+    return {"op3_chat_formatting": OP3_SQL, "op7_quality_rules": OP7_SQL, "op9_warc": OP9_SQL, "op11_source_divergence": OP11_SQL, "op12_centroids": _op12_sql()}
