@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import centroids, chat, divergence, embeddings, langid, mixing, pieces, pii, quality, simhash, toxicity, warc
+from lexmill.llm import centroids, chat, divergence, embeddings, langid, mixing, pieces, pii, quality, simhash, tiff, toxicity, warc
 from lexmill.llm.common import fresh_path
 
 
@@ -86,6 +86,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -169,7 +173,7 @@ FROM a{rounds} JOIN e USING (n) JOIN h USING (c)
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_chat_formatting": op3_chat_formatting, "op4_toxicity": op4_toxicity, "op5_sentencepiece": op5_sentencepiece, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_mixing": op10_mixing, "op11_source_divergence": op11_source_divergence, "op12_centroids": op12_centroids}
+    return {"op1_pii": op1_pii, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_chat_formatting": op3_chat_formatting, "op4_toxicity": op4_toxicity, "op5_sentencepiece": op5_sentencepiece, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_mixing": op10_mixing, "op11_source_divergence": op11_source_divergence, "op12_centroids": op12_centroids, "op13_tiff": op13_tiff}
 
 
 def oracle_sql() -> dict[str, str]:
