@@ -24,8 +24,10 @@ UTF-8 order of the item. An empty table gives an empty one. Other columns, whate
 
 from __future__ import annotations
 
-import string
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +38,19 @@ SCALE_STEP, SCALE_STEPS = 1000, 3
 MIN_DOCS, TOP_TERMS = 3, 200
 #: Groups up to which tables of groups are broadcast, if their names have at most BROADCAST_BYTES.
 BROADCAST_GROUPS, BROADCAST_BYTES = 1 << 15, 1 << 23
+#: Sums that a task holds while it counts.
+HELD = 400_000
 #: Parts of a language where its table of groups is too large to be broadcast.
 SALTS = 256
 
 
-def terms_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(TERM_RE), F.lit(0))
+# In UTF-8, every byte of a character beyond ASCII is over 0x7F, so terms can be cut from bytes.
+_BYTES = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b > 0x7F or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+
+
+def terms_of(text: str) -> list[bytes]:
+    """The matches of TERM_RE, A-Z lower-cased, in UTF-8."""
+    return text.encode().translate(_BYTES).split() if text else []
 
 
 def _over(p: Column, q: Column) -> Column:
@@ -65,12 +74,37 @@ def divergence(p: Column, q: Column) -> Column:
     return _over((p - q) * (p - q), q)
 
 
-def count_terms(docs: DataFrame) -> DataFrame:
-    """docs (lang, source, text) to (lang, source, term, n, docs): occurrences, and documents that have the term."""
-    row = lambda n, docs: lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(docs).cast("long").alias("docs"))
-    both = bound(terms_of(F.col("text")), lambda terms: F.concat(F.transform(terms, row(1, 0)), F.transform(F.array_distinct(terms), row(0, 1))))
-    each = docs.select("lang", "source", F.explode(both).alias("x"))
-    return each.groupBy("lang", "source", F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n"), F.sum("x.docs").alias("docs"))
+def count_terms(docs: DataFrame, held: int = HELD) -> DataFrame:
+    """docs (lang, source, text) to (lang, source, term, n, docs): occurrences, and documents that have the term. A task
+    adds up what it reads and hands on its sums whenever it holds more than `held` of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, docs_with, size = defaultdict(Counter), defaultdict(Counter), 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for (lang, source), found in sums.items():
+                terms = pa.array(found.keys(), pa.binary()).cast(pa.string())
+                with_term = docs_with[lang, source]
+                of = lambda x: pa.array([x] * len(found), pa.string())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([of(lang), of(source), terms, pa.array(found.values(), pa.int64()), pa.array([with_term[t] for t in found], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+            sums.clear()
+            docs_with.clear()
+
+        for batch in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                here, with_term = sums[lang, source], docs_with[lang, source]
+                before = len(here)
+                counted = Counter(terms_of(text))
+                here.update(counted)
+                with_term.update(counted.keys())
+                size += len(here) - before
+                if size > held:
+                    yield from flushed()
+                    size = 0
+        yield from flushed()
+
+    counted = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _joined(rows: DataFrame, table: DataFrame, keys: list[str], spread: str, small: bool) -> DataFrame:
