@@ -71,6 +71,24 @@ def throttled(log: DataFrame, run: str, ts: str, least_s: float, every: int = 0)
     return log.withColumn("__shown", shown).filter("__shown").drop("__shown")
 
 
+def positions(rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
+    """(rows with their place from 0 in the order of the named columns, how many there are). Rows are range-sorted and
+    written with their number in their partition, to which the partitions before add one count each. Rows that are equal
+    in the order have an arbitrary place among themselves, which stays as it was written."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = written(dealt, "positions")
+    # Fixed by the function: the partition in the upper 31 bits, the row's number in it in the lower 33.
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = sorted(dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, sums = 0, []
+    for number, n in counts:
+        sums.append((number, before))
+        before += n
+    earlier = rows.sparkSession.createDataFrame(sums, "__part long, __before long")
+    placed = dealt.withColumn("__part", part).join(F.broadcast(earlier), "__part").withColumn(name, F.col("__before") + inside)
+    return placed.drop("__part", "__at", "__before"), before
+
+
 def ranked(rows: DataFrame, order: Column, name: str) -> DataFrame:
     """rows with their place (from 1) in a global order. Rows are range-sorted into partitions and written; a place is the
     number of rows in the partitions before, of which there is one count each, and the place in its own."""

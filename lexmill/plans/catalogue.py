@@ -328,6 +328,16 @@ def batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(docs_view(spark, sf_dir))
 
 
+_ONE_RUN_CTE = _PACK_CTE.replace("SELECT source, doc_id, length(text) + 80 AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id)", "SELECT 'all' AS source, doc_id, length(text) + 80 AS size, row_number() OVER (ORDER BY doc_id)")
+
+
+@_query(f"WITH RECURSIVE {_ONE_RUN_CTE} SELECT doc_id, batch::INTEGER AS batch, place::INTEGER AS place FROM f")
+def batch_packing_one_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one run, which is packed over all tasks."""
+    d = docs_view(spark, sf_dir).withColumn("run", F.lit("all"))
+    return packing.pack(d, "run", "doc_id", F.length("text"), PACK_BUDGET).drop("run")
+
+
 _PART = "'=== Dokument #' || f.place || ': ' || d.doc_id || '.pdf ===' || chr(10) || d.text"
 
 

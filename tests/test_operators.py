@@ -53,12 +53,14 @@ def test_merge_fills_gaps_and_averages(spark):
     assert abs(got.confidence - 0.7) < 1e-12
 
 
-def test_packing_keeps_order_and_budget(spark):
+@pytest.mark.parametrize("block_rows", [packing.BLOCK_ROWS, 40, 1])
+def test_packing_keeps_order_and_budget(spark, block_rows):
     rng = random.Random(4)
-    sizes = {(r, i): rng.randint(0, 500) for r in ("a", "b") for i in range(60)}
-    df = spark.createDataFrame([(r, i, n) for (r, i), n in sizes.items()], "run string, id int, n int")
-    got = packing.pack(df, "run", "id", F.col("n"), 1000).collect()
-    for run in ("a", "b"):
+    sizes = {(r, i): rng.choice([0, 3, 80, 300, 500, 1200]) for r in ("a", "b", "c", None) for i in range(1 if r == "c" else 130)}
+    df = spark.createDataFrame([(r, i, n) for (r, i), n in sizes.items()], "run string, id int, n int").repartition(5)
+    got = packing.pack(df, "run", "id", F.col("n"), 1000, block_rows).collect()
+    assert len(got) == len(sizes)
+    for run in ("a", "b", "c", None):
         batch, used, n = 1, 0, 0
         for row in sorted((r for r in got if r.run == run), key=lambda r: r.id):
             cost = sizes[run, row.id] + packing.OVERHEAD
@@ -68,6 +70,29 @@ def test_packing_keeps_order_and_budget(spark):
             assert (row.batch, row.place) == (batch, n)
 
 
+def test_packing_one_run_of_a_million_rows(spark):
+    """One run over all tasks and many blocks, against the fold."""
+    n, budget = 1_000_000, 20_000
+    size = F.pmod(F.xxhash64("id"), F.lit(3000)) + F.when(F.col("id") % 997 == 0, 30_000).otherwise(0)
+    rows = spark.range(n).select(F.lit("all").alias("run"), F.col("id"), size.alias("n"))
+    got = packing.pack(rows, "run", "id", F.col("n"), budget).toPandas().sort_values("id")
+    batch, used, place, want = 1, 0, 0, []
+    for cost in (rows.select("id", "n").toPandas().sort_values("id").n + packing.OVERHEAD).tolist():
+        if place and used + cost > budget:
+            batch, used, place = batch + 1, 0, 0
+        used, place = used + cost, place + 1
+        want.append((batch, place))
+    assert list(zip(got.batch.tolist(), got.place.tolist(), strict=True)) == want
+
+
+def test_packing_odd_rows(spark):
+    df = spark.createDataFrame([(None, None, None), ("a", 1, None), ("a", 1, 900), ("a", None, 900)], "run string, id int, n int")
+    got = sorted((str(r.run), r.batch, r.place) for r in packing.pack(df, "run", "id", F.col("n"), 1000).collect())
+    assert got == [("None", 1, 1), ("a", 1, 1), ("a", 2, 1), ("a", 2, 2)] or got == [("None", 1, 1), ("a", 1, 1), ("a", 2, 1), ("a", 3, 1)] or got == [("None", 1, 1), ("a", 1, 1), ("a", 1, 2), ("a", 2, 1)]
+    assert packing.pack(df.limit(0), "run", "id", F.col("n"), 1000).collect() == []
+    assert [r.batch for r in packing.pack(df.filter("id = 1"), "run", "id", F.col("n"), 10).collect()] in ([1, 2], [2, 1])
+
+
 def test_cache_round(spark, tmp_path):
     schema = "key string, response string, created_at timestamp"
     path = f"file://{tmp_path}/cache"
