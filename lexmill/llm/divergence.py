@@ -39,7 +39,7 @@ MIN_DOCS, TOP_TERMS = 3, 200
 #: Groups up to which tables of groups are broadcast, if their names have at most BROADCAST_BYTES.
 BROADCAST_GROUPS, BROADCAST_BYTES = 1 << 15, 1 << 23
 #: Sums that a task holds while it counts.
-HELD = 400_000
+HELD = 800_000
 #: Parts of a language where its table of groups is too large to be broadcast.
 SALTS = 256
 
@@ -92,11 +92,10 @@ def count_terms(docs: DataFrame, held: int = HELD) -> DataFrame:
 
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                here, with_term = sums[lang, source], docs_with[lang, source]
+                terms, here = terms_of(text), sums[lang, source]
                 before = len(here)
-                counted = Counter(terms_of(text))
-                here.update(counted)
-                with_term.update(counted.keys())
+                here.update(terms)
+                docs_with[lang, source].update(set(terms))
                 size += len(here) - before
                 if size > held:
                     yield from flushed()
@@ -155,8 +154,15 @@ def pair_sums(vectors: DataFrame, langs: DataFrame, small: bool) -> DataFrame:
     here = F.transform("groups", lambda o: one(i, o["i"], m * (f(p, o["z"]) - f(z, o["z"]))))
     there = F.transform("groups", lambda g: one(g["i"], i, m * (f(g["z"], p) - f(g["z"], z))))
     singles = parts(bars, F.concat(here, there))
-    both = F.transform("cells", lambda b: one(a["i"], b["i"], f(a["p"], b["p"]) - f(a["p"], b["z"]) - f(a["z"], b["p"]) + f(a["z"], b["z"])))
-    shared = parts(vectors.filter(F.size("cells") > 1).select("lang", "cells", F.explode("cells").alias("a")), both)
+    # Pairs of a term's cells, each once; what they contribute is computed outside the lambda, in compiled code.
+    met = vectors.filter(F.size("cells") > 1).select("lang", "cells", F.posexplode("cells").alias("at", "a"))
+    later = F.slice("cells", F.col("at") + 2, F.greatest(F.size("cells") - F.col("at") - 1, F.lit(0)))
+    each = F.transform(later, lambda b: F.struct(a["i"].alias("g"), a["p"].alias("p"), a["z"].alias("y"), b["i"].alias("o"), b["p"].alias("q"), b["z"].alias("z")))
+    met = met.select("lang", F.explode(each).alias("x")).select("lang", "x.*")
+    p, q, y, z = (F.col(c) for c in ("p", "q", "y", "z"))
+    there_and_back = met.select("lang", "g", "o", (f(p, q) - f(p, z) - f(y, q) + f(y, z)).alias("there"), (f(q, p) - f(q, y) - f(z, p) + f(z, y)).alias("back"))
+    summed = there_and_back.groupBy("lang", "g", "o").agg(F.sum("there").alias("there"), F.sum("back").alias("back"))
+    shared = parts(summed, F.array(one(F.col("g"), F.col("o"), F.col("there")), one(F.col("o"), F.col("g"), F.col("back"))))
     return zeros.unionByName(singles).unionByName(shared).groupBy("lang", "g", "o").agg(F.sum("value").alias("value"))
 
 
