@@ -166,6 +166,13 @@ def semantic_dedup_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.leaders(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", LEADER_THRESHOLD)
 
 
+@_query(_LEADERS_SQL.replace("SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id)", "SELECT 0 AS label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id)") + " SELECT vec_id, leader, leader <> vec_id AS hit FROM f")
+def semantic_leaders_one_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as one collection, which is clustered over all tasks."""
+    e = table(spark, sf_dir, "embeddings").withColumn("label", F.lit(0))
+    return retrieval.leaders(e, "label", "vec_id", "embedding", LEADER_THRESHOLD).drop("label")
+
+
 @_query(_LEADERS_SQL + " SELECT label, count(*) FILTER (leader <> vec_id)::BIGINT AS hits, count(*) FILTER (leader = vec_id)::BIGINT AS stored, (100 * count(*) FILTER (leader <> vec_id)) // count(*) AS hit_percent FROM f GROUP BY label")
 def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = semantic_dedup_leaders(spark, sf_dir).groupBy("label").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("stored"))

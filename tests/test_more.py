@@ -1,7 +1,11 @@
+import math
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill import config
-from lexmill.operators import chunking
+from lexmill.operators import chunking, retrieval
 from lexmill.sources import sinks
 
 
@@ -65,3 +69,45 @@ def test_logs_and_merged_text(spark, tmp_path):
     assert (tmp_path / "m.txt").read_text() == "Prompt:\n\ndo it\n\n=== Odpovědi podle souborů ===\n\none\n\n---\n\ntwo"
     paths = spark.createDataFrame([("/in/a/b.pdf",), ("/x/c.txt",)], "p string").select(sinks.mirrored_path(F.col("p"), "/in/").alias("p"))
     assert [r.p for r in paths.collect()] == ["a/b.pdf.lm.txt", "c.txt.lm.txt"]
+
+
+def _fold_leaders(rows, threshold):
+    """The sequential definition: (g, k) to (leader, hit)."""
+    def cos(a, b):
+        if not a or not b or len(a) != len(b):
+            return -1.0
+        norms = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / norms, 9) if norms else 0.0
+
+    out = {}
+    for g in {r[0] for r in rows}:
+        found = []
+        for _, k, v in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            best = max(((cos(v, w), -i) for i, (_, w) in enumerate(found)), default=(-2, 0))
+            if best[0] >= threshold:
+                out[g, k] = (found[-best[1]][0], True)
+            else:
+                found.append((k, v))
+                out[g, k] = (k, False)
+    return out
+
+
+@pytest.mark.parametrize("settled", [retrieval.SETTLED, 20])
+def test_leaders_over_many_rounds_equal_the_fold(spark, settled):
+    gen = np.random.default_rng(9)
+    mids = gen.normal(size=(30, 6))
+    rows = [("one" if i % 3 else None, i, (mids[gen.integers(30)] + gen.normal(size=6) * 0.3).tolist()) for i in range(300)]
+    rows += [("two", 500 + i, v) for i, v in enumerate([None, [], [1.0, 2.0], [2.0, 4.0], [0.0] * 6, [0.0] * 6, [1.0] * 6, None, [1.0], [3.0]])]
+    df = spark.createDataFrame(rows, "label string, vec_id long, embedding array<double>").repartition(4)
+    got = {(r.label, r.vec_id): (r.leader, r.hit) for r in retrieval.leaders(df, "label", "vec_id", "embedding", 0.8, settled).collect()}
+    assert got == _fold_leaders(rows, 0.8)
+    assert retrieval.leaders(df.limit(0), "label", "vec_id", "embedding", 0.8).collect() == []
+
+
+def test_nearest_of_vectors_of_mixed_lengths(spark):
+    rows = [(0, "a", [2.0]), (1, "a", [1.0, 0.0]), (2, "b", [0.0, 3.0]), (3, "b", None), (4, None, [1.0, 1.0]), (5, "a", []), (6, "a", [0.0, 0.0]), (7, "a", [4.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got = retrieval.nearest_by_group(df, df.filter("vec_id in (0, 1, 3)"), "vec_id", "label", "embedding", 2)
+    found = {(r.query, r.label, r["rank"]): (r.vec_id, r.score) for r in got.collect()}
+    assert found[1, "a", 1] == (1, 1.0) and found[1, "a", 2] == (7, 1.0) and found[1, "b", 1] == (2, 0.0) and found[1, None, 1] == (4, round(0.5**0.5, 9))
+    assert found[0, "a", 1] == (0, 1.0) and found[0, "b", 1] == (2, 0.0) and found[3, "a", 1] == (0, 0.0)
