@@ -1,14 +1,14 @@
-"""Matching outputs to inputs by name: all pairs of a folder are scored in the plan, then inputs choose in turn."""
+"""Matching outputs to inputs by name: pairs from indexes of words and parts of names, then rounds in which inputs choose in turn."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.storage import drop_path, fresh_path, written, written_at
+
 # What a likeness of names is worth.
 EQUAL, BEGINS, CONTAINS, CONTAINED, COMMON, EACH_WORD = 1000, 900, 800, 700, 500, 10
 
@@ -25,30 +25,87 @@ def name_score(wanted: Column, name: Column) -> Column:
     return F.coalesce(alike, F.when(common > 0, COMMON + EACH_WORD * common))
 
 
-def match_outputs(files: DataFrame, folder: str = "folder") -> DataFrame:
+GRAM = 3
+#: Inputs of a folder that choose in one round; up to 1,000, Spark cuts its groups before it shuffles them.
+AT_ONCE = 1000
+
+
+def _grams(name: Column) -> Column:
+    """The empty text and all parts of 1 to GRAM characters, each once."""
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: F.substring(name, i, n))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[cut(n) for n in range(1, GRAM + 1)]))
+
+
+def _own_grams(name: Column) -> Column:
+    """Parts that every name which contains this one has, of the greatest length that parts have."""
+    n = F.least(F.length(name), F.lit(GRAM))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(name, i, n)))
+
+
+def _containing(inner: DataFrame, outer: DataFrame, folder: str, small: str, large: str) -> DataFrame:
+    """(folder, small, large) of all names of `outer` that contain a name of `inner`: an inner name looks up its rarest part."""
+    parts = written(outer.select(folder, large, F.explode(_grams(F.col(large))).alias("gram")), "match-parts")
+    known = parts.groupBy(folder, "gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = inner.select(folder, small, F.explode(_own_grams(F.col(small))).alias("gram")).join(known, [folder, "gram"], "left")
+    n = F.coalesce("n", F.lit(0))
+    rarest = asked.groupBy(folder, small).agg(F.min_by("gram", F.struct(n, "gram")).alias("gram"), F.min(n).alias("n")).filter("n > 0")
+    return rarest.select(folder, small, "gram").join(parts, [folder, "gram"]).filter(F.contains(F.col(large), F.col(small))).select(folder, small, large)
+
+
+def scored_names(ins: DataFrame, outs: DataFrame, folder: str) -> DataFrame:
+    """(folder, wanted, name, score) of all pairs of lower-case names that suit at all. Pairs come from an index of words
+    and one of parts of names, so names that have nothing in common never meet."""
+    words = lambda rows, name: rows.select(folder, name, F.explode(_words(F.col(name))).alias("word"))
+    alike = words(ins, "wanted").join(words(outs, "name"), [folder, "word"]).select(folder, "wanted", "name")
+    inside = _containing(ins, outs, folder, "wanted", "name").unionByName(_containing(outs, ins, folder, "name", "wanted"))
+    pairs = alike.unionByName(inside).distinct()
+    return pairs.withColumn("score", name_score(F.col("wanted"), F.col("name"))).filter("score is not null")
+
+
+def match_outputs(files: DataFrame, folder: str = "folder", at_once: int = AT_ONCE) -> DataFrame:
     """(folder, kind 'in' or 'out', path, stem, bytes) to (folder, input, output, score). Inputs with the best score choose
-    first, then by path; an output is taken once; among equal scores the larger file wins, then the path. The pairs of a
-    folder come to one task in the order in which they may be chosen; it keeps the paths that are taken."""
-    ins = files.filter("kind = 'in'").select(folder, F.col("path").alias("input"), F.col("stem").alias("wanted"))
-    outs = files.filter("kind = 'out'").select(folder, F.col("path").alias("output"), "stem", "bytes")
-    pairs = ins.join(outs, folder).withColumn("score", name_score(F.col("wanted"), F.col("stem"))).filter("score is not null")
-    pairs = pairs.withColumn("best", F.max("score").over(Window.partitionBy(folder, "input")))
-
-    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, taken, served = None, set(), set()
-        for pdf in frames:
-            kept = []
-            for place, source, target in zip(pdf[folder], pdf.input, pdf.output, strict=True):
-                if place != here:
-                    here, taken, served = place, set(), set()
-                free = source not in served and target not in taken
-                if free:
-                    served.add(source)
-                    taken.add(target)
-                kept.append(free)
-            yield pdf[kept][[folder, "input", "output", "score"]]
-
-    order = [F.col(folder), F.col("best").desc(), F.col("input"), F.col("score").desc(), F.col("bytes").desc(), F.col("output")]
-    ordered = pairs.repartition(folder).sortWithinPartitions(*order).select(folder, "input", "output", "score")
+    first, then by path; an output is taken once; among equal scores the larger file wins, then the path. Null stems suit
+    nothing; rows without a folder are left out; a path that repeats is one file, the larger.
+
+    Inputs choose in rounds, in all folders side by side: of each folder the next `at_once` whose turn it is. The one whose
+    turn is n-th among them needs no more than its n best outputs of those that are left, so a task holds at most
+    at_once ** 2 pairs of a folder, whatever the folder holds, and what it chooses is final. The table of pairs is by
+    name: names that share a word are pairs."""
+    spark = files.sparkSession
+    file = files.filter(F.col(folder).isNotNull() & F.col("path").isNotNull()).groupBy(folder, "kind", "path").agg(F.max(F.struct("bytes", F.lower("stem").alias("stem"))).alias("f"))
+    file = written(file.select(folder, "kind", "path", F.coalesce("f.bytes", F.lit(-1)).alias("bytes"), "f.stem").filter("stem is not null"), "match-files")
+    ins = file.filter("kind = 'in'").select(folder, F.col("path").alias("input"), F.col("stem").alias("wanted"))
+    outs = file.filter("kind = 'out'").select(folder, F.col("path").alias("output"), F.col("stem").alias("name"), "bytes")
+    scored = written(scored_names(ins.select(folder, "wanted").distinct(), outs.select(folder, "name").distinct(), folder), "match-names")
+    best = scored.groupBy(folder, "wanted").agg(F.max("score").alias("best"))
+    # `turn` orders the inputs of a folder: whose is smaller chooses first.
+    waiting, path = written_at(ins.join(best, [folder, "wanted"]).select(folder, "wanted", "input", F.struct((-F.col("best")).alias("b"), "input").alias("turn")), "match-waiting")
+    edges = scored.join(outs, [folder, "name"]).select(folder, "wanted", "output", "bytes", "score")
+    chosen_at = fresh_path(spark, "matched")
     out = T.StructType([files.schema[folder], T.StructField("input", T.StringType()), T.StructField("output", T.StringType()), T.StructField("score", T.IntegerType())])
-    return ordered.mapInPandas(choose, out)
+    chosen = spark.createDataFrame([], out)
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        served, taken, kept = set(), set(), []
+        for source, target in zip(pdf.input, pdf.output, strict=True):
+            free = source not in served and target not in taken
+            if free:
+                served.add(source)
+                taken.add(target)
+            kept.append(free)
+        return pdf[kept][[folder, "input", "output", "score"]]
+
+    in_turn = lambda pdf: choose(pdf.sort_values(["n", "r"]))
+    while not waiting.isEmpty():
+        number = F.row_number().over(Window.partitionBy(folder).orderBy("turn"))
+        first, first_path = written_at(waiting.withColumn("n", number).filter(F.col("n") <= at_once), "match-first")
+        left = edges.join(first, [folder, "wanted"]).join(chosen.select(folder, "output"), [folder, "output"], "left_anti")
+        wish = F.row_number().over(Window.partitionBy(folder, "input").orderBy(F.col("score").desc(), F.col("bytes").desc(), "output"))
+        wishes = left.withColumn("r", wish).filter((F.col("r") <= at_once) & (F.col("r") <= F.col("n"))).select(folder, "input", "output", "score", "n", "r")
+        wishes.groupBy(folder).applyInPandas(in_turn, out).write.mode("append").parquet(chosen_at)
+        chosen = spark.read.schema(out).parquet(chosen_at)
+        old = path
+        waiting, path = written_at(waiting.join(first.select(folder, "input"), [folder, "input"], "left_anti"), "match-waiting")
+        drop_path(spark, old)
+        drop_path(spark, first_path)
+    return chosen

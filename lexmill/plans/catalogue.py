@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import keys, text, vectors
 from lexmill.functions.jsonio import is_json, strict_json
-from lexmill.operators import cache, chunking, cleaning, metrics, modes, orchestration, packing, results, retrieval
+from lexmill.operators import cache, chunking, cleaning, matching, metrics, modes, orchestration, packing, results, retrieval
 from lexmill.operators.models import letter_embedder, overlap_reranker
 from lexmill.sources import readers, sinks
 
@@ -318,6 +318,36 @@ def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.remaining(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
+# ---------------------------------------------------------------- matching
+
+_WORDS_SQL = "list_distinct(list_filter(string_split_regex({}, '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> ''))"
+_FILES_SQL = """files AS (SELECT lang AS folder, CASE WHEN (doc_id // 20) % 2 = 0 THEN 'in' ELSE 'out' END AS kind, doc_id::VARCHAR AS path,
+  lower(array_to_string(string_split(text, ' ')[1:CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 3 END], ' ')) AS stem, length(text) AS bytes FROM documents WHERE text <> '')"""
+
+
+@_query(
+    f"""WITH RECURSIVE {_FILES_SQL},
+pairs AS (SELECT i.folder, i.path AS input, o.path AS output, o.bytes, i.stem AS a, o.stem AS b, len(list_intersect({_WORDS_SQL.format("i.stem")}, {_WORDS_SQL.format("o.stem")})) AS common
+  FROM files i JOIN files o ON i.folder = o.folder AND i.kind = 'in' AND o.kind = 'out'),
+scored AS (SELECT folder, input, output, bytes, CASE WHEN a = b THEN 1000 WHEN starts_with(b, a) THEN 900 WHEN contains(b, a) THEN 800 WHEN contains(a, b) THEN 700 WHEN common > 0 THEN 500 + 10 * common END AS score FROM pairs),
+turns AS (SELECT folder, input, row_number() OVER (PARTITION BY folder ORDER BY max(score) DESC, input) AS n,
+                 list({{'output': output, 'score': score}} ORDER BY score DESC, bytes DESC, output) AS wishes FROM scored WHERE score IS NOT NULL GROUP BY folder, input),
+f(folder, n, taken, input, got) AS (
+  SELECT folder, 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, NULL::STRUCT(output VARCHAR, score INTEGER) FROM turns GROUP BY folder
+  UNION ALL
+  SELECT folder, n, CASE WHEN got IS NULL THEN taken ELSE list_append(taken, got.output) END, input, got
+  FROM (SELECT t.folder, t.n, f.taken, t.input, list_filter(t.wishes, lambda w: NOT list_contains(f.taken, w.output))[1] AS got FROM f JOIN turns t ON t.folder = f.folder AND t.n = f.n + 1))
+SELECT folder, input, got.output AS output, got.score::INTEGER AS score FROM f WHERE got IS NOT NULL"""
+)
+def matched_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty documents by turns are inputs and outputs of their language; a file is named by the first words of its text."""
+    d = table(spark, sf_dir, "documents").filter("text <> ''")
+    words = F.slice(F.split("text", " ", -1), 1, F.when(F.col("doc_id") % 3 == 0, 2).otherwise(3))
+    kind = F.when(F.floor(F.col("doc_id") / 20) % 2 == 0, "in").otherwise("out")
+    files = d.select(F.col("lang").alias("folder"), kind.alias("kind"), F.col("doc_id").cast("string").alias("path"), F.array_join(words, " ").alias("stem"), F.length("text").alias("bytes"))
+    return matching.match_outputs(files)
+
+
 # ---------------------------------------------------------------- packing
 
 _PACK_CTE = f"""{DOCS}, o AS (SELECT source, doc_id, length(text) + 80 AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM docs),

@@ -1,11 +1,13 @@
 import math
+import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill import config
-from lexmill.operators import chunking, retrieval
+from lexmill.operators import chunking, matching, retrieval
 from lexmill.sources import sinks
 
 
@@ -111,3 +113,36 @@ def test_nearest_of_vectors_of_mixed_lengths(spark):
     found = {(r.query, r.label, r["rank"]): (r.vec_id, r.score) for r in got.collect()}
     assert found[1, "a", 1] == (1, 1.0) and found[1, "a", 2] == (7, 1.0) and found[1, "b", 1] == (2, 0.0) and found[1, None, 1] == (4, round(0.5**0.5, 9))
     assert found[0, "a", 1] == (0, 1.0) and found[0, "b", 1] == (2, 0.0) and found[3, "a", 1] == (0, 0.0)
+
+
+def _choose_in_turn(files):
+    """The sequential definition over (folder, kind, path, stem, bytes)."""
+    def score(a, b):
+        words = lambda t: {w for w in re.split(r"[^\w]+|_", t) if w}
+        common = len(words(a) & words(b))
+        return 1000 if a == b else 900 if b.startswith(a) else 800 if a in b else 700 if b in a else 500 + 10 * common if common else None
+
+    out = []
+    for folder in {f[0] for f in files if f[0] is not None}:
+        ins = [(p, s.lower()) for d, k, p, s, _ in files if d == folder and k == "in" and s is not None]
+        outs = [(p, s.lower(), b) for d, k, p, s, b in files if d == folder and k == "out" and s is not None]
+        wishes = {p: sorted((-v, -b, o, v) for o, t, b in outs if (v := score(s, t)) is not None) for p, s in ins}
+        taken = set()
+        for p in sorted((p for p in wishes if wishes[p]), key=lambda p: (wishes[p][0][0], p)):
+            got = next(((o, v) for _, _, o, v in wishes[p] if o not in taken), None)
+            if got:
+                taken.add(got[0])
+                out.append((folder, p, *got))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("at_once", [matching.AT_ONCE, 13])
+def test_matching_in_rounds_equals_choosing_in_turn(spark, at_once):
+    rng = random.Random(12)
+    names = ["Scan", "scan 1", "scan-1 final", "Report", "report 2024", "my report", "a", "ab", "zpráva o stavu", "zpráva", "x1y", "", "stav", None, "final report 2024"]
+    files = [(rng.choice(["f", "g"]), rng.choice(["in", "out"]), f"p{i:03}", rng.choice(names), rng.randrange(5)) for i in range(160)]
+    files += [("same", kind, f"{kind}{i:02}", "equal name", i % 3) for kind in ("in", "out") for i in range(30)] + [(None, "in", "q", "Scan", 1), ("lone", "in", "r", "Scan", 1)]
+    df = spark.createDataFrame(files, "folder string, kind string, path string, stem string, bytes int")
+    got = sorted(tuple(r) for r in matching.match_outputs(df, at_once=at_once).collect())
+    assert got == _choose_in_turn(files) and sum(r[0] == "same" for r in got) == 30
+    assert matching.match_outputs(df.filter("folder = 'lone'")).collect() == []
