@@ -14,6 +14,7 @@ from lexmill.functions.jsonio import is_json, strict_json
 from lexmill.operators import cache, chunking, cleaning, matching, metrics, modes, orchestration, packing, results, retrieval
 from lexmill.operators.models import letter_embedder, overlap_reranker
 from lexmill.sources import readers, sinks
+from lexmill.streaming import health
 
 NOISY = (
     "concat_ws(chr(10), 'Fakultní nemocnice Motol', concat('Strana ', CAST(doc_id % 7 + 1 AS STRING), '/7'), text, CASE doc_id % 8 WHEN 0 THEN 'MUDr. Jan Novák' "
@@ -612,6 +613,23 @@ def eta_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.eta(e, "user_id", "ts").select("event_id", "done", F.round("eta_s", 2).alias("eta_s"))
 
 
+@_query(
+    """WITH a AS (SELECT user_id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'finish' ELSE 'progress' END AS kind, epoch_us(ts) // 1000 AS ms FROM events),
+b AS (SELECT *, CASE kind WHEN 'start' THEN 0 WHEN 'progress' THEN 1 ELSE 2 END AS k FROM a),
+p AS (SELECT *, coalesce(count(*) FILTER (kind = 'finish') OVER (PARTITION BY user_id ORDER BY ms, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM b),
+s AS (SELECT *, CASE kind WHEN 'progress' THEN ms + 600001 WHEN 'start' THEN ms + 300000 END AS due FROM p QUALIFY kind <> 'start' OR row_number() OVER (PARTITION BY user_id, part ORDER BY ms, k) = 1),
+w AS (SELECT *, lead(ms) OVER v AS next_ms, lag(kind) OVER v AS was, lag(due) OVER v AS was_due FROM s WINDOW v AS (PARTITION BY user_id, part ORDER BY ms, k)),
+o AS (SELECT user_id, CASE WHEN kind = 'finish' THEN 'finished' WHEN kind = 'start' THEN 'starting' WHEN was IS NULL OR was = 'start' OR ms >= was_due THEN 'ok' END AS health, ms AS at_ms FROM w
+      UNION ALL SELECT user_id, 'stuck', due FROM w WHERE due IS NOT NULL AND (next_ms IS NULL OR next_ms >= due))
+SELECT * FROM o WHERE health IS NOT NULL"""
+)
+def run_health_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as runs: a signup starts one, a purchase ends it. The same rules as the stream's, over the whole log."""
+    kind = F.when(F.col("event_type") == "signup", health.START).when(F.col("event_type") == "purchase", health.FINISH).otherwise(health.PROGRESS)
+    e = table(spark, sf_dir, "events").select("user_id", kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    return health.health_of(e, "user_id", "kind", "ts", 300, 600).select("user_id", "health", F.unix_millis("at").alias("at_ms"))
+
+
 @_query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 300")
 def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.tail(table(spark, sf_dir, "events"), "ts", 300).select("event_id", "event_type")
