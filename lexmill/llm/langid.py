@@ -7,8 +7,10 @@ They are stored as sorted arrays of window keys (four characters of 16 bits are
 logarithms for each language, so one binary search serves all languages; windows that no language has seen go down the
 orders. Where there are more than `MAX_GRAMS` counts, the windows are dealt by their two middle characters into parts of
 about that size: a part has all that its windows need of orders four and three; discounts, alphabet and the orders two
-and one, which the alphabet bounds, are those of the full table. Texts are then scored a part at a time and the sums of
-the parts added up, with the same result.
+and one, which the alphabet bounds, are those of the full table. The counts then stay a table. Texts are read once, whatever
+the number of parts: each gives its windows, counted, to their parts, where they meet the part's sorted arrays in one
+exchange (GROUP_CHARS of text to a group; a part's arrays are sent to each of its groups), and the sums of the parts are
+added up by text, with the same result.
 
 The prediction is the language with the lowest cross-entropy per character. `score` is its posterior probability with
 even priors, the evidence of a text being capped at `EVIDENCE` characters. Rejection is calibrated on training
@@ -24,10 +26,11 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ from lexmill.llm.common import written
 ORDER = 4
 #: (language, window) counts that are held at once; it decides on the number of parts only.
 MAX_GRAMS = 2_000_000
+#: Characters of text whose windows of one part are one task's group.
+GROUP_CHARS = 5_000_000
 EVIDENCE = 30
 REJECT = 0.005
 #: Documents of each language, the first by hash among those of at most so many characters, that are kept from the counts.
@@ -187,10 +192,10 @@ class KneserNey:
 
 
 class Part:
-    """The models of all languages behind one sorted table, for the windows of one part."""
+    """The models of all languages behind one sorted table, for all windows or those of one part."""
 
-    def __init__(self, models: list[KneserNey], keys: list[np.ndarray], number: int = 0, of: int = 1) -> None:
-        self.models, self.number, self.of = models, number, of
+    def __init__(self, models: list[KneserNey], keys: list[np.ndarray]) -> None:
+        self.models = models
         self.keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
         self.logs = self._logs(self.keys)
 
@@ -198,14 +203,11 @@ class Part:
         return np.log(np.stack([m.probability(windows) for m in self.models], axis=1)).astype(np.float32) if self.models else np.zeros((len(windows), 0), np.float32)
 
     def sums(self, fold: Folder, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sum of logarithms over this part's windows by text and language, all windows, letters)."""
+        """(sum of logarithms over all windows by text and language, windows, letters)."""
         total, n, letters = np.zeros((len(texts), len(self.models))), np.zeros(len(texts), int), np.zeros(len(texts), int)
         for a, b in _chunks(texts):
             keys, start, letters[a:b] = fold(texts[a:b])
             n[a:b] = np.diff(start)
-            if self.of > 1:
-                own = np.flatnonzero(_part_of(keys, self.of) == self.number)
-                keys, start = keys[own], np.searchsorted(own, start)
             at, found = _find(self.keys, keys)
             logs = self.logs[at] if len(self.keys) else np.zeros((len(keys), len(self.models)), np.float32)
             missing = np.flatnonzero(~found)
@@ -216,22 +218,55 @@ class Part:
             total[a:b] = run[start[1:]] - run[start[:-1]]
         return total, n, letters
 
+    def of_windows(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(logarithms of the different windows by language, which of these each window is)."""
+        new, back = np.unique(windows, return_inverse=True)
+        at, found = _find(self.keys, new)
+        logs = self.logs[at] if len(self.keys) else np.zeros((len(new), len(self.models)), np.float32)
+        missing = np.flatnonzero(~found)
+        if len(missing):
+            logs[missing] = self._logs(new[missing])
+        return logs, back
+
 
 def mean_entropy(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
     return -sums / np.maximum(n, 1)[:, None]
 
 
+@dataclass
+class Parts:
+    """Counts that stay a table: (lang, gram, n) of orders ORDER and ORDER - 1, and what all parts share."""
+
+    of: int
+    top: DataFrame
+    next: DataFrame
+    names: list[str]
+    low: dict[int, dict]
+    discounts: dict[str, dict[int, float]]
+    alphabet: int
+
+    def part(self, counts: pa.Table) -> Part:
+        """The models of the part with these counts (order, lang, gram, n)."""
+        def of(order: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+            return _by_lang_of(counts.filter(pc.equal(counts.column("order"), order)))
+
+        top, following = of(ORDER), of(ORDER - 1)
+        lower = lambda x: {3: following.get(x, _NO_COUNTS), 2: self.low[2][x], 1: self.low[1][x]}
+        models = [KneserNey(*top.get(x, _NO_COUNTS), self.alphabet, lower(x), self.discounts[x]) for x in self.names]
+        return Part(models, [k for k, _ in top.values()])
+
+
 class Identifier:
-    """The languages, the parts of their models (one, or broadcast variables), and the limits of rejection."""
+    """The languages, their models behind one table or in parts, and the limits of rejection."""
 
-    def __init__(self, langs: list[str], parts: list) -> None:
-        self.langs, self.parts = langs, parts
+    def __init__(self, langs: list[str], model: Part | Parts | None) -> None:
+        self.langs, self.model = langs, model
         self.limits = np.full((len(langs), 2), np.inf)
 
     def entropies(self, fold: Folder, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(mean cross-entropy by text and language, windows, letters)."""
-        found = [(p if isinstance(p, Part) else p.value).sums(fold, texts) for p in self.parts]
-        return mean_entropy(sum(x for x, _, _ in found), found[0][1]), found[0][1], found[0][2]
+        """(mean cross-entropy by text and language, windows, letters), of a model behind one table."""
+        sums, n, letters = self.model.sums(fold, texts)
+        return mean_entropy(sums, n), n, letters
 
     def predict(self, fold: Folder, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
         """(language, score, cross-entropy, rejected) of each text."""
@@ -283,15 +318,14 @@ def train(docs: DataFrame) -> Identifier:
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     counted, calibrating = _split(known)
     grams = written(count_windows(counted), "langid-windows")
-    some = calibrating.select("lang", "text").toArrow()
-    texts, langs, fold = some.column("text").to_pylist(), some.column("lang").to_pylist(), Folder()
     of = max(1, math.ceil(grams.count() / MAX_GRAMS))
     if of == 1:
         counts = _by_lang(grams)
         chars = [np.unique(k & np.uint64(0xFFFF)) for k, _ in counts.values()]
         alphabet = 1 + len(np.unique(np.concatenate(chars))) if chars else 1
-        model = Identifier(list(counts), [Part([KneserNey(*c, alphabet) for c in counts.values()], [k for k, _ in counts.values()])])
-        model.calibrate(*model.entropies(fold, texts), langs)
+        model = Identifier(list(counts), Part([KneserNey(*c, alphabet) for c in counts.values()], [k for k, _ in counts.values()]))
+        some = calibrating.select("lang", "text").toArrow()
+        model.calibrate(*model.entropies(Folder(), some.column("text").to_pylist()), some.column("lang").to_pylist())
         return model
     levels = {ORDER: grams}
     for n in range(ORDER - 1, 0, -1):
@@ -303,23 +337,22 @@ def train(docs: DataFrame) -> Identifier:
             discounts.setdefault(r.lang, {})[n] = _discount(r.ones, r.twos)
     names = sorted(discounts)
     alphabet = 1 + levels[1].select("gram").distinct().count()
-    low = {n: _by_lang(levels[n]) for n in (1, 2)}
-    sums, parts = np.zeros((len(texts), len(names))), []
-    for number in range(of):
-        own = {n: _by_lang(levels[n].filter(_part_column(F.col("gram"), of) == number)) for n in (ORDER - 1, ORDER)}
-        models = [KneserNey(*own[ORDER].get(x, _NO_COUNTS), alphabet, {3: own[3].get(x, _NO_COUNTS), 2: low[2][x], 1: low[1][x]}, discounts[x]) for x in names]
-        part = Part(models, [k for k, _ in own[ORDER].values()], number, of)
-        more, n, letters = part.sums(fold, texts)
-        sums += more
-        parts.append(docs.sparkSession.sparkContext.broadcast(part))
+    parts = Parts(of, levels[ORDER], levels[ORDER - 1], names, {n: _by_lang(levels[n]) for n in (1, 2)}, discounts, alphabet)
     model = Identifier(names, parts)
-    model.calibrate(mean_entropy(sums, n), n, letters, langs)
+    scored = _sums_by_parts(calibrating.select(F.col("lang").alias("key"), "text"), parts, by_text=True).toArrow()
+    sums = np.array(scored.column("sums").to_pylist(), float).reshape(len(scored), len(names))
+    n, letters = (scored.column(c).to_numpy() for c in ("n", "letters"))
+    model.calibrate(mean_entropy(sums, n), n, letters, scored.column("key").to_pylist())
     return model
 
 
 def _by_lang(grams: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Sorted keys and counts by language, in the order of the languages."""
-    table = grams.select("lang", "gram", "n").toArrow().sort_by("lang")
+    return _by_lang_of(grams.select("lang", "gram", "n").toArrow())
+
+
+def _by_lang_of(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    table = table.sort_by("lang")
     names = table.column("lang").combine_chunks().dictionary_encode() if len(table) else None
     if names is None:
         return {}
@@ -342,7 +375,7 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
     """docs (doc_id, text) to doc_id, held_out, lang_pred, score, cross_entropy, rejected."""
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_OUT}"
     held_out = is_held_out(F.col("doc_id")).alias("held_out")
-    if len(model.parts) > 1:
+    if isinstance(model.model, Parts):
         return _identify_by_parts(docs, model, held_out, out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_GRAMS windows
 
@@ -354,20 +387,74 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
     return docs.select("doc_id", held_out, "text").mapInArrow(run, out)
 
 
-def _identify_by_parts(docs: DataFrame, model: Identifier, held_out: Column, out: str) -> DataFrame:
-    """The sums of each part are those of a pair (doc_id, text), whose rows are scored alike; only they are shuffled."""
-    key = F.xxhash64("doc_id", "text").alias("key")
-    final = Identifier(model.langs, [])
-    final.limits = model.limits
+def _part_windows(texts: DataFrame, of: int, groups: int) -> DataFrame:
+    """texts (id, text) to a row for each text and part that has windows of it: part, salt, id, windows (their bytes),
+    times (of each), n and letters (of the text). A text without windows has a row in part 0."""
 
-    def scored(shared) -> DataFrame:  # noqa: ANN001
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            fold, own = Folder(), shared.value
-            for batch in batches:
-                sums, n, letters = own.sums(fold, batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.number] * len(n), pa.int32()), pa.array(list(sums), pa.list_(pa.float64())), pa.array(n), pa.array(letters)], names=["key", "part", "sums", "n", "letters"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = Folder()
+        for batch in batches:
+            ids, said = batch.column(0), batch.column(1).to_pylist()
+            for a, b in _chunks(said):
+                keys, start, letters = fold(said[a:b])
+                own, part, at, windows, times = [], [], [], [], []
+                for i in range(b - a):
+                    mine, counts = np.unique(keys[start[i] : start[i + 1]], return_counts=True)
+                    parts = _part_of(mine, of)
+                    order = np.argsort(parts, kind="stable")
+                    cuts = np.searchsorted(parts[order], np.arange(of + 1))
+                    for p in range(of):
+                        if cuts[p] < cuts[p + 1] or (p == 0 and not len(mine)):
+                            chosen = order[cuts[p] : cuts[p + 1]]
+                            own.append(a + i)
+                            part.append(p)
+                            at.append(i)
+                            windows.append(mine[chosen].tobytes())
+                            times.append(counts[chosen].astype(np.int64).tobytes())
+                n = np.diff(start)[at]
+                columns = [pa.array(part, pa.int32()), ids.take(pa.array(own, pa.int64())), pa.array(windows, pa.binary()), pa.array(times, pa.binary()), pa.array(n.astype(np.int64)), pa.array(letters[at].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "id", "windows", "times", "n", "letters"])
+
+    spread = texts.select("id", "text").mapInArrow(run, "part int, id long, windows binary, times binary, n long, letters long")
+    return spread.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+
+
+def _sums_by_parts(docs: DataFrame, parts: Parts, by_text: bool = False) -> DataFrame:
+    """docs (key, text) to key, sums (of logarithms, by language), n, letters. Rows with equal key and text are one, or
+    with by_text every row stays; only windows and sums are shuffled."""
+    rows = docs.withColumn("id", F.monotonically_increasing_id() if by_text else F.xxhash64("key", "text"))
+    if by_text:
+        rows = written(rows, "langid-texts")
+    chars = rows.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    groups = max(1, math.ceil(chars / (parts.of * GROUP_CHARS)))
+    spread = _part_windows(rows, parts.of, groups)
+    order = lambda table, n: table.select(_part_column(F.col("gram"), parts.of).cast("int").alias("part"), F.lit(n).alias("order"), "lang", "gram", "n")
+    counts = order(parts.top, ORDER).unionByName(order(parts.next, ORDER - 1))
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    shared = rows.sparkSession.sparkContext.broadcast((parts.of, parts.names, parts.low, parts.discounts, parts.alphabet))  # bounded by the alphabet
+
+    def score(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        of, *rest = shared.value
+        own = Parts(of, None, None, *rest).part(counts)
+        windows, times = (np.frombuffer(b"".join(texts.column(c).to_pylist()), t) for c, t in (("windows", np.uint64), ("times", np.int64)))
+        ends = np.cumsum([len(x) // 8 for x in texts.column("windows").to_pylist()])
+        (logs, back), sums = own.of_windows(windows), np.zeros((len(ends), len(rest[0])))
+        for j in range(sums.shape[1]):
+            run = np.append(0.0, np.cumsum(logs[back, j] * times))
+            sums[:, j] = run[ends] - run[np.append(0, ends)[:-1]]
+        return pa.Table.from_arrays([texts.column("part"), texts.column("id"), pa.array(list(sums), pa.list_(pa.float64())), texts.column("n"), texts.column("letters")], names=["part", "id", "sums", "n", "letters"])
+
+    scored = spread.groupBy("part", "salt").cogroup(counts.groupBy("part", "salt")).applyInArrow(score, "part int, id long, sums array<double>, n long, letters long")
+    total = F.array(*[F.sum(F.col("sums")[i]) for i in range(len(parts.names))]).alias("sums")
+    found = scored.dropDuplicates(["id", "part"]).groupBy("id").agg(total, F.max("n").alias("n"), F.max("letters").alias("letters"))
+    return rows.select("id", "key").join(found, "id").select("key", "sums", "n", "letters") if by_text else found
 
-        return docs.select(key, "text").mapInArrow(run, "key long, part int, sums array<double>, n long, letters long")
+
+def _identify_by_parts(docs: DataFrame, model: Identifier, held_out: Column, out: str) -> DataFrame:
+    """Rows that agree in doc_id and text are scored once."""
+    key = F.xxhash64("doc_id", "text").alias("id")
+    final = Identifier(model.langs, None)
+    final.limits = model.limits
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,7 +462,5 @@ def _identify_by_parts(docs: DataFrame, model: Identifier, held_out: Column, out
             sums = np.array(batch.column(2).to_pylist(), float).reshape(len(n), len(final.langs))
             yield _verdict_batch(batch, final.verdicts(mean_entropy(sums, n), n, letters))
 
-    rows = reduce(DataFrame.unionByName, [scored(p) for p in model.parts]).dropDuplicates(["key", "part"])
-    sums = F.array(*[F.sum(F.col("sums")[i]) for i in range(len(model.langs))]).alias("sums")
-    found = rows.groupBy("key").agg(sums, F.max("n").alias("n"), F.max("letters").alias("letters"))
-    return docs.select("doc_id", held_out, key).join(found, "key").select("doc_id", "held_out", "sums", "n", "letters").mapInArrow(finish, out)
+    found = _sums_by_parts(docs.select(F.col("doc_id").alias("key"), "text"), model.model)
+    return docs.select("doc_id", held_out, key).join(found, "id").select("doc_id", "held_out", "sums", "n", "letters").mapInArrow(finish, out)

@@ -94,9 +94,15 @@ def test_many_windows_are_scored_in_parts_with_the_same_result(spark, monkeypatc
     want = langid.identify(docs, whole).collect()
     monkeypatch.setattr(langid, "MAX_GRAMS", 100)
     model = langid.train(docs)
-    assert len(model.parts) > 1 and model.langs == whole.langs and "xx" in model.langs
+    assert model.model.of > 1 and model.langs == whole.langs and "xx" in model.langs
     texts = [t for _, t, _ in rows] + ["zebra Ж 漢字", "x" * 50]
-    assert np.allclose(model.entropies(langid.Folder(), texts)[0], whole.entropies(langid.Folder(), texts)[0], rtol=1e-6)
+    for chars in (langid.GROUP_CHARS, 1):
+        monkeypatch.setattr(langid, "GROUP_CHARS", chars)
+        found = langid._sums_by_parts(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), model.model, by_text=True).collect()
+        by = {r.key: r for r in found}
+        assert sorted(by) == list(range(len(texts)))
+        sums, n = np.array([by[i].sums for i in sorted(by)]), np.array([by[i].n for i in sorted(by)])
+        assert np.allclose(langid.mean_entropy(sums, n), whole.entropies(langid.Folder(), texts)[0], rtol=1e-6)
     assert np.allclose(model.limits, whole.limits)
     got = langid.identify(docs, model).collect()
     rounded = lambda found: sorted((str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 4), round(r.cross_entropy or 0, 4), r.rejected) for r in found)
