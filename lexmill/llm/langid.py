@@ -437,7 +437,7 @@ def _sums_by_parts(docs: DataFrame, parts: Parts, by_text: bool = False) -> Data
         of, *rest = shared.value
         own = Parts(of, None, None, *rest).part(counts)
         windows, times = (np.frombuffer(b"".join(texts.column(c).to_pylist()), t) for c, t in (("windows", np.uint64), ("times", np.int64)))
-        ends = np.cumsum([len(x) // 8 for x in texts.column("windows").to_pylist()])
+        ends = np.cumsum(np.array([len(x) // 8 for x in texts.column("windows").to_pylist()], np.int64))
         (logs, back), sums = own.of_windows(windows), np.zeros((len(ends), len(rest[0])))
         for j in range(sums.shape[1]):
             run = np.append(0.0, np.cumsum(logs[back, j] * times))
