@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import keys
 from lexmill.functions.jsonio import RESULT_TYPE, strict_json
+from lexmill.functions.rows import bound
 from lexmill.functions.text import file_name
 from lexmill.functions.vectors import cosine
 from lexmill.operators import cache, chunking, packing, results, retrieval
@@ -117,42 +118,52 @@ def embedded(texts: DataFrame, make_embedder: Callable[[], Embedder], store: cac
     return found.filter("hit").select("key", "vector").unionByName(fresh)
 
 
+def run_vectors(docs: DataFrame, key: str, text: str, prompts: list[str], make_embedder: Callable[[], Embedder], vectors: cache.Store | None = None, server: str = "", embedding_model: str = "") -> tuple[DataFrame, DataFrame]:
+    """(windows (key, chunk_idx, ekey), vectors (ekey, vector)) of all windows of a run and its prompts: each different
+    text is asked for once, however many windows, documents and prompts have it."""
+    name = lambda t: keys.embedding_key(F.lit(server), F.lit(embedding_model), t)
+    windows = chunking.chunks(docs.select(key, F.col(text).alias("text"))).withColumn("ekey", name(F.col("chunk")))
+    asked = docs.sparkSession.createDataFrame([(p,) for p in prompts], "text string").select(name(F.col("text")).alias("key"), "text")
+    known = embedded(windows.select(F.col("ekey").alias("key"), F.col("chunk").alias("text")).unionByName(asked), make_embedder, vectors, embedding_model)
+    return windows.select(key, "chunk_idx", "ekey"), known.withColumnRenamed("key", "ekey")
+
+
 def retrieved(
     docs: DataFrame, key: str, text: str, prompt: str, make_embedder: Callable[[], Embedder] | None, make_reranker: Callable[[], Reranker] | None = None,
-    vectors: cache.Store | None = None, server: str = "", embedding_model: str = "",
+    vectors: cache.Store | None = None, server: str = "", embedding_model: str = "", run: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """docs with __context: the six best windows of the text by cosine with the prompt, or of the 20 best by cosine
     those that the reranker likes best; the first six windows without an embedder, a vector of the prompt or of any
-    window, and an empty text as it is."""
+    window, and an empty text as it is. Windows are ranked by their places; their texts are cut from their document where
+    it is again. `run` are the run_vectors of a run of several prompts."""
     first = F.array_join(F.slice(chunking.chunk_array(F.col(text)), 1, retrieval.TOP_K), "\n\n")
     if make_embedder is None:
         return docs.withColumn("__context", F.coalesce(first, F.lit("")))
-    name = lambda t: keys.embedding_key(F.lit(server), F.lit(embedding_model), t)
-    windows = chunking.chunks(docs.select(key, F.col(text).alias("text"))).withColumn("key", name(F.col("chunk")))
-    asked = docs.sparkSession.range(1).select(name(F.lit(prompt)).alias("key"), F.lit(prompt).alias("text"))
-    known = embedded(windows.select("key", F.col("chunk").alias("text")).unionByName(asked), make_embedder, vectors, embedding_model)
-    query = known.join(asked, "key", "left_semi").select("vector").first()
+    windows, known = run or run_vectors(docs, key, text, [prompt], make_embedder, vectors, server, embedding_model)
+    query = known.filter(F.col("ekey") == keys.embedding_key(F.lit(server), F.lit(embedding_model), F.lit(prompt))).select("vector").first()
     if query is None:
         return docs.withColumn("__context", F.coalesce(first, F.lit("")))
     score = F.round(cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in query.vector])), 9)
     some = retrieval.CANDIDATES if make_reranker else retrieval.TOP_K
-    ranked = retrieval.top_chunks(windows.join(known, "key").select(key, "chunk_idx", "chunk", "vector"), score, key, some)
-    groups = ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"]).alias("texts"))
-    chosen = F.slice("texts", 1, retrieval.TOP_K)
+    ranked = retrieval.top_chunks(windows.join(known, "ekey").select(key, "chunk_idx", "vector"), score, key, some)
+    places = ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_idx"))), lambda x: x["chunk_idx"]).alias("__places"))
+    cut = lambda at: bound(chunking.chunk_array(F.col(text)), lambda chunks: F.transform(at, lambda i: F.get(chunks, i)))
     if make_reranker:
-        groups = written(groups, "candidates")
-        groups = groups.join(rerank_texts(groups, key, prompt, make_reranker, retrieval.TOP_K), key, "left")
-        chosen = F.coalesce(F.transform("best", lambda i: F.get("texts", i)), chosen)
-    contexts = groups.select(key, F.array_join(chosen, "\n\n").alias("__best"))
-    return docs.join(contexts, key, "left").withColumn("__context", F.coalesce("__best", first, F.lit(""))).drop("__best")
+        groups = written(docs.join(places, key).select(key, "__places", cut(F.col("__places")).alias("texts")), "candidates")
+        liked = groups.select(key, "__places").join(rerank_texts(groups, key, prompt, make_reranker, retrieval.TOP_K), key, "left")
+        places = liked.select(key, F.coalesce(F.transform("best", lambda i: F.get("__places", i)), "__places").alias("__places"))
+    found = F.when(F.col("__places").isNotNull(), F.array_join(cut(F.slice("__places", 1, retrieval.TOP_K)), "\n\n"))
+    return docs.join(places, key, "left").withColumn("__context", F.coalesce(found, first, F.lit(""))).drop("__places")
 
 
 def search(
     docs: DataFrame, key: str, source: str, text: str, prompt: str | list[str], make_chat: Callable[[], Chat] = lambda: echo_chat, make_embedder: Callable[[], Embedder] | None = lambda: letter_embedder,
     make_reranker: Callable[[], Reranker] | None = None, vectors: cache.Store | None = None, model: str = "", embedding_model: str = "", reranker_model: str = "", server: str = "", **options,
 ) -> DataFrame:
-    """As fast, over the context that `retrieved` finds for each prompt."""
-    context = lambda p: retrieved(docs, key, text, p, make_embedder, make_reranker, vectors, server, embedding_model)
+    """As fast, over the context that `retrieved` finds for each prompt. Windows are embedded once for all prompts."""
+    prompts = [p for p in _listed(prompt) if p.strip()]
+    run = run_vectors(docs, key, text, prompts, make_embedder, vectors, server, embedding_model) if make_embedder and len(prompts) > 1 else None
+    context = lambda p: retrieved(docs, key, text, p, make_embedder, make_reranker, vectors, server, embedding_model, run)
     names = {"model": model, "embedding_model": embedding_model, "reranker_model": reranker_model}
     return _per_document(docs, key, source, text, _listed(prompt), context, "search", names, make_chat, **options)
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.functions.rows import bound
 from lexmill.functions.vectors import cosine
+from lexmill.operators.chunking import chunk_array
 from lexmill.operators.metrics import positions
 from lexmill.storage import drop_path, fresh_path, written, written_at
 
@@ -23,23 +27,37 @@ def top_chunks(chunks: DataFrame, score: Column, doc: str, k: int = TOP_K) -> Da
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def search_context(chunks: DataFrame, query: list[float], embedding: Column, doc: str, k: int = TOP_K) -> DataFrame:
-    """The context of each document: its k best chunks in order of rank, joined by a blank line."""
-    best = top_chunks(chunks, F.round(cosine(embedding, F.array(*[F.lit(float(x)) for x in query])), 9), doc, k)
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "chunk_idx", "chunk")))
-    out = best.groupBy(doc).agg(ordered.alias("best"))
-    return out.select(doc, F.array_join(F.transform("best", lambda x: x["chunk_idx"].cast("string")), ",").alias("chunk_ids"), F.array_join(F.transform("best", lambda x: x["chunk"]), "\n\n").alias("context"))
+def best_of(chunks: Column, score: Callable[[Column], Column], k: int = TOP_K) -> Column:
+    """The k best of an array of texts as (idx, score), best first, ties to the earlier: all of a document's chunks are in
+    its row, so nothing is exploded, shuffled or sorted but these pairs."""
+    scored = F.transform(chunks, lambda c, i: bound(score(c), lambda s: F.struct((F.lit(0) - s).alias("cost"), i.alias("idx"), s.alias("score"))))
+    return F.transform(F.slice(F.array_sort(scored), 1, k), lambda x: F.struct(x["idx"].alias("idx"), x["score"].alias("score")))
+
+
+def search_context(docs: DataFrame, query: list[float], embed: Callable[[Column], Column], doc: str, text: str = "text", k: int = TOP_K) -> DataFrame:
+    """The context of each document with a text: its k best chunks by cosine in order of rank, joined by a blank line."""
+    score = lambda c: F.round(cosine(embed(c), F.array(*[F.lit(float(x)) for x in query])), 9)
+    ranked = bound(chunk_array(F.col(text)), lambda chunks: F.transform(best_of(chunks, score, k), lambda b: F.struct(b["idx"].alias("idx"), F.get(chunks, b["idx"]).alias("chunk"))))
+    rows = docs.filter(F.length(text) > 0).select(doc, ranked.alias("best"))
+    return rows.select(doc, F.array_join(F.transform("best", lambda b: b["idx"].cast("string")), ",").alias("chunk_ids"), F.array_join("best.chunk", "\n\n").alias("context"))
+
+
+def two_stage(docs: DataFrame, first: Callable[[Column], Column], second: Callable[[Column], Column], doc: str, text: str = "text", candidates: int = CANDIDATES, k: int = TOP_K) -> DataFrame:
+    """(doc, rank, chunk_idx, score): candidates by the first score, then the best of them by the second, ties to the
+    earlier chunk."""
 
+    def chosen(chunks: Column) -> Column:
+        places = F.array_sort(F.transform(best_of(chunks, first, candidates), lambda b: b["idx"]))
+        pool = lambda at: bound(F.transform(at, lambda i: F.get(chunks, i)), lambda some: F.transform(best_of(some, second, k), lambda b: F.struct(F.get(at, b["idx"]).alias("chunk_idx"), b["score"].alias("score"))))
+        return bound(places, pool)
 
-def two_stage(chunks: DataFrame, first: Column, second: Column, doc: str, candidates: int = CANDIDATES, k: int = TOP_K) -> DataFrame:
-    """Candidates by the first score, then the best of them by the second."""
-    pool = top_chunks(chunks, first, doc, candidates).withColumnRenamed("score", "first_score").withColumnRenamed("rank", "first_rank")
-    return top_chunks(pool, second, doc, k)
+    rows = docs.filter(F.length(text) > 0).select(doc, F.posexplode(bound(chunk_array(F.col(text)), chosen)).alias("at", "b"))
+    return rows.select(doc, (F.col("at") + 1).alias("rank"), "b.chunk_idx", "b.score")
 
 
 def overlap_score(text: Column, terms: list[str]) -> Column:
     """Number of different terms in a text: the built-in reranker, a stand-in for a model."""
-    return sum((F.lower(text).contains(t).cast("int") for t in terms), F.lit(0))
+    return bound(F.lower(text), lambda low: sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0)))
 
 
 _QUERY_BLOCK, _ROW_BLOCK = 512, 4096

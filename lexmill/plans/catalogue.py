@@ -115,8 +115,7 @@ _SCORE_SQL = f"round(CASE WHEN list_sum({_LETTERS_SQL}) > 0 THEN list_cosine_sim
 SELECT doc_id, string_agg(chunk_idx::VARCHAR, ',' ORDER BY r) AS chunk_ids, string_agg(chunk, chr(10) || chr(10) ORDER BY r) AS context FROM s WHERE r <= 6 GROUP BY doc_id"""
 )
 def search_topk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunking.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return retrieval.search_context(c, _QUERY_VECTOR, vectors.letter_embedding(F.col("chunk")), "doc_id")
+    return retrieval.search_context(table(spark, sf_dir, "documents").select("doc_id", "text"), _QUERY_VECTOR, vectors.letter_embedding, "doc_id")
 
 
 _OVERLAP_SQL = " + ".join(f"contains(lower(chunk), '{t}')::INT" for t in TERMS)
@@ -128,9 +127,9 @@ b AS (SELECT doc_id, chunk_idx, {_OVERLAP_SQL} AS score FROM a WHERE r <= 20)
 SELECT doc_id, chunk_idx::INTEGER AS chunk_idx, score::INTEGER AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_idx)::INTEGER AS rank FROM b QUALIFY rank <= 6"""
 )
 def rerank_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunking.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    first = F.round(vectors.cosine(vectors.letter_embedding(F.col("chunk")), F.array(*[F.lit(x) for x in _QUERY_VECTOR])), 9)
-    return retrieval.two_stage(c, first, retrieval.overlap_score(F.col("chunk"), TERMS), "doc_id").select("doc_id", "chunk_idx", "score", "rank")
+    first = lambda c: F.round(vectors.cosine(vectors.letter_embedding(c), F.array(*[F.lit(x) for x in _QUERY_VECTOR])), 9)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieval.two_stage(docs, first, lambda c: retrieval.overlap_score(c, TERMS), "doc_id").select("doc_id", "chunk_idx", "score", "rank")
 
 
 @_query(f"WITH {_CHUNK_CTE} SELECT doc_id, string_agg(chunk, chr(10) || chr(10) ORDER BY chunk_idx) AS context FROM c WHERE chunk_idx < 6 GROUP BY doc_id")
