@@ -237,9 +237,12 @@ def folded_events(lines: Iterable[str]) -> str:
     return "".join(out)
 
 
-def ask_model(rows: DataFrame, user: str, make_chat: Callable[[], Chat], system: str = "", per_second: float = 0, concurrency: int = 0, cancelled: Callable[[], bool] | None = None) -> DataFrame:
+def ask_model(rows: DataFrame, user: str, make_chat: Callable[[], Chat], system: str = "", per_second: float = 0, concurrency: int = 0, cancelled: Callable[[], bool] | None = None, pause_s: float = 0) -> DataFrame:
     """rows with response and error. concurrency is the number of tasks that ask at a time (0: as the rows come);
-    per_second limits the requests of each. Rows that come up after `cancelled` says so are not asked."""
+    per_second limits the requests of all of them together where concurrency is given, else of each; pause_s is waited
+    after each request. Rows that come up after `cancelled` says so are not asked: it is asked in the workers, so it has
+    to look at something they share (see runs.ModelRun for a driver's cancel)."""
+    per_second = per_second / max(1, concurrency)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chat, last = make_chat(), 0.0
@@ -259,6 +262,8 @@ def ask_model(rows: DataFrame, user: str, make_chat: Callable[[], Chat], system:
                 except Exception as e:  # noqa: BLE001  a row's failure is that row's warning
                     answers.append("")
                     errors.append(str(e))
+                if pause_s:
+                    time.sleep(pause_s)
             yield pdf.assign(response=answers, error=errors)
 
     dealt = rows.repartition(concurrency) if concurrency else rows

@@ -6,6 +6,7 @@ a turn, `noisy` are documents between injected boilerplate lines (the plain text
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -318,6 +319,28 @@ def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.remaining(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
+# ---------------------------------------------------------------- files
+
+
+@_query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as files in several encodings, by turns and without a mark, decoded again: what is detected gives the text."""
+
+    @F.pandas_udf("binary")
+    def encoded(texts: pd.Series, number: pd.Series) -> pd.Series:
+        def one(text: str, n: int) -> bytes:
+            try:
+                return text.encode(("cp1252", "utf-16-le", "utf-8", "utf-16")[n])
+            except UnicodeEncodeError:
+                return text.encode("utf-8")
+
+        return pd.Series([one(t, n) for t, n in zip(texts, number, strict=True)])
+
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    files = d.select("doc_id", encoded("text", (F.col("doc_id") % 4).cast("int")).alias("content"))
+    return readers.decoded_bytes(files).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 # ---------------------------------------------------------------- matching
 
 _WORDS_SQL = "list_distinct(list_filter(string_split_regex({}, '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> ''))"

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.jsonio import whole_number
 from lexmill.functions.text import OTHER_TYPES, OWN_OUTPUT, PLAIN_TEXT_TYPES, extension, file_name, natural_key, trim_blanks
+from lexmill.sources import office
+from lexmill.sources.encodings import text_of
 
 
 def visible() -> Column:
@@ -24,25 +26,61 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*.[pP][dD][fF]") -
     return files.select("path", F.sha2("content", 256).alias("file_hash"), F.col("length").alias("size"), natural_key(file_name(F.col("path"))).alias("natural_key"))
 
 
-def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, extension, text): the supported types below a folder, own outputs left out. Plain text is decoded as UTF-8,
-    else as Latin-1, html with its tags; other types need an extractor and get a fixed placeholder."""
+# What stands for the text of types that are not read.
+SPREADSHEET_NOTE = "[Excel soubor detekován – pro analýzu je nutné převést jej na .csv nebo .txt. Obsah není zpracován.]"
+SLIDES_NOTE = "[PowerPoint soubor detekován – pro analýzu je nutné převést prezentaci na .pdf. Obsah není zpracován.]"
+UNKNOWN_NOTE = "[Nepodporovaný typ souboru: .%s]"
+PAGE_BREAK = "\n\n[[PAGE_BREAK]]\n\n"
+_FILE_TEXT = "text string, encoding string, problem string"
+
+
+def file_text(kind: str, raw: bytes, pdf_pages: Callable[[bytes], list[str]] | None = None, spreadsheets: bool = False) -> tuple[str, str | None, str | None]:
+    """(text, encoding, problem) of one file by its extension. A file that cannot be read has an empty text and the
+    reason."""
+    try:
+        if kind in PLAIN_TEXT_TYPES:
+            said, encoding = text_of(raw)
+            return said, encoding, None if encoding else "no known encoding"
+        if kind in office.EXTRACTORS:
+            return office.EXTRACTORS[kind](raw), None, None
+        if kind == "doc":
+            return "", None, "the older word-processor format is not read"
+        if kind == "pdf" and pdf_pages is not None:
+            return PAGE_BREAK.join(pdf_pages(raw)), None, None
+        if kind == "xlsx" and spreadsheets:
+            return office.xlsx_text(raw), None, None
+    except Exception as e:  # noqa: BLE001  a file's failure is that file's row
+        return "", None, f"{e}" if isinstance(e, office.Unreadable) else f"{type(e).__name__}: {e}"
+    note = SPREADSHEET_NOTE if kind in ("xlsx", "xls") else SLIDES_NOTE if kind in ("pptx", "ppt") else UNKNOWN_NOTE % kind
+    return note, None, None
+
+
+def text_files(spark: SparkSession, path: str, pdf_pages: Callable[[bytes], list[str]] | None = None, spreadsheets: bool = False) -> DataFrame:
+    """(path, extension, text, encoding, problem): a row for each file of the supported types below a folder, own outputs
+    left out, in one scan. Plain text is decoded by its detected encoding, html with its tags; word-processor files give
+    their text; spreadsheets and slides a fixed note (spreadsheets=True: the cells), as does pdf without a page extractor.
+    A file that cannot be read keeps its row, with the reason in `problem`."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(visible())
     files = files.withColumn("extension", extension(F.col("path"))).filter(F.col("extension").isin(*PLAIN_TEXT_TYPES, *OTHER_TYPES) & ~file_name(F.col("path")).rlike(OWN_OUTPUT))
 
-    @F.pandas_udf("string")
-    def decoded(content: pd.Series) -> pd.Series:
-        def one(raw: bytes) -> str:
-            try:
-                return raw.decode("utf-8-sig")
-            except UnicodeDecodeError:
-                return raw.decode("latin-1")
+    def run(frames):  # noqa: ANN001, ANN202
+        for pdf in frames:
+            found = [file_text(kind, bytes(raw), pdf_pages, spreadsheets) for kind, raw in zip(pdf.extension, pdf.content, strict=True)]
+            texts, encodings, problems = zip(*found, strict=True) if found else ((), (), ())
+            yield pdf[["path", "extension"]].assign(text=texts, encoding=encodings, problem=problems)
+
+    return files.select("path", "extension", "content").mapInPandas(run, f"path string, extension string, {_FILE_TEXT}")
 
-        return content.map(one)
 
-    plain = files.filter(F.col("extension").isin(*PLAIN_TEXT_TYPES)).select("path", "extension", decoded("content").alias("text"))
-    other = files.filter(~F.col("extension").isin(*PLAIN_TEXT_TYPES)).select("path", "extension", F.concat(F.lit("[no text extractor for ."), "extension", F.lit("]")).alias("text"))
-    return plain.unionByName(other)
+def decoded_bytes(rows: DataFrame, content: str = "content") -> DataFrame:
+    """rows with text and encoding of a binary column; null bytes give null."""
+
+    @F.pandas_udf("text string, encoding string")
+    def decoded(raw: pd.Series) -> pd.DataFrame:
+        found = [(None, None) if r is None else text_of(bytes(r)) for r in raw]
+        return pd.DataFrame(found, columns=["text", "encoding"])
+
+    return rows.withColumn("__decoded", decoded(content)).select(*[c for c in rows.columns if c not in ("text", "encoding")], "__decoded.text", "__decoded.encoding")
 
 
 def prompts(spark: SparkSession, path: str) -> DataFrame:
@@ -62,20 +100,33 @@ def profiles(spark: SparkSession, path: str) -> DataFrame:
     return rows.fillna(defaults)
 
 
-def page_texts(files: DataFrame, extract) -> DataFrame:  # noqa: ANN001
-    """(path, content) to (doc, page, text) by a page extractor bytes -> list[str]; unreadable files have no pages."""
+def page_texts(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
+    """(path, content) to (doc, page, text) by a page extractor; files that cannot be read have no pages."""
+    return extracted(files, extract).filter("page is not null").drop("problem")
+
+
+def failed_files(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
+    """(doc, problem) of the files that cannot be read."""
+    return extracted(files, extract).filter("problem is not null").select("doc", "problem")
+
+
+def extracted(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
+    """(path, content) to (doc, page, text, problem): a row a page, trimmed, and one with its problem and no page for each
+    file that cannot be read, so that no file vanishes. A file without pages has a row without either."""
 
     def run(frames):  # noqa: ANN001, ANN202
         for pdf in frames:
             rows = []
             for path, raw in zip(pdf.path, pdf.content, strict=True):
                 try:
-                    rows += [(path, i, (p or "").strip()) for i, p in enumerate(extract(bytes(raw)))]
-                except Exception:  # noqa: BLE001  an unreadable file has no pages
-                    continue
-            yield pd.DataFrame(rows, columns=["doc", "page", "text"])
-
-    return files.select("path", "content").mapInPandas(run, "doc string, page int, text string")
+                    pages = [(path, i, (p or "").strip(), None) for i, p in enumerate(extract(bytes(raw)))]
+                    rows += pages or [(path, None, None, None)]
+                except Exception as e:  # noqa: BLE001  a file's failure is that file's row
+                    rows.append((path, None, None, str(e) or type(e).__name__))
+            out = pd.DataFrame(rows, columns=["doc", "page", "text", "problem"])
+            yield out.astype({"page": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "doc string, page int, text string, problem string")
 
 
 def text_layer_or_ocr(layer: DataFrame, ocr: DataFrame) -> DataFrame:
