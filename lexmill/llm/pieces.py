@@ -17,10 +17,15 @@ Texts are cut into words at places that no piece of the vocabulary can cross, so
 Which words come first is a matter of cost alone, every word gets the ids of its lattice: the commonest words of
 `SAMPLE_DOCS` documents, chosen by hash, at most `FREQUENT` of them, are encoded first and broadcast. All other words of
 all documents are encoded in a second run, once each, and go to the blocks of `BLOCK_ROWS` documents that hold them.
-Texts are shuffled once, compressed by block, to meet them there. Nothing that grows with the corpus is broadcast or
+Texts are shuffled once, compressed by runs of rows, to meet them there; a task holds one such run, of bounded bytes, and the
+different uncommon words of one block. Nothing that grows with the corpus is broadcast or
 collected, except one row for each file of the input. Cuts are made in Arrow, and words are numbered there, so a batch
 of texts costs Python one step for each distinct word.
 
+A word is one row of its lattice, of some 300 bytes a character, so a text may hold no run of over about 5,000,000
+characters without a place to cut at (a blank, or a change between letters and signs, as the vocabulary has it); Spark ends
+the query there, since its rows end at 2 GB.
+
 Rows come out in the order of the input: by file (Spark's part numbers first, then names) and row. Input that is not read
 from Parquet files is written first. Null and empty texts have no tokens. Blanks are kept as they are. Equal rows are
 encoded each. An empty table gives an empty one. Input columns may have any other names.
@@ -607,13 +612,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, frequent: int = FREQUENT, sa
         for batch in batches:
             for part in _slices(batch, text_at):
                 places = part.column(place_at).to_numpy()
-                bounds = np.concatenate([[0], np.flatnonzero(np.diff(places // BLOCK_ROWS)) + 1, [len(places)]])
+                steps = np.diff(places)
+                # A blob is a run of ascending places of one block.
+                bounds = np.concatenate([[0], np.flatnonzero((np.diff(places // BLOCK_ROWS) != 0) | (steps <= 0)) + 1, [len(places)]])
                 blobs = [_blob(part.slice(a, b - a)) for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(2 * places[bounds[:-1]] + 1), pa.array(blobs, pa.binary())], names=["at", "data"])
 
-    def finished(parts: list[pa.RecordBatch], own: dict[bytes, bytes]) -> Iterator[pa.RecordBatch]:
-        """The rows of one block in their order; files and their splits may have come in any."""
-        whole = pa.Table.from_batches(parts).combine_chunks()
+    def finished(blobs: list[bytes], own: dict[bytes, bytes]) -> Iterator[pa.RecordBatch]:
+        """Rows of one block in their order. Blobs come by their first places; only those whose places overlap, as of rows
+        of several files in one task, are put together."""
+        whole = pa.Table.from_batches([x for b in blobs for x in pa.ipc.open_stream(b)]).combine_chunks()
         places = whole.column(place_at).to_numpy()
         whole = whole if (np.diff(places) > 0).all() else whole.take(pa.array(np.argsort(places)))
         for batch in whole.to_batches():
@@ -624,20 +632,26 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, frequent: int = FREQUENT, sa
                 columns = part.columns if number else [c for i, c in enumerate(part.columns) if i != place_at]
                 yield pa.RecordBatch.from_arrays(columns + new, names=names)
 
+    def last_place(blob: bytes) -> int:
+        return max(x.column(place_at).to_numpy().max() for x in pa.ipc.open_stream(blob))
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, parts, own_block = {}, [], None
+        own, held, last, own_block = {}, [], -1, None
         for batch in batches:
-            for block, words, blob in zip((batch.column(0).to_numpy() // (2 * BLOCK_ROWS)).tolist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for at, words, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                block = at // (2 * BLOCK_ROWS)
+                if held and (block != own_block or at // 2 > last):
+                    yield from finished(held, own)
+                    held = []
                 if block != own_block:
-                    if parts:
-                        yield from finished(parts, own)
-                    own, parts, own_block = {}, [], block
+                    own, last, own_block = {}, -1, block
                 if words:
                     own |= _unpacked_words(blob.as_py())
                 else:
-                    parts += pa.ipc.open_stream(blob.as_buffer())
-        if parts:
-            yield from finished(parts, own)
+                    held.append(blob.as_py())
+                    last = max(last, last_place(held[-1]))
+        if held:
+            yield from finished(held, own)
 
     # The words of a block come before its rows, by the one number `at`.
     text_at, place_at, names = rows.columns.index("text"), rows.columns.index(place), [*(rows if number else kept).columns, *added]
