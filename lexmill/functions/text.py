@@ -47,6 +47,8 @@ MODE_KEYWORDS = {
 THINKING_MARKS = ("/no_think", "/think", "nothinking", "thinking", "no thinking", "no-thinking")
 CSV_MARK, TXT_MARK = "=====CSV=====", "=====TXT====="
 PAGE_BREAK = "[[PAGE_BREAK]]"
+#: What stands between the pages of an extracted text.
+BETWEEN_PAGES = f"\n\n{PAGE_BREAK}\n\n"
 # Phrases of a context overflow, names and endings of the engine's own outputs, file types.
 OVERFLOW_PHRASES = ("context length", "context window", "number of tokens to keep", "provide a shorter input", "prompt is too long", "exceeded the context")
 OWN_OUTPUT = r"\.lm\.txt$|^(log--|vystup--|souhrn--)|^\.[^/]*-checkpoint\.json$"

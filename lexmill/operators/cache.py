@@ -15,9 +15,9 @@ VECTORS = "key string, vector array<double>, model string, created_at timestamp"
 
 
 def latest(cache: DataFrame, key: str = "key", order: str = "created_at") -> DataFrame:
-    """One row for each key, the last written."""
+    """One row for each key, the last written; of rows of one time the largest by its values."""
     values = [c for c in cache.columns if c != key]
-    return cache.groupBy(key).agg(F.max_by(F.struct(*values), F.col(order)).alias("__last")).select(key, "__last.*")
+    return cache.groupBy(key).agg(F.max(F.struct(F.col(order).alias("__at"), F.struct(*values).alias("__row"))).alias("__last")).select(key, "__last.__row.*")
 
 
 def lookup(requests: DataFrame, cache: DataFrame, key: str = "key", bypass: bool = False) -> DataFrame:

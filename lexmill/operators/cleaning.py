@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.rows import bound
-from lexmill.functions.text import PAGE_BREAK, has_usable_text, is_boilerplate, lines_of, nfc, normalize_whitespace
+from lexmill.functions.text import BETWEEN_PAGES, PAGE_BREAK, has_usable_text, is_boilerplate, lines_of, nfc, normalize_whitespace
 
 EDGE_LINES = 6
 SHARE = 0.45
@@ -132,4 +132,4 @@ def layer_or_ocr_by_page(pages: DataFrame, least_usable: Callable[[Column], Colu
     joined by the mark of a page break."""
     text = F.when(least_usable(F.col("layer")), F.col("layer")).otherwise(F.coalesce("ocr", "layer", F.lit("")))
     listed = F.array_sort(F.collect_list(F.struct("page", text.alias("text"))))
-    return pages.groupBy("doc").agg(F.array_join(F.transform(listed, lambda p: p["text"]), PAGE_BREAK).alias("text"))
+    return pages.groupBy("doc").agg(F.array_join(F.transform(listed, lambda p: p["text"]), BETWEEN_PAGES).alias("text"))

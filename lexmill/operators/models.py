@@ -125,8 +125,9 @@ def _said(answer: dict) -> str:
     return message.get("content") or message.get("reasoning_content") or ""
 
 
-def http_chat(base_url: str, model: str, key: str = "", timeout: float = 600, stream: bool = False) -> Chat:
-    """A chat client of the common completions interface; a streamed answer is put together as it comes in."""
+def http_chat(base_url: str, model: str, key: str = "", timeout: float = 600, stream: bool = False, retry: Retry = Retry()) -> Chat:  # noqa: B008
+    """A chat client of the common completions interface; a streamed answer is put together as it comes in. The older rules
+    are those of retry=OLDER_CHAT; the other clients have the same parameter."""
 
     def ask(system: str, user: str) -> str:
         body = {"model": model, "temperature": 0, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
@@ -134,7 +135,7 @@ def http_chat(base_url: str, model: str, key: str = "", timeout: float = 600, st
             return _sent(base_url, "/chat/completions", body | {"stream": True}, key, timeout, lambda lines: folded_events(x.decode().rstrip("\r\n") for x in lines))
         return _said(_sent(base_url, "/chat/completions", body, key, timeout))
 
-    return lambda system, user: retried(lambda: ask(system, user))
+    return lambda system, user: retried(lambda: ask(system, user), retry=retry)
 
 
 def image_message(user: str, images: list[bytes]) -> dict:
@@ -143,12 +144,12 @@ def image_message(user: str, images: list[bytes]) -> dict:
     return {"role": "user", "content": [{"type": "text", "text": user}, *shown]}
 
 
-def http_vision(base_url: str, model: str, key: str = "", timeout: float = 600) -> Vision:
+def http_vision(base_url: str, model: str, key: str = "", timeout: float = 600, retry: Retry = Retry()) -> Vision:  # noqa: B008
     def ask(system: str, user: str, images: list[bytes]) -> str:
         body = {"model": model, "temperature": 0, "messages": [{"role": "system", "content": system}, image_message(user, images)]}
         return _said(_sent(base_url, "/chat/completions", body, key, timeout)).strip()
 
-    return lambda system, user, images: retried(lambda: ask(system, user, images))
+    return lambda system, user, images: retried(lambda: ask(system, user, images), retry=retry)
 
 
 def vectors_in_order(items: list[dict], n: int) -> list[list[float]]:
@@ -160,12 +161,12 @@ def vectors_in_order(items: list[dict], n: int) -> list[list[float]]:
     return vectors
 
 
-def http_embedder(base_url: str, model: str, key: str = "", timeout: float = 600) -> Embedder:
+def http_embedder(base_url: str, model: str, key: str = "", timeout: float = 600, retry: Retry = Retry()) -> Embedder:  # noqa: B008
     def ask(texts: list[str]) -> list[list[float]]:
         body = {"model": model, "input": texts[0] if len(texts) == 1 else texts}
         return vectors_in_order(_sent(base_url, "/embeddings", body, key, timeout)["data"], len(texts)) if texts else []
 
-    return lambda texts: retried(lambda: ask(texts))
+    return lambda texts: retried(lambda: ask(texts), retry=retry)
 
 
 def relevances(answer: dict, n: int) -> list[tuple[int, float]]:
@@ -175,12 +176,12 @@ def relevances(answer: dict, n: int) -> list[tuple[int, float]]:
     return [(x["index"], float(score(x))) for x in rows if isinstance(x.get("index"), int) and 0 <= x["index"] < n]
 
 
-def http_reranker(base_url: str, model: str, top_n: int = 6, key: str = "", timeout: float = 600) -> Reranker:
+def http_reranker(base_url: str, model: str, top_n: int = 6, key: str = "", timeout: float = 600, retry: Retry = Retry()) -> Reranker:  # noqa: B008
     def ask(query: str, texts: list[str]) -> list[tuple[int, float]]:
         body = {"model": model, "query": query, "documents": texts, "top_n": top_n}
         return relevances(_sent(base_url, "/rerank", body, key, timeout), len(texts)) if texts else []
 
-    return lambda query, texts: retried(lambda: ask(query, texts))
+    return lambda query, texts: retried(lambda: ask(query, texts), retry=retry)
 
 
 def list_models(base_url: str, key: str = "", timeout: float = 60) -> list[dict]:

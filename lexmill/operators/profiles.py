@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.operators.cache import VECTORS, Store, latest
+
 # Chunk profiles by the model they suit, first match wins, the last is the default.
 CHUNK_PROFILES = (
     ("gpt-oss-20b", ("gpt-oss-20b", "gpt oss 20b"), 1200, 150, "rag-bge-m3-c1200-o150-v1024"),
@@ -37,3 +40,45 @@ def manifest_mismatches(manifest: dict, size: int, overlap: int, model: str, vec
     """Names of the properties in which a vector collection differs from what is asked for."""
     asked = {"profile": profile, "collection": collection, "chunk_size": size, "chunk_overlap": overlap, "embedding_model": model, "vector_size": vector_size}
     return [k for k, v in asked.items() if manifest.get(k) != v]
+
+
+class MismatchError(Exception):
+    """A collection that was made for something else; says in which properties."""
+
+
+class Collection:
+    """Vectors of one profile: a manifest of one row, made with the first vectors, and a store in which the last vector of
+    each key counts."""
+
+    def __init__(self, spark: SparkSession, path: str, **asked) -> None:  # noqa: ANN003
+        """asked: profile, collection, size, overlap, model, vector_size, as manifest_mismatches has them."""
+        self.spark, self.path, self.asked = spark, path.rstrip("/"), asked
+        self.store = Store(spark, f"{self.path}/vectors", VECTORS)
+
+    def manifest(self) -> dict | None:
+        try:
+            row = self.spark.read.json(f"{self.path}/manifest").first()
+        except AnalysisException:
+            return None
+        return row.asDict() if row else None
+
+    def _checked(self) -> bool:
+        """Whether the manifest is there; one that differs is an error, and nothing is written or read."""
+        known = self.manifest()
+        if known is not None and (wrong := manifest_mismatches(known, **self.asked)):
+            raise MismatchError(", ".join(wrong))
+        return known is not None
+
+    def upsert(self, vectors: DataFrame) -> None:
+        """vectors (key, vector); a vector of another length than the profile's is an error."""
+        a = self.asked
+        if not self._checked():
+            row = {"profile": a["profile"], "collection": a["collection"], "chunk_size": a["size"], "chunk_overlap": a["overlap"], "embedding_model": a["model"], "vector_size": a["vector_size"]}
+            self.spark.createDataFrame([row]).coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest")
+        size = F.size("vector")
+        fits = F.when(size == a["vector_size"], F.col("vector")).otherwise(F.raise_error(F.concat(F.lit("a vector of length "), size.cast("string"))))
+        self.store.put(vectors.select("key", fits.alias("vector"), F.lit(a["model"]).alias("model"), F.current_timestamp().alias("created_at")))
+
+    def vectors(self) -> DataFrame:
+        self._checked()
+        return latest(self.store.read()).select("key", "vector")

@@ -341,6 +341,33 @@ def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.decoded_bytes(files).select("doc_id", F.md5("text").alias("text_md5"))
 
 
+# Fixed values in the SQL: a page's layer is usable with 50 characters, of which 40 in a hundred are letters or digits.
+_USABLE_SQL = "length(head) >= 50 AND 10 * length(regexp_replace(head, '[^\\p{L}\\p{N}]', '', 'g')) >= 4 * length(head) AND length(head) - length(replace(head, '�', '')) <= length(head) // 10"
+
+
+@_query(
+    """WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN ' ' ELSE coalesce(text, '') END AS layer, 'read: ' || coalesce(text, '') AS ocr FROM conversations),
+h AS (SELECT conv_id, max(CASE WHEN trim(layer, E' \\t\\n\\r') <> '' THEN 1 ELSE 0 END) AS has FROM c GROUP BY conv_id)
+SELECT conv_id AS doc, turn AS page, CASE WHEN has = 1 THEN layer ELSE ocr END AS page_text FROM c JOIN h USING (conv_id)"""
+)
+def layer_or_ocr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents of a page a turn; a third of them have a blank text layer and go to OCR as a whole."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    layer = c.withColumn("text", F.when(F.col("doc") % 3 == 0, " ").otherwise(F.col("text")))
+    ocr = c.withColumn("text", F.concat(F.lit("read: "), "text"))
+    return readers.text_layer_or_ocr(layer, ocr).select("doc", "page", F.col("text").alias("page_text"))
+
+
+@_query(
+    f"""WITH c AS (SELECT conv_id, turn, text AS layer, 'read ' || turn AS ocr, substr({_trim("coalesce(text, '')")}, 1, 500) AS head FROM conversations)
+SELECT conv_id AS doc, md5(string_agg(CASE WHEN {_USABLE_SQL} THEN layer ELSE ocr END, chr(10) || chr(10) || '[[PAGE_BREAK]]' || chr(10) || chr(10) ORDER BY turn)) AS text_md5 FROM c GROUP BY conv_id"""
+)
+def layer_or_ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each page its text layer where that is usable, else what OCR read; pages joined by the mark of a page break."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.col("text").alias("layer"), F.concat(F.lit("read "), F.col("turn").cast("string")).alias("ocr"))
+    return cleaning.layer_or_ocr_by_page(c).select("doc", F.md5("text").alias("text_md5"))
+
+
 # ---------------------------------------------------------------- matching
 
 _WORDS_SQL = "list_distinct(list_filter(string_split_regex({}, '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> ''))"

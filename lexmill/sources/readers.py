@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.jsonio import whole_number
-from lexmill.functions.text import OTHER_TYPES, OWN_OUTPUT, PLAIN_TEXT_TYPES, extension, file_name, natural_key, trim_blanks
+from lexmill.functions.text import BETWEEN_PAGES, OTHER_TYPES, OWN_OUTPUT, PLAIN_TEXT_TYPES, extension, file_name, natural_key, trim_blanks
 from lexmill.sources import office
 from lexmill.sources.encodings import text_of
 
@@ -30,7 +30,6 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*.[pP][dD][fF]") -
 SPREADSHEET_NOTE = "[Excel soubor detekován – pro analýzu je nutné převést jej na .csv nebo .txt. Obsah není zpracován.]"
 SLIDES_NOTE = "[PowerPoint soubor detekován – pro analýzu je nutné převést prezentaci na .pdf. Obsah není zpracován.]"
 UNKNOWN_NOTE = "[Nepodporovaný typ souboru: .%s]"
-PAGE_BREAK = "\n\n[[PAGE_BREAK]]\n\n"
 _FILE_TEXT = "text string, encoding string, problem string"
 
 
@@ -46,7 +45,7 @@ def file_text(kind: str, raw: bytes, pdf_pages: Callable[[bytes], list[str]] | N
         if kind == "doc":
             return "", None, "the older word-processor format is not read"
         if kind == "pdf" and pdf_pages is not None:
-            return PAGE_BREAK.join(pdf_pages(raw)), None, None
+            return BETWEEN_PAGES.join(pdf_pages(raw)), None, None
         if kind == "xlsx" and spreadsheets:
             return office.xlsx_text(raw), None, None
     except Exception as e:  # noqa: BLE001  a file's failure is that file's row

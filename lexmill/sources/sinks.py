@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -248,6 +249,18 @@ def write_merged(answers: DataFrame, order: str, answer: str, prompt: str, path:
     _streamed(answers, F.col(answer), order, path, head, "\n\n---\n\n", "")
 
 
+def write_summary(text: str | None, folder: str, at: datetime) -> str | None:
+    """A run's summary as the file souhrn--<time>--.txt, which appears whole; no text, no file. Returns its path."""
+    if text is None:
+        return None
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/souhrn--{at:%Y%m%d-%H%M%S}--.txt"
+    with open(path + ".part", "w", encoding="utf-8") as f:
+        f.write(text)
+    os.replace(path + ".part", path)
+    return path
+
+
 def mirrored_path(path: Column, root: str) -> Column:
     """Where a file's answer goes: the same place below the output, with the ending .lm.txt."""
     inside = F.when(path.startswith(root.rstrip("/") + "/"), F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))).otherwise(F.element_at(F.split(path, "/"), -1))

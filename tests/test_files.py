@@ -78,7 +78,7 @@ def test_every_file_has_a_row(spark, tmp_path):
         (tmp_path / name).write_bytes(raw)
     got = {r.path.rsplit("/", 1)[1]: r for r in readers.text_files(spark, f"file://{tmp_path}", lambda raw: raw.decode().split("\x0c")).collect()}
     assert sorted(got) == sorted(set(files) - {"k.exe"})
-    assert got["a.docx"].text.startswith("Zpráva") and got["f.pdf"].text == f"one{readers.PAGE_BREAK}two"
+    assert got["a.docx"].text.startswith("Zpráva") and got["f.pdf"].text == f"one{readers.BETWEEN_PAGES}two"
     assert got["d.xlsx"].text == readers.SPREADSHEET_NOTE and got["e.pptx"].text == readers.SLIDES_NOTE
     assert (got["g.txt"].text, got["g.txt"].encoding) == ("žluť", "cp1250")
     assert {n: got[n].problem is not None for n in got} == {n: n in ("h.docx", "i.txt", "j.doc") for n in got}

@@ -316,7 +316,7 @@ def test_layout_blocks_and_prompt_errors(spark, tmp_path):
 def test_text_or_ocr_by_page(spark):
     long = "readable text of a page " * 5
     rows = spark.createDataFrame([("d", 1, "??", "ocr"), ("d", 0, long, "x"), ("d", 2, None, None)], "doc string, page int, layer string, ocr string")
-    assert cleaning.layer_or_ocr_by_page(rows).first().text == f"{long}[[PAGE_BREAK]]ocr[[PAGE_BREAK]]"
+    assert cleaning.layer_or_ocr_by_page(rows).first().text == f"{long}\n\n[[PAGE_BREAK]]\n\nocr\n\n[[PAGE_BREAK]]\n\n"
     primary = spark.createDataFrame([("a", 0, "long enough text"), ("a", 1, "x"), ("b", 0, "long enough text")], "doc string, page int, text string")
     read = lambda weak: weak.select("doc", F.lit(1).alias("page"), F.lit("from ocr").alias("text"))
     got = {(r.doc, r.page): r.text for r in cleaning.with_ocr_fallback(primary, read).collect()}
