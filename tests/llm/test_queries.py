@@ -13,8 +13,9 @@ from test_embeddings import brute as brute_links
 from test_mixing import brute_targets
 from test_pii import brute as brute_spans
 from test_simhash import brute_components, brute_fingerprint
+from test_tiff import brute as brute_media
 
-from lexmill.llm import pii, queries, toxicity
+from lexmill.llm import pii, queries, tiff, toxicity
 
 TABLES = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
@@ -48,6 +49,7 @@ def rows():
     gen = np.random.default_rng(2)
     vectors = list(gen.normal(size=(60, 8)))
     vectors += [v + gen.normal(size=8) * 0.05 for v in vectors[:20]]
+    vectors += list(gen.normal(size=(40, 64)))
     page = "<p>é</p>" * 200
     return {
         "documents": docs,
@@ -76,8 +78,8 @@ def by_id(frame, key="doc_id"):
     return out
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_all_thirteen_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_op1(spark, rows, folder):
@@ -146,6 +148,15 @@ def test_op10(spark, rows, folder):
     assert places == sorted(places)
 
 
+def test_op13(spark, rows, folder):
+    got = by_id(queries.op13_tiff(spark, folder))
+    assert set(got) == set(texts(rows))
+    for i, t in texts(rows).items():
+        r, file = got[i], tiff.store(t.encode())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) == brute_media(t)
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, folder, name):
     duckdb = pytest.importorskip("duckdb")
