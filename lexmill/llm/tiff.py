@@ -9,9 +9,9 @@ visited before ends the chain with a problem, too. Pages of over MAX_PAGE_BYTES
 (thumbnails) are not walked. Pages are decoded one after another, so a task holds a file and one page of it.
 
 Writing (`store`) cuts a payload into rows of ROW_BYTES = 192 RGB pixels and these into pages of at most PAGE_ROWS rows;
-byte 255 fills the last row, an empty payload is one row of it. Pages take turns among STYLES (deflate strips with
-predictor, LZW tiles with predictor, PackBits strips), from a start that the payload's CRC gives, so equal payloads make equal
-files.
+byte 255 fills the last row, an empty payload is one row of it. Pages take turns among STYLES (deflate tiles with predictor,
+LZW strips, PackBits strips), from a start that the payload's CRC gives, so equal payloads make equal files. LZW, whose codes
+are made one by one, goes without the predictor, which would make noise of text, and without tiles, which pad short pages.
 
 Rows of `read_pages` also carry what can be summed over a file's pages so far: bytes, SHA-256, the last 32 bytes and a
 feature string of exact integers. The row of the last page has them for the whole file, without a shuffle. Null media has
@@ -42,7 +42,7 @@ MAX_PAGE_BYTES = 1 << 29
 WIDTH, SAMPLES, PAGE_ROWS, STRIP_ROWS, TILE = 192, 3, 2048, 64, 64
 ROW_BYTES = WIDTH * SAMPLES
 #: (compression, predictor, in tiles) of the pages that store() writes.
-STYLES = ((DEFLATE, HORIZONTAL, False), (LZW, HORIZONTAL, True), (PACKBITS, 1, False))
+STYLES = ((DEFLATE, HORIZONTAL, True), (LZW, 1, False), (PACKBITS, 1, False))
 TAIL = 32
 #: Bytes of rows after which a task hands on what it has.
 _FLUSH = 1 << 24
