@@ -877,3 +877,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from lexmill.plans import extra  # noqa: E402, F401  registers its queries
