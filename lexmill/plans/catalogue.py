@@ -469,7 +469,7 @@ def merge_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.merge(p, "conv_id", "turn")
 
 
-_RAW = """CASE doc_id % 5 WHEN 0 THEN concat('{"n":', CAST(doc_id AS STRING), '}') WHEN 1 THEN concat('x =====CSV===== a;', CAST(doc_id AS STRING), ' =====TXT===== t ') WHEN 2 THEN CAST(doc_id AS STRING) WHEN 3 THEN '{"n":1} x' ELSE '=====TXT===== a =====CSV===== b' END"""
+_RAW = """CASE doc_id % 5 WHEN 0 THEN concat('{"n":', CAST(doc_id AS STRING), '}') WHEN 1 THEN concat('x =====CSV===== a;', CAST(doc_id AS STRING), ' =====TXT===== t ', coalesce(text, '')) WHEN 2 THEN CAST(doc_id AS STRING) WHEN 3 THEN concat('{"n":1} ', coalesce(text, '')) ELSE '=====TXT===== a =====CSV===== b' END"""
 _SECTIONS_CTE = f"""r AS (SELECT doc_id, {_RAW} AS raw FROM documents), s AS (SELECT *, instr(raw, '=====CSV=====') AS a, instr(raw, '=====TXT=====') AS b FROM r),
 t AS (SELECT *, CASE WHEN a > 0 AND b >= a + 13 THEN {_trim('substr(raw, a + 13, b - a - 13)')} END AS csv, CASE WHEN a > 0 AND b >= a + 13 THEN {_trim('substr(raw, b + 13)')} END AS txt FROM s)"""
 
@@ -552,7 +552,7 @@ def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {_SECTIONS_CTE}, v AS (SELECT lang AS base_name, 'in/' || doc_id || '/' || lang || '.pdf' AS f, CASE WHEN csv <> '' AND txt <> '' THEN '{{"csv":"' || csv || '","txt":"' || txt || '"}}'
+    f"""WITH {_SECTIONS_CTE}, v AS (SELECT lang AS base_name, 'in/' || doc_id || '/' || lang || '.pdf' AS f, CASE WHEN csv <> '' AND txt <> '' THEN '{{"csv":' || to_json(csv) || ',"txt":' || to_json(txt) || '}}'
 WHEN json_valid(raw) THEN raw ELSE to_json(raw)::VARCHAR END AS value FROM t JOIN documents USING (doc_id)) SELECT base_name, arg_max(value, f) AS value FROM v GROUP BY base_name"""
 )
 def raw_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -608,7 +608,7 @@ def output_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(text.output_warnings(F.expr(_OUTPUT), F.length("text")), ",").alias("warnings"))
 
 
-_ANSWER = "CASE (conv_id + turn) % 3 WHEN 0 THEN 'Ano, určitě.' WHEN 1 THEN 'NE!' ELSE CASE WHEN conv_id % 5 = 0 THEN 'nevím' ELSE 'yes' END END"
+_ANSWER = "CASE (conv_id + turn) % 3 WHEN 0 THEN 'Ano, určitě.' WHEN 1 THEN 'NE!' ELSE CASE WHEN conv_id % 5 = 0 THEN concat('nevím ', coalesce(text, '')) ELSE 'yes' END END"
 
 
 @_query(
