@@ -9,10 +9,12 @@ system has to create and rename atomically, as HDFS and local ones do.
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,14 +49,30 @@ class Memo:
         paths = [p for n in numbers for p in self._commits(n)]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
+    def _made(self, claim) -> bool:  # noqa: ANN001
+        """Whether the file is this caller's: it must not exist yet. Hadoop's local file system looks and then creates, so
+        on one machine the system's own exclusive creation is taken."""
+        if self._files.getScheme() == "file":
+            try:
+                os.close(os.open(claim.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+                return True
+            except FileExistsError:
+                return False
+        try:
+            self._files.create(claim, False).close()
+            return True
+        except Py4JJavaError:
+            return False
+
     def _claimed(self, number: int) -> bool:
         claim = self._at(f"{self.path}/claims/{number}")
         self._files.mkdirs(claim.getParent())
-        if self._files.createNewFile(claim):
+        if self._made(claim):
             return True
         try:
             age = time.time() - self._files.getFileStatus(claim).getModificationTime() / 1000
-        except Exception:  # noqa: BLE001  the other run has just let it go
+        except Py4JJavaError:
+            # The other run has just let it go.
             return False
         if age > self.lease_s:
             # Whoever removes an old claim first is the one that may make a new one.
