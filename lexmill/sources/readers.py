@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.jsonio import whole_number
 from lexmill.functions.text import BETWEEN_PAGES, OTHER_TYPES, OWN_OUTPUT, PLAIN_TEXT_TYPES, extension, file_name, natural_key, trim_blanks
 from lexmill.sources import office
-from lexmill.sources.encodings import text_of
+from lexmill.sources.encodings import CODE_PAGES, code_page_of, sure_encoding_of, text_of
 
 
 def visible() -> Column:
@@ -72,14 +72,21 @@ def text_files(spark: SparkSession, path: str, pdf_pages: Callable[[bytes], list
 
 
 def decoded_bytes(rows: DataFrame, content: str = "content") -> DataFrame:
-    """rows with text and encoding of a binary column; null bytes give null."""
+    """rows with text and encoding of a binary column; null bytes give null. The rows are files of one origin: those that
+    are not Unicode are counted by the code page they seem to be in, and what a file leaves open follows the others."""
+
+    @F.pandas_udf("string")
+    def seems(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda r: None if r is None or sure_encoding_of(bytes(r)) else code_page_of(bytes(r))).astype(object)
 
     @F.pandas_udf("text string, encoding string")
-    def decoded(raw: pd.Series) -> pd.DataFrame:
-        found = [(None, None) if r is None else text_of(bytes(r)) for r in raw]
+    def decoded(raw: pd.Series, beside: pd.Series) -> pd.DataFrame:
+        found = [(None, None) if r is None else text_of(bytes(r), n) for r, n in zip(raw, beside, strict=True)]
         return pd.DataFrame(found, columns=["text", "encoding"])
 
-    return rows.withColumn("__decoded", decoded(content)).select(*[c for c in rows.columns if c not in ("text", "encoding")], "__decoded.text", "__decoded.encoding")
+    beside = rows.select(seems(content).alias("page")).agg(F.array(*[F.count_if(F.col("page") == p) for p in CODE_PAGES]).alias("__beside"))
+    both = rows.crossJoin(F.broadcast(beside)).withColumn("__decoded", decoded(content, "__beside"))
+    return both.select(*[c for c in rows.columns if c not in ("text", "encoding")], "__decoded.text", "__decoded.encoding")
 
 
 def prompts(spark: SparkSession, path: str) -> DataFrame:
