@@ -146,3 +146,28 @@ def test_matching_in_rounds_equals_choosing_in_turn(spark, at_once):
     got = sorted(tuple(r) for r in matching.match_outputs(df, at_once=at_once).collect())
     assert got == _choose_in_turn(files) and sum(r[0] == "same" for r in got) == 30
     assert matching.match_outputs(df.filter("folder = 'lone'")).collect() == []
+
+
+@pytest.mark.parametrize("at_once", [matching.AT_ONCE, 40])
+def test_matching_of_names_with_many_words_in_common_equals_choosing_in_turn(spark, at_once):
+    rng = random.Random(5)
+    words = ["scan", "of", "the", "lab", "report", "x"]
+    files = [(rng.choice(["f", "f", "g"]), rng.choice(["in", "out"]), f"p{i:03}", " ".join(rng.choices(words, k=rng.randrange(1, 6))), rng.randrange(40)) for i in range(260)]
+    files += [("f", kind, f"{kind}{i:02}", "lab of the", i % 3) for kind in ("in", "out") for i in range(25)]
+    df = spark.createDataFrame(files, "folder string, kind string, path string, stem string, bytes int")
+    assert sorted(tuple(r) for r in matching.match_outputs(df, at_once=at_once).collect()) == _choose_in_turn(files)
+
+
+def test_names_that_share_one_word_are_not_listed_as_pairs(spark, monkeypatch):
+    files = [("f", kind, f"{kind}{i:03}", f"scan {kind}{i}", i % 7) for kind in ("in", "out") for i in range(300)]
+    rows, written = [], matching.written
+
+    def counted(df, name):
+        out = written(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(matching, "written", counted)
+    got = matching.match_outputs(spark.createDataFrame(files, "folder string, kind string, path string, stem string, bytes int"))
+    assert sorted(tuple(r) for r in got.collect()) == _choose_in_turn(files)
+    assert max(rows) < 300 * 300 / 2
